@@ -65,6 +65,8 @@ def _typed_interventions(df: DataFrame, rules: Rules) -> DataFrame:
         typed["pond_presence"] = normalize_flag(F.col("pond_presence"))
     if "intervention_type" in df.columns:
         typed["intervention_type"] = F.lower(strip(F.col("intervention_type").cast("string")))
+    if "crop_yield_ton_per_ha" in df.columns:
+        typed["crop_yield_ton_per_ha"] = to_number(df, "crop_yield_ton_per_ha")
     reason = _first_reason([*_year_reasons(df, rules), (missing, "missing_value")])
     return df.withColumns({**typed, "__reason": reason})
 

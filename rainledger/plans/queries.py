@@ -40,8 +40,7 @@ def _src_water_csv(v: Views) -> DataFrame:
 
 def _src_nrm_csv(v: Views) -> DataFrame:
     raw = v.nrm_raw.withColumn("Intervention Type", F.coalesce("Intervention Type", F.lit("N/A")))
-    return tables.read_interventions(v.spark, _csv_roundtrip(v, raw, "nrm")).withColumn(
-        "crop_yield_ton_per_ha", F.col("crop_yield_ton_per_ha").cast("double"))
+    return tables.read_interventions(v.spark, _csv_roundtrip(v, raw, "nrm"))
 
 
 def _src_encoding_fallback(v: Views) -> DataFrame:
