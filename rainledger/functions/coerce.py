@@ -14,7 +14,8 @@ from pyspark.sql import types as T
 
 from ..schema import FLAG_FALSE, FLAG_TRUE
 
-NUMBER_TEXT = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)$"
+# Letters that a cast to DOUBLE accepts in a number ("12d", "0x1p3") but a data file does not.
+ODD_LETTERS = "[dDfFxX]"
 WHITESPACE = " \t\n\r\x0b\x0c"
 
 
@@ -27,12 +28,17 @@ def without_nan(c: Column) -> Column:
     return F.nanvl(c, F.lit(None).cast("double"))
 
 
+def parse_number(text: Column) -> Column:
+    """Text as DOUBLE; NULL unless it is a plain decimal number or an infinity."""
+    number = text.try_cast("double")
+    return F.when(~text.rlike(ODD_LETTERS) | (F.abs(number) == float("inf")), without_nan(number))
+
+
 def to_number(df: DataFrame, name: str) -> Column:
     """The column as DOUBLE; text that is not a number, and NaN, become NULL."""
     c, dtype = F.col(name), df.schema[name].dataType
     if isinstance(dtype, T.StringType):
-        text = strip(c)
-        return F.when(text.rlike(NUMBER_TEXT), text.try_cast("double"))
+        return parse_number(c)
     if isinstance(dtype, T.BooleanType):
         return c.cast("int").cast("double")
     return without_nan(c.cast("double"))
@@ -59,7 +65,7 @@ def normalize_flag(c: Column, *, trim: bool = True, numeric_text: bool = True) -
     text = F.lower(strip(c.cast("string")) if trim else c.cast("string"))
     flag = F.when(text.isin(*FLAG_TRUE), 1).when(text.isin(*FLAG_FALSE), 0)
     if numeric_text:
-        flag = flag.when(text.rlike(NUMBER_TEXT) & (text.try_cast("double") == 1.0), 1)
+        flag = flag.when(parse_number(text) == 1.0, 1)
     return flag.otherwise(0).cast("int")
 
 

@@ -1,39 +1,58 @@
 """Exact quantiles per group beside ordinary aggregates, safe for groups of any size.
 
 The built-in ``percentile`` keeps every distinct value of a group in one task. That is right for
-small groups and hopeless for a season or a flag that holds a third of the table. Here the few
-large groups are found first, by one count. If there are none, everything is one ``groupBy``.
-Otherwise each quantile of a large group is closed in on by counting: split the interval known to
-hold the wanted rank into equal buckets, count rows per bucket (partial aggregation makes that a
-tiny shuffle), keep the bucket with the rank, repeat until few rows are left. Nothing but counts
-is shuffled, and the interval table holds at most two rows per quantile and large group.
+small groups and hopeless for a season or a flag that holds a third of the table. Here the largest
+groups are found first, by one count. If none is large, everything is one ``groupBy``. Otherwise
+each quantile of a large group is closed in on by counting: split the interval known to hold the
+wanted rank into equal buckets, count rows per bucket (partial aggregation makes that a tiny
+shuffle), keep the bucket with the rank, repeat until few rows are left. Nothing but counts is
+shuffled, and the driver holds at most two intervals per quantile and large group.
+
+A large input is read once per round, so it should be a stored table rather than a long plan.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .skew import hot_keys
+from .skew import MAX_HOT_KEYS
 
 GROUP_ROWS = 50_000
 BUCKETS = 4096
 
 
-def _select_groups(rows: DataFrame, keys: DataFrame, by: Sequence[str], how: str) -> DataFrame:
-    """``rows`` whose key is (left_semi) or is not (left_anti) in the small local table ``keys``."""
-    names = {k: f"__{k}" for k in by}
-    same = [F.col(f"`{k}`") == F.col(f"`__{k}`") for k in by]
-    return rows.join(F.broadcast(keys.select(*by).withColumnsRenamed(names)), same, how)
+@dataclass(frozen=True)
+class Target:
+    """A wanted rank inside the interval [low, high] of one group, counted from its start."""
+
+    tid: int
+    key: tuple
+    low: float
+    high: float
+    rank: int
+    inside: int
+
+
+def _on(by: Sequence[str]) -> list[Column]:
+    return [F.col(f"`{k}`") == F.col(f"`__{k}`") for k in by]
+
+
+def _largest_groups(df: DataFrame, by: Sequence[str], value: str, limit: int) -> list[tuple]:
+    """(key..., rows, low, high, values) of the ``limit`` largest groups."""
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.min(value), F.max(value), F.count(value))
+    return [tuple(r) for r in sizes.orderBy(F.desc("__n")).limit(limit).collect()]
 
 
 def _by_window(rows: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
-    """Quantiles by sorting each group; the sort spills, so group size is bounded by disk."""
+    """Quantiles by sorting each group. The sort spills, so memory does not bound the group."""
     group = Window.partitionBy(*by)
-    ranked = rows.select(
+    ranked = rows.filter(F.col(value).isNotNull()).select(
         *by, value,
         (F.row_number().over(group.orderBy(value)) - 1).alias("__rank"),
         F.count(value).over(group).alias("__n"),
@@ -48,108 +67,113 @@ def _by_window(rows: DataFrame, by: Sequence[str], value: str, probs: Mapping[st
 
 
 def _bucket(value: Column, low: Column, high: Column) -> Column:
-    """Equal-width bucket of ``value`` in [low, high]; halves keep the width finite."""
+    """Equal-width bucket of ``value`` in [low, high]; halves keep the width finite.
+
+    The ends get the outermost buckets, so each round separates them and makes progress.
+    """
     share = F.try_divide(value / 2 - low / 2, high / 2 - low / 2)
     inner = F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1))
     return F.when(value == low, 0).when(value == high, BUCKETS - 1).otherwise(inner).cast("int")
 
 
-def _close_in(rows: DataFrame, value: str, by: Sequence[str], targets: list[tuple],
-              schema: T.StructType, group_rows: int) -> list[tuple]:
-    """Narrow each target (tid, keys, low, high, rank, inside) until few rows or one value remain."""
-    done, todo = [], targets
-    while todo:
-        rest = [t for t in todo if t[-1] > group_rows and t[-4] < t[-3]]
-        done += [t for t in todo if t not in rest]
-        if not rest:
-            break
-        inside = _inside(rows, value, by, rest, schema)
-        counts = (
-            inside.groupBy("__tid", *[f"__{k}" for k in by], "__wanted",
-                           _bucket(F.col(value), F.col("__low"), F.col("__high")).alias("__bucket"))
-            .agg(F.count(F.lit(1)).alias("__here"), F.min(value).alias("__min"), F.max(value).alias("__max"))
-        )
-        upto = Window.partitionBy("__tid").orderBy("__bucket")
-        upto = upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        found = (
-            counts.withColumn("__upto", F.sum("__here").over(upto))
-            .filter((F.col("__wanted") < F.col("__upto"))
-                    & (F.col("__wanted") >= F.col("__upto") - F.col("__here")))
-            .select("__tid", *[f"__{k}" for k in by], "__min", "__max",
-                    F.col("__wanted") - (F.col("__upto") - F.col("__here")), "__here")
-        )
-        todo = [tuple(r) for r in found.collect()]  # one row per target
-    return done
-
-
-def _inside(rows: DataFrame, value: str, by: Sequence[str], targets: list[tuple],
-            schema: T.StructType) -> DataFrame:
-    """Rows that lie in the interval of a target, once per target."""
-    table = F.broadcast(rows.sparkSession.createDataFrame(targets, schema))
-    same = [F.col(f"`{k}`") == F.col(f"`__{k}`") for k in by]
-    return rows.join(table, [*same, F.col(value).between(F.col("__low"), F.col("__high"))])
-
-
-def _by_counting(rows: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float],
-                 keys: DataFrame, group_rows: int) -> DataFrame:
-    """Quantiles of the large groups in ``keys``."""
-    spark = rows.sparkSession
-    rows = _select_groups(rows, keys, by, "left_semi")
-    extent = rows.groupBy(*by).agg(F.min(value), F.max(value), F.count(value)).collect()  # hot keys only
+def _intervals(targets: Sequence[Target]) -> dict[tuple, int]:
+    """A number for each distinct (key, low, high); neighbouring ranks mostly share one."""
+    return {i: n for n, i in enumerate(dict.fromkeys((*t.key, t.low, t.high) for t in targets))}
+
+
+def _inside(df: DataFrame, by: Sequence[str], value: str, numbers: Mapping[tuple, int]) -> DataFrame:
+    """(interval, value) of the rows that lie in an interval of their group."""
     schema = T.StructType(
-        [T.StructField("__tid", T.IntegerType())]
-        + [T.StructField(f"__{k}", rows.schema[k].dataType) for k in by]
+        [T.StructField(f"__{k}", df.schema[k].dataType) for k in by]
         + [T.StructField("__low", T.DoubleType()), T.StructField("__high", T.DoubleType()),
-           T.StructField("__wanted", T.LongType()), T.StructField("__inside", T.LongType())]
-    )
-    targets, parts = [], []
-    for r in extent:
-        low, high, n = r[len(by):]
-        for name, p in probs.items():
+           T.StructField("__interval", T.IntegerType())])
+    table = df.sparkSession.createDataFrame([(*i, n) for i, n in numbers.items()], schema)
+    # At most 2 * MAX_HOT_KEYS rows per quantile.
+    found = df.select(*by, value).join(
+        F.broadcast(table), [*_on(by), F.col(value).between(F.col("__low"), F.col("__high"))])
+    return found.select("__interval", value, "__low", "__high")
+
+
+def _ranks(df: DataFrame, targets: Sequence[Target], numbers: Mapping[tuple, int]) -> DataFrame:
+    rows = [(numbers[(*t.key, t.low, t.high)], t.tid, t.rank) for t in targets]
+    return F.broadcast(df.sparkSession.createDataFrame(rows, "in_interval int, tid int, rank long"))
+
+
+def _one_round(df: DataFrame, by: Sequence[str], value: str, targets: Sequence[Target]) -> list[Target]:
+    """Each target with its interval cut down to the bucket that holds the rank."""
+    numbers = _intervals(targets)
+    bucket = _bucket(F.col(value), F.col("__low"), F.col("__high"))
+    counts = _inside(df, by, value, numbers).groupBy("__interval", bucket.alias("__bucket")).agg(
+        F.count(F.lit(1)).alias("here"), F.min(value).alias("low"), F.max(value).alias("high"))
+    order = Window.partitionBy("__interval").orderBy("__bucket")  # at most BUCKETS rows each
+    counts = counts.withColumn("before", F.sum("here").over(order) - F.col("here"))
+    hit = ((F.col("__interval") == F.col("in_interval")) & (F.col("rank") >= F.col("before"))
+           & (F.col("rank") < F.col("before") + F.col("here")))
+    found = counts.join(_ranks(df, targets, numbers), hit)
+    known = {t.tid: t for t in targets}
+    return [
+        replace(known[r.tid], low=r.low, high=r.high, rank=r.rank - r.before, inside=r.here)
+        for r in found.select("tid", "low", "high", "rank", "before", "here").collect()  # one per target
+    ]
+
+
+def _by_counting(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float],
+                 large: Sequence[tuple], group_rows: int) -> DataFrame:
+    """Quantiles of the groups in ``large``."""
+    todo, weights = [], []
+    for *key, _, low, high, n in large:
+        for name, p in probs.items() if n else ():
             h = (n - 1) * float(p)
-            # Weights of the two neighbouring ranks; the second one only where h is fractional.
-            for rank, weight in ((int(h), 1 - (h - int(h))), (int(h) + 1, h - int(h))):
+            first = math.floor(h)
+            # The two neighbouring ranks and their weights; the second only if h is fractional.
+            for rank, weight in ((first, 1 - (h - first)), (first + 1, h - first)):
                 if weight > 0:
-                    parts.append((len(targets), name, weight))
-                    targets.append((len(targets), *r[:len(by)], low, high, rank, n))
-    found = _close_in(rows, value, by, targets, schema, group_rows)
-    weights = spark.createDataFrame(parts, "tid int, name string, weight double")
-
-    single = [t for t in found if t[-4] == t[-3]]
-    several = [t for t in found if t[-4] < t[-3]]
-    values = spark.createDataFrame(single, schema).withColumn(value, F.col("__low"))
-    values = values.select("__tid", *[F.col(f"__{k}").alias(k) for k in by], value)
-    if several:
-        rank = F.row_number().over(Window.partitionBy("__tid").orderBy(value)) - 1
-        sorted_rows = _inside(rows, value, by, several, schema).withColumn("__rank", rank)
-        picked = sorted_rows.filter(F.col("__rank") == F.col("__wanted"))
-        values = values.unionByName(picked.select("__tid", *by, value))
-    part = values.join(F.broadcast(weights), F.col("__tid") == F.col("tid"))
-    return part.groupBy(*by).agg(*[
-        F.sum(F.when(F.col("name") == name, F.col(value) * F.col("weight"))).alias(name) for name in probs
-    ])
-
-
-def group_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float],
-                    large: DataFrame, *, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Exact, linearly interpolated quantiles of a DOUBLE column when some groups are large."""
-    rows = df.select(*by, value).filter(F.col(value).isNotNull())
-    ordinary = _by_window(_select_groups(rows, large, by, "left_anti"), by, value, probs)
-    return ordinary.unionByName(_by_counting(rows, by, value, probs, large, group_rows))
+                    weights.append((len(todo), *key, name, weight))
+                    todo.append(Target(len(todo), tuple(key), low, high, rank, n))
+    done: list[Target] = []
+    while todo:
+        done += [t for t in todo if t.low == t.high or t.inside <= group_rows]
+        todo = [t for t in todo if t.low < t.high and t.inside > group_rows]
+        if todo:
+            todo = _one_round(df, by, value, todo)
+
+    spark = df.sparkSession
+    values = spark.createDataFrame([(t.tid, t.low) for t in done if t.low == t.high], "tid int, v double")
+    rest = [t for t in done if t.low < t.high]
+    if rest:
+        numbers = _intervals(rest)
+        order = Window.partitionBy("__interval").orderBy(value)  # at most group_rows rows each
+        ranked = _inside(df, by, value, numbers).withColumn("__rank", F.row_number().over(order) - 1)
+        hit = (F.col("__interval") == F.col("in_interval")) & (F.col("__rank") == F.col("rank"))
+        values = values.unionByName(
+            ranked.join(_ranks(df, rest, numbers), hit).select("tid", F.col(value).alias("v")))
+    schema = T.StructType([T.StructField("wid", T.IntegerType()), *[df.schema[k] for k in by],
+                           T.StructField("name", T.StringType()), T.StructField("weight", T.DoubleType())])
+    parts = values.join(F.broadcast(spark.createDataFrame(weights, schema)), F.col("tid") == F.col("wid"))
+    return parts.groupBy(*by).agg(*[
+        F.sum(F.when(F.col("name") == name, F.col("v") * F.col("weight"))).alias(name) for name in probs])
 
 
 def aggregate_with_quantiles(df: DataFrame, by: Sequence[str], aggs: Sequence[Column], value: str,
-                             probs: Mapping[str, float], *, group_rows: int = GROUP_ROWS) -> DataFrame:
+                             probs: Mapping[str, float], *, group_rows: int = GROUP_ROWS,
+                             max_large: int = MAX_HOT_KEYS) -> DataFrame:
     """``groupBy(by).agg(aggs)`` plus one exact quantile column of ``value`` per entry of ``probs``.
 
-    ``value`` is a DOUBLE column; its NULLs are ignored by the quantiles. Keys must not be NULL.
+    ``value`` is a DOUBLE column whose NULLs the quantiles ignore; keys must not be NULL. Quantiles
+    are interpolated linearly. A group is large above ``group_rows`` rows. At most ``max_large``
+    groups are treated as such; any further one holds at most ``1 / max_large`` of the rows, as
+    ``max_large`` groups are no smaller, and is sorted within a task, with spilling.
     """
-    large = hot_keys(df, by, group_rows)
-    if large is None:
+    found = _largest_groups(df, by, value, max_large)
+    large = [g for g in found if g[-4] > group_rows]
+    if not large:
         exact = [F.percentile(value, F.lit(float(p))).alias(name) for name, p in probs.items()]
         return df.groupBy(*by).agg(*aggs, *exact)
-    names = {k: f"__{k}" for k in by}
-    same = [F.col(f"`{k}`") == F.col(f"`__{k}`") for k in by]
-    quantiles = group_quantiles(df, by, value, probs, large, group_rows=group_rows)
-    return (df.groupBy(*by).agg(*aggs)
-            .join(quantiles.withColumnsRenamed(names), same, "left").drop(*names.values()))
+    quantiles = _by_counting(df, by, value, probs, large, group_rows)
+    if len(found) == max_large or len(large) < len(found):
+        schema = T.StructType([T.StructField(f"__{k}", df.schema[k].dataType) for k in by])
+        keys = df.sparkSession.createDataFrame([g[:len(by)] for g in large], schema)
+        others = df.join(F.broadcast(keys), _on(by), "left_anti")
+        quantiles = quantiles.unionByName(_by_window(others, by, value, probs))
+    renamed = quantiles.withColumnsRenamed({k: f"__{k}" for k in by})
+    return df.groupBy(*by).agg(*aggs).join(renamed, _on(by), "left").drop(*[f"__{k}" for k in by])

@@ -37,9 +37,17 @@ def _first_reason(checks: list[tuple[Column, str]]) -> Column:
     return out
 
 
-def _typed_observations(df: DataFrame, rules: Rules) -> DataFrame:
-    """Coerce the columns and add ``__reason``: the first rule a row breaks, NULL if none."""
+def _observation_columns(df: DataFrame, rules: Rules) -> dict[str, Column]:
     require_columns(df, rules.location, rules.year, rules.season, rules.area)
+    typed = {rules.year: to_year(df, rules.year), rules.area: to_number(df, rules.area)}
+    if rules.count in df.columns:
+        whole = isinstance(df.schema[rules.count].dataType, T.IntegralType)
+        typed[rules.count] = F.col(rules.count) if whole else to_number(df, rules.count)
+    return typed
+
+
+def _observation_reason(df: DataFrame, rules: Rules) -> Column:
+    """The first rule a row breaks, NULL if none."""
     area, season = to_number(df, rules.area), F.col(rules.season)
     checks = [
         *_year_reasons(df, rules),
@@ -47,19 +55,39 @@ def _typed_observations(df: DataFrame, rules: Rules) -> DataFrame:
         (to_number(df, rules.year).isNull() | area.isNull(), "missing_value"),
         (~area.between(rules.area_min, rules.area_max), "area_out_of_range"),
     ]
-    typed = {rules.year: to_year(df, rules.year), rules.area: area}
     if rules.count in df.columns:
         number = to_number(df, rules.count)
         checks.append((number.isNull() | (number < 0), "invalid_body_count"))
+    return _first_reason(checks)
+
+
+def _plain_range(df: DataFrame, name: str, low: float, high: float) -> Column:
+    """Range test on the column itself where it is a number, so that it reaches the file scan.
+
+    NaN needs no test of its own: it is above every bound.
+    """
+    number = isinstance(df.schema[name].dataType, T.NumericType)
+    return (F.col(name) if number else to_number(df, name)).between(low, high)
+
+
+def _year_in_range(df: DataFrame, rules: Rules) -> Column:
+    in_range = _plain_range(df, rules.year, rules.year_min, rules.year_max)
+    whole = isinstance(df.schema[rules.year].dataType, T.IntegralType)
+    return in_range if whole else in_range & is_whole(to_number(df, rules.year))
+
+
+def _valid_observation(df: DataFrame, rules: Rules) -> Column:
+    """The same rules as ``_observation_reason`` as one conjunction of simple tests."""
+    valid = (_year_in_range(df, rules) & F.col(rules.season).isin(*rules.seasons)
+             & _plain_range(df, rules.area, rules.area_min, rules.area_max))
+    if rules.count in df.columns:
         whole = isinstance(df.schema[rules.count].dataType, T.IntegralType)
-        typed[rules.count] = F.col(rules.count) if whole else number
-    return df.withColumns({**typed, "__reason": _first_reason(checks)})
+        valid = valid & ((F.col(rules.count) if whole else to_number(df, rules.count)) >= 0)
+    return valid
 
 
-def _typed_interventions(df: DataFrame, rules: Rules) -> DataFrame:
-    df = normalize_columns(df)
+def _intervention_columns(df: DataFrame, rules: Rules) -> dict[str, Column]:
     require_columns(df, rules.location, rules.year)
-    missing = F.col(rules.location).isNull() | to_number(df, rules.year).isNull()
     typed = {rules.year: to_year(df, rules.year)}
     if "pond_presence" in df.columns:
         typed["pond_presence"] = normalize_flag(F.col("pond_presence"))
@@ -67,8 +95,12 @@ def _typed_interventions(df: DataFrame, rules: Rules) -> DataFrame:
         typed["intervention_type"] = F.lower(strip(F.col("intervention_type").cast("string")))
     if "crop_yield_ton_per_ha" in df.columns:
         typed["crop_yield_ton_per_ha"] = to_number(df, "crop_yield_ton_per_ha")
-    reason = _first_reason([*_year_reasons(df, rules), (missing, "missing_value")])
-    return df.withColumns({**typed, "__reason": reason})
+    return typed
+
+
+def _intervention_reason(df: DataFrame, rules: Rules) -> Column:
+    missing = F.col(rules.location).isNull() | to_number(df, rules.year).isNull()
+    return _first_reason([*_year_reasons(df, rules), (missing, "missing_value")])
 
 
 def clean_observations(df: DataFrame, rules: Rules = DEFAULT, *, strict: bool = False) -> DataFrame:
@@ -79,8 +111,8 @@ def clean_observations(df: DataFrame, rules: Rules = DEFAULT, *, strict: bool =
     """
     if strict:
         require_rows(df)
-    typed = _typed_observations(df, rules)
-    kept = typed.filter(F.col("__reason").isNull()).drop("__reason").dropDuplicates()
+    typed = _observation_columns(df, rules)
+    kept = df.filter(_valid_observation(df, rules)).withColumns(typed).dropDuplicates()
     if rules.quality not in df.columns:
         kept = kept.withColumn(rules.quality, F.lit(rules.default_quality))
     return kept
@@ -90,8 +122,10 @@ def clean_interventions(df: DataFrame, rules: Rules = DEFAULT, *, strict: bool =
     """Typed, valid and distinct intervention records with normalised headers and flags."""
     if strict:
         require_rows(df)
-    typed = _typed_interventions(df, rules)
-    return typed.filter(F.col("__reason").isNull()).drop("__reason").dropDuplicates()
+    df = normalize_columns(df)
+    typed = _intervention_columns(df, rules)
+    valid = _year_in_range(df, rules) & F.col(rules.location).isNotNull()
+    return df.filter(valid).withColumns(typed).dropDuplicates()
 
 
 def _report(typed: DataFrame, reasons: Sequence[str], rules: Rules) -> DataFrame:
@@ -125,18 +159,21 @@ def _report(typed: DataFrame, reasons: Sequence[str], rules: Rules) -> DataFrame
 
 def cleaning_report(df: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
     """How many observations each rule removes. A row counts under the first rule it breaks."""
-    return _report(_typed_observations(df, rules), OBSERVATION_REASONS, rules)
+    typed = df.withColumns({**_observation_columns(df, rules), "__reason": _observation_reason(df, rules)})
+    return _report(typed, OBSERVATION_REASONS, rules)
 
 
 def interventions_report(df: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
     """How many intervention records each rule removes."""
-    return _report(_typed_interventions(df, rules), INTERVENTION_REASONS, rules)
+    df = normalize_columns(df)
+    typed = df.withColumns({**_intervention_columns(df, rules), "__reason": _intervention_reason(df, rules)})
+    return _report(typed, INTERVENTION_REASONS, rules)
 
 
 def rejected_observations(df: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
     """The raw rows that break a rule, with the reason, for quarantine."""
-    reason = _typed_observations(df, rules).filter(F.col("__reason").isNotNull())
-    return reason.withColumnRenamed("__reason", "reason")
+    typed = {**_observation_columns(df, rules), "reason": _observation_reason(df, rules)}
+    return df.filter(~F.coalesce(_valid_observation(df, rules), F.lit(False))).withColumns(typed)
 
 
 def unknown_categories(df: DataFrame, column: str = "intervention_type",

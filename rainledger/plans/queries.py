@@ -15,6 +15,7 @@ from ..sources import documents, tables
 from .views import Views
 
 YEARS = tuple(range(1995, 2002))
+COMPARED = ("location_id", "pond_presence", "water_area_ha", "water_body_count")
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -113,7 +114,7 @@ def _grain_of_top(v: Views) -> DataFrame:
 def _by_region(v: Views) -> DataFrame:
     """Seasonal summary one level up; the place table is joined behind a size check."""
     placed = merging.merge_interventions(v.water, v.places, ["location_id"]).drop("nrm_data_available")
-    return summaries.seasonal_summary(placed, "region")
+    return summaries.seasonal_summary(v.stored(placed), "region")
 
 
 def _value_distribution(v: Views) -> DataFrame:
@@ -126,7 +127,7 @@ def _value_distribution(v: Views) -> DataFrame:
 
 
 def _seasonal_quality(v: Views) -> DataFrame:
-    return summaries.value_distribution(summaries.seasonal_summary(v.water), "data_quality")
+    return summaries.value_distribution(summaries.seasonal_summary(v.stored(v.water)), "data_quality")
 
 
 QUERIES: dict[str, Callable[[Views], DataFrame]] = {
@@ -165,11 +166,14 @@ QUERIES: dict[str, Callable[[Views], DataFrame]] = {
     "merge_fanout": _merge_fanout,
     "duplicate_keys": _duplicate_keys,
     # aggregates
-    "trend_by_location_season": lambda v: trends.water_trends(v.water),
-    "trend_by_season": lambda v: trends.water_trends(v.water, ["season"]),
-    "intervention_summary": lambda v: summaries.intervention_summary(v.merged),
-    "intervention_summary_matched": lambda v: summaries.intervention_summary(v.merged, unmatched="drop"),
-    "seasonal_summary": lambda v: summaries.seasonal_summary(v.water),
+    "trend_by_location_season": lambda v: trends.water_trends(
+        v.stored(v.water, "location_id", "season", "year", "water_area_ha")),
+    "trend_by_season": lambda v: trends.water_trends(
+        v.stored(v.water, "season", "year", "water_area_ha"), ["season"]),
+    "intervention_summary": lambda v: summaries.intervention_summary(v.stored(v.merged, *COMPARED)),
+    "intervention_summary_matched": lambda v: summaries.intervention_summary(
+        v.stored(v.merged, *COMPARED), unmatched="drop"),
+    "seasonal_summary": lambda v: summaries.seasonal_summary(v.stored(v.water)),
     "seasonal_summary_by_region": _by_region,
     "summary_metrics": lambda v: summaries.summary_metrics(v.merged),
     "quick_stats": lambda v: summaries.quick_stats(v.merged),
@@ -180,7 +184,7 @@ QUERIES: dict[str, Callable[[Views], DataFrame]] = {
     "trend_summary": lambda v: trends.trend_summary(v.water),
     "trend_by_intervention": lambda v: trends.trend_by_intervention(v.merged),
     "correlation": lambda v: summaries.correlation(v.merged),
-    "describe_numeric": lambda v: summaries.describe_numeric(v.merged),
+    "describe_numeric": lambda v: summaries.describe_numeric(v.stored(v.merged)),
     "location_summaries": lambda v: trends.location_summaries(v.water),
     "aggregated_metrics": lambda v: trends.aggregated_metrics(trends.location_summaries(v.water)),
     "yoy_change": lambda v: trends.yoy_change(v.water),
@@ -191,7 +195,8 @@ QUERIES: dict[str, Callable[[Views], DataFrame]] = {
     "histogram_by_season": lambda v: charts.body_count_histogram(v.water),
     "heatmap_pivot": lambda v: charts.heatmap_pivot(v.water, years=YEARS),
     "heatmap_long": lambda v: charts.heatmap_long(v.water, "water_body_count"),
-    "box_stats": lambda v: charts.box_stats(v.water, years=(1996, 2000)),
+    "box_stats": lambda v: charts.box_stats(
+        v.stored(v.water, "season", "year", "water_area_ha"), years=(1996, 2000)),
     "impact_scatter": lambda v: charts.impact_scatter(v.merged),
     "top_locations": lambda v: charts.top_locations(v.water),
     "dashboard_locations": lambda v: charts.dashboard_locations(v.water),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.cleaning import clean_interventions, clean_observations
 from ..operators.merging import merge_interventions
+from ..sinks.table import scratch_dir
 
 NRM_FIRST_YEAR, NRM_LAST_YEAR = 1996, 2000
 
@@ -36,6 +37,12 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.directory}/{name}.parquet")
 
+    def stored(self, df: DataFrame, *columns: str) -> DataFrame:
+        """The columns of ``df`` as a written table, for operators that read their input repeatedly."""
+        target = f"{scratch_dir(self.spark)}/stored"
+        (df.select(*columns) if columns else df).write.parquet(target)
+        return self.spark.read.parquet(target)
+
     @cached_property
     def water_raw(self) -> DataFrame:
         return self.table("lineitem").select(

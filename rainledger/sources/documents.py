@@ -10,12 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.coerce import NUMBER_TEXT, strip
+from ..functions.coerce import parse_number, strip
 from ..operators.cleaning import clean_observations
 from ..schema import SEASONS, UNIT_TYPES, Rules, require_columns
 
 LIST, OBJECT = "array<variant>", "map<string,variant>"
-WHOLE_NUMBER = r"^(BIGINT|DECIMAL\(\d+,0\))$"
 
 
 def read_documents(spark: SparkSession, path: str, *, one_per_line: bool = False) -> DataFrame:
@@ -33,32 +32,34 @@ def _kind(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
+def _has(v: Column, path: str) -> Column:
+    """Whether the path leads to anything, JSON null included."""
+    return _get(v, path, "variant").isNotNull()
+
+
 def _series(v: Column) -> Column:
-    """The list of yearly entries: under data.timeseries, timeseries, data, or the document itself."""
-    envelope = _get(v, "$.data", OBJECT)
-    inner = F.when(F.map_contains_key(envelope, F.lit("timeseries")), _get(v, "$.data.timeseries", LIST))
-    top = _get(v, "$", OBJECT)
+    """The list of yearly entries: under timeseries, data.timeseries, data, or the document itself."""
     return (
-        F.when(F.map_contains_key(top, F.lit("timeseries")), _get(v, "$.timeseries", LIST))
-        .when(F.map_contains_key(envelope, F.lit("timeseries")), inner)
-        .when(F.map_contains_key(top, F.lit("data")), _get(v, "$.data", LIST))
+        F.when(_has(v, "$.timeseries"), _get(v, "$.timeseries", LIST))
+        .when(_has(v, "$.data.timeseries"), _get(v, "$.data.timeseries", LIST))
+        .when(_has(v, "$.data"), _get(v, "$.data", LIST))
         .otherwise(_get(v, "$", LIST))
     )
 
 
 def _year(entry: Column) -> Column:
     """A whole number, or text of digits only, within 1900..2100."""
-    kind, text = _kind(_get(entry, "$.year", "variant")), _get(entry, "$.year", "string")
-    usable = kind.rlike(WHOLE_NUMBER) | (kind == "STRING")
-    year = F.when(usable & text.rlike(r"^[0-9]+$"), text.try_cast("int"))
-    return F.when(year.between(1900, 2100), year)
+    text = _get(entry, "$.year", "string")
+    # 2022.0 also has the text "2022"; only its kind tells it apart.
+    whole = _kind(_get(entry, "$.year", "variant")).isin("BIGINT", "STRING")
+    return F.when(text.rlike("^0*(19[0-9]{2}|20[0-9]{2}|2100)$") & whole, text.try_cast("int"))
 
 
 def _number(info: Column, path: str) -> Column:
     """A JSON number or boolean, or text that is a number, as DOUBLE."""
-    text = strip(_get(info, path, "string"))
-    direct = F.when(_kind(_get(info, path, "variant")) != "STRING", _get(info, path, "double"))
-    return F.coalesce(direct, F.when(text.rlike(NUMBER_TEXT), text.try_cast("double")))
+    text = _get(info, path, "string")
+    truth = F.when(_kind(_get(info, path, "variant")) == "BOOLEAN", _get(info, path, "boolean"))
+    return F.coalesce(parse_number(text), truth.cast("int").cast("double"))
 
 
 def _count(info: Column) -> Column:
@@ -73,7 +74,8 @@ def _count(info: Column) -> Column:
 def _entries(df: DataFrame, json_col: str, id_col: str) -> DataFrame:
     require_columns(df, json_col, id_col)
     parsed = df.select(F.col(id_col).alias("__id"), F.try_parse_json(F.col(json_col)).alias("__doc"))
-    return parsed.select("__id", F.explode(_series(F.col("__doc"))).alias("__entry"))
+    # explode() would first filter on a second copy of its argument and so parse every document twice.
+    return parsed.select("__id", F.explode_outer(_series(F.col("__doc"))).alias("__entry"))
 
 
 def flatten_timeseries(df: DataFrame, json_col: str = "document", id_col: str = "location_id") -> DataFrame:
@@ -86,11 +88,10 @@ def flatten_timeseries(df: DataFrame, json_col: str = "document", id_col: str =
     years = entries.select("__id", _year(F.col("__entry")).alias("year"),
                            _get(F.col("__entry"), "$.seasons", OBJECT).alias("__seasons"))
     cells = (years.filter(F.col("year").isNotNull() & (strip(F.col("__id")) != ""))
-             .select("__id", "year", F.explode("__seasons").alias("season", "__info"))
-             .filter(F.col("season").isin(*SEASONS) & _get(F.col("__info"), "$", OBJECT).isNotNull()))
+             .select("__id", "year", F.explode_outer("__seasons").alias("season", "__info"))
+             .filter(F.col("season").isin(*SEASONS) & _kind(F.col("__info")).startswith("OBJECT")))
     info = F.col("__info")
-    quality = F.when(F.map_contains_key(_get(info, "$", OBJECT), F.lit("quality")), _get(info, "$.quality", "string"))
-    quality = quality.otherwise(F.lit("good"))
+    quality = F.when(_has(info, "$.quality"), _get(info, "$.quality", "string")).otherwise(F.lit("good"))
     return cells.select(
         strip(F.col("__id")).alias("location_id"), "year", "season",
         F.coalesce(_number(info, "$.area_ha"), F.lit(0.0)).alias("water_area_ha"),
