@@ -44,6 +44,14 @@ def to_number(df: DataFrame, name: str) -> Column:
     return without_nan(c.cast("double"))
 
 
+def not_negative(df: DataFrame, name: str) -> Column:
+    """Whether the column is a number >= 0, as a test on the column itself where it is numeric."""
+    dtype = df.schema[name].dataType
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return (F.col(name) >= 0) & ~F.isnan(name)
+    return (F.col(name) if isinstance(dtype, T.NumericType) else to_number(df, name)) >= 0
+
+
 def is_whole(number: Column) -> Column:
     return (number == F.floor(number)) & (F.abs(number) < 1e9)
 

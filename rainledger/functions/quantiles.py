@@ -21,10 +21,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .skew import MAX_HOT_KEYS
+from .skew import MAX_HOT_KEYS, local_table
 
 GROUP_ROWS = 50_000
 BUCKETS = 4096
+RANKS = T.StructType([T.StructField("in_interval", T.IntegerType()), T.StructField("tid", T.IntegerType()),
+                      T.StructField("rank", T.LongType())])
+VALUES = T.StructType([T.StructField("tid", T.IntegerType()), T.StructField("v", T.DoubleType())])
 
 
 @dataclass(frozen=True)
@@ -87,7 +90,7 @@ def _inside(df: DataFrame, by: Sequence[str], value: str, numbers: Mapping[tuple
         [T.StructField(f"__{k}", df.schema[k].dataType) for k in by]
         + [T.StructField("__low", T.DoubleType()), T.StructField("__high", T.DoubleType()),
            T.StructField("__interval", T.IntegerType())])
-    table = df.sparkSession.createDataFrame([(*i, n) for i, n in numbers.items()], schema)
+    table = local_table(df.sparkSession, [(*i, n) for i, n in numbers.items()], schema)
     # At most 2 * MAX_HOT_KEYS rows per quantile.
     found = df.select(*by, value).join(
         F.broadcast(table), [*_on(by), F.col(value).between(F.col("__low"), F.col("__high"))])
@@ -96,7 +99,7 @@ def _inside(df: DataFrame, by: Sequence[str], value: str, numbers: Mapping[tuple
 
 def _ranks(df: DataFrame, targets: Sequence[Target], numbers: Mapping[tuple, int]) -> DataFrame:
     rows = [(numbers[(*t.key, t.low, t.high)], t.tid, t.rank) for t in targets]
-    return F.broadcast(df.sparkSession.createDataFrame(rows, "in_interval int, tid int, rank long"))
+    return F.broadcast(local_table(df.sparkSession, rows, RANKS))
 
 
 def _one_round(df: DataFrame, by: Sequence[str], value: str, targets: Sequence[Target]) -> list[Target]:
@@ -138,7 +141,7 @@ def _by_counting(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[st
             todo = _one_round(df, by, value, todo)
 
     spark = df.sparkSession
-    values = spark.createDataFrame([(t.tid, t.low) for t in done if t.low == t.high], "tid int, v double")
+    values = local_table(spark, [(t.tid, t.low) for t in done if t.low == t.high], VALUES)
     rest = [t for t in done if t.low < t.high]
     if rest:
         numbers = _intervals(rest)
@@ -149,7 +152,7 @@ def _by_counting(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[st
             ranked.join(_ranks(df, rest, numbers), hit).select("tid", F.col(value).alias("v")))
     schema = T.StructType([T.StructField("wid", T.IntegerType()), *[df.schema[k] for k in by],
                            T.StructField("name", T.StringType()), T.StructField("weight", T.DoubleType())])
-    parts = values.join(F.broadcast(spark.createDataFrame(weights, schema)), F.col("tid") == F.col("wid"))
+    parts = values.join(F.broadcast(local_table(spark, weights, schema)), F.col("tid") == F.col("wid"))
     return parts.groupBy(*by).agg(*[
         F.sum(F.when(F.col("name") == name, F.col("v") * F.col("weight"))).alias(name) for name in probs])
 
@@ -172,7 +175,7 @@ def aggregate_with_quantiles(df: DataFrame, by: Sequence[str], aggs: Sequence[Co
     quantiles = _by_counting(df, by, value, probs, large, group_rows)
     if len(found) == max_large or len(large) < len(found):
         schema = T.StructType([T.StructField(f"__{k}", df.schema[k].dataType) for k in by])
-        keys = df.sparkSession.createDataFrame([g[:len(by)] for g in large], schema)
+        keys = local_table(df.sparkSession, [g[:len(by)] for g in large], schema)
         others = df.join(F.broadcast(keys), _on(by), "left_anti")
         quantiles = quantiles.unionByName(_by_window(others, by, value, probs))
     renamed = quantiles.withColumnsRenamed({k: f"__{k}" for k in by})

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +19,12 @@ HOT_KEY_ROWS = 1_000_000
 SALTS = 64
 
 
+def local_table(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType) -> DataFrame:
+    """A few driver rows as a table inside the plan, of known size to the optimizer."""
+    columns = [pa.array([r[i] for r in rows]) for i in range(len(schema.fields))]
+    return spark.createDataFrame(pa.table(columns, names=schema.names), schema)
+
+
 def measured_bytes(df: DataFrame) -> int:
     """Bytes of the values in ``df``, summed by one distributed job."""
     def width(field: T.StructField) -> Column:
@@ -49,7 +56,7 @@ def hot_keys(df: DataFrame, by: Sequence[str], more_than: int = HOT_KEY_ROWS,
     if not found:
         return None
     schema = T.StructType([df.schema[k] for k in by] + [T.StructField("n", T.LongType())])
-    return df.sparkSession.createDataFrame([tuple(r) for r in found], schema)
+    return local_table(df.sparkSession, [tuple(r) for r in found], schema)
 
 
 def _join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str, null_safe: bool) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.coerce import label, to_number
+from ..functions.coerce import label, not_negative, to_number
 from ..functions.quantiles import GROUP_ROWS, aggregate_with_quantiles
 from ..functions.skew import skew_join
 from ..schema import CHART_LABELS, SEASONS, require_columns
@@ -203,7 +203,7 @@ def bubble_radius(df: DataFrame, location: str | None = None, n: int = 100) -> D
     """Radius of the sphere drawn per row: one location's rows, or the first ``n`` in key order."""
     require_columns(df, LOCATION, YEAR, SEASON, AREA)
     area = to_number(df, AREA)
-    rows = df.filter(area >= 0)
+    rows = df.filter(not_negative(df, AREA))
     rows = rows.filter(F.col(LOCATION) == location) if location is not None else head_n(rows, n)
     return rows.select(LOCATION, YEAR, SEASON, AREA, (F.sqrt(area) / 10).alias("radius"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.coerce import aggregate_flag, label, to_number
+from ..functions.coerce import aggregate_flag, label, not_negative, to_number
 from ..functions.quantiles import GROUP_ROWS, aggregate_with_quantiles
 from ..schema import AGGREGATE_LABELS, require_columns, require_rows
 
@@ -58,8 +58,8 @@ def intervention_summary(df: DataFrame, flag: str = FLAG, *, area: str = AREA, c
     if unmatched == "drop":
         df = df.filter(F.col(flag).isNotNull())
     keep = [F.col(count)] if count in df.columns else []
-    rows = df.select(aggregate_flag(df, flag).alias(flag), to_number(df, area).alias(area),
-                     F.col(location), *keep).filter(F.col(area) >= 0)
+    rows = df.filter(not_negative(df, area)).select(
+        aggregate_flag(df, flag).alias(flag), to_number(df, area).alias(area), F.col(location), *keep)
     # Locations per group: one row per (group, location) first, so no row is expanded per distinct.
     locations = (rows.filter(F.col(location).isNotNull()).select(flag, location).distinct()
                  .groupBy(flag).agg(F.count(F.lit(1)).alias("__locations")))
@@ -96,9 +96,8 @@ def seasonal_summary(df: DataFrame, level: str = "location_id", *, season: str =
     if strict:
         require_rows(df)
     extra = [c for c in dict.fromkeys([location, count]) if c in df.columns and c != level]
-    rows = (df.filter(F.col(level).isNotNull() & F.col(season).isNotNull())
-            .select(level, season, to_number(df, area).alias(area), time, *extra)
-            .filter(F.col(area) >= 0))
+    rows = (df.filter(F.col(level).isNotNull() & F.col(season).isNotNull() & not_negative(df, area))
+            .select(level, season, to_number(df, area).alias(area), time, *extra))
     years = (rows.filter(F.col(time).isNotNull()).groupBy(level, season, time).agg(F.lit(1).alias("x"))
              .groupBy(level, season).agg(F.count("x").alias("__years")))
     stats = aggregate_with_quantiles(
