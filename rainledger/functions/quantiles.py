@@ -46,8 +46,8 @@ def _on(by: Sequence[str]) -> list[Column]:
     return [F.col(f"`{k}`") == F.col(f"`__{k}`") for k in by]
 
 
-def _largest_groups(df: DataFrame, by: Sequence[str], value: str, limit: int) -> list[tuple]:
-    """(key..., rows, low, high, values) of the ``limit`` largest groups."""
+def largest_groups(df: DataFrame, by: Sequence[str], value: str, limit: int = MAX_HOT_KEYS) -> list[tuple]:
+    """(key..., rows, low, high, values) of the ``limit`` largest groups, so of all if there are fewer."""
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.min(value), F.max(value), F.count(value))
     return [tuple(r) for r in sizes.orderBy(F.desc("__n")).limit(limit).collect()]
 
@@ -159,15 +159,16 @@ def _by_counting(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[st
 
 def aggregate_with_quantiles(df: DataFrame, by: Sequence[str], aggs: Sequence[Column], value: str,
                              probs: Mapping[str, float], *, group_rows: int = GROUP_ROWS,
-                             max_large: int = MAX_HOT_KEYS) -> DataFrame:
+                             max_large: int = MAX_HOT_KEYS, found: list[tuple] | None = None) -> DataFrame:
     """``groupBy(by).agg(aggs)`` plus one exact quantile column of ``value`` per entry of ``probs``.
 
     ``value`` is a DOUBLE column whose NULLs the quantiles ignore; keys must not be NULL. Quantiles
     are interpolated linearly. A group is large above ``group_rows`` rows. At most ``max_large``
     groups are treated as such; any further one holds at most ``1 / max_large`` of the rows, as
-    ``max_large`` groups are no smaller, and is sorted within a task, with spilling.
+    ``max_large`` groups are no smaller, and is sorted within a task, with spilling. A caller that
+    has the result of ``largest_groups`` already passes it as ``found``.
     """
-    found = _largest_groups(df, by, value, max_large)
+    found = largest_groups(df, by, value, max_large) if found is None else found
     large = [g for g in found if g[-4] > group_rows]
     if not large:
         exact = [F.percentile(value, F.lit(float(p))).alias(name) for name, p in probs.items()]

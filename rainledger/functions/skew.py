@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BROADCAST_BYTES = 64 * 1024 * 1024
-MAX_HOT_KEYS = 1000
+MAX_HOT_KEYS = 10_000
 HOT_KEY_ROWS = 1_000_000
 SALTS = 64
 

@@ -8,15 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.coerce import label, not_negative, to_number
-from ..functions.quantiles import GROUP_ROWS, aggregate_with_quantiles
-from ..functions.skew import skew_join
+from ..functions.quantiles import GROUP_ROWS, aggregate_with_quantiles, largest_groups
+from ..functions.skew import MAX_HOT_KEYS, skew_join
 from ..schema import CHART_LABELS, SEASONS, require_columns
 
 LOCATION, YEAR, SEASON = "location_id", "year", "season"
 AREA, COUNT, FLAG = "water_area_ha", "water_body_count", "pond_presence"
 DASHBOARD_SEASONS = ("perennial", "winter", "monsoon")
 BINS = 30
-FEW_GROUPS = 10_000
 
 
 def _mean(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
@@ -131,14 +130,14 @@ def box_stats(df: DataFrame, by: str = SEASON, value: str = AREA, *, years: tupl
     if years is not None:
         df = df.filter(F.col(YEAR).between(*years))
     rows = df.filter(F.col(by).isNotNull()).select(by, to_number(df, value).alias("v")).filter(F.col("v").isNotNull())
+    found = largest_groups(rows, [by], "v")
     quartiles = aggregate_with_quantiles(
         rows, [by], [F.count("v").alias("records")], "v", {"q1": 0.25, "median": 0.5, "q3": 0.75},
-        group_rows=group_rows)
+        group_rows=group_rows, found=found)
     fence = 1.5 * (F.col("q3") - F.col("q1"))
     fences = quartiles.withColumns({"low": F.col("q1") - fence, "high": F.col("q3") + fence})
-    if rows.select(by).distinct().limit(FEW_GROUPS + 1).count() <= FEW_GROUPS:
-        key = fences.withColumnRenamed(by, "__by")
-        placed = rows.join(F.broadcast(key), F.col(by) == F.col("__by"))  # at most FEW_GROUPS rows
+    if len(found) < MAX_HOT_KEYS:  # these are all groups, so fences has as few rows
+        placed = rows.join(F.broadcast(fences.withColumnRenamed(by, "__by")), F.col(by) == F.col("__by"))
     else:
         placed = skew_join(rows, fences, [by], "inner")
     inside = F.col("v").between(F.col("low"), F.col("high"))

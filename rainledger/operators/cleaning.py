@@ -103,6 +103,15 @@ def _intervention_reason(df: DataFrame, rules: Rules) -> Column:
     return _first_reason([*_year_reasons(df, rules), (missing, "missing_value")])
 
 
+def valid_observations(df: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
+    """Typed rows that break no rule: cleaning row by row, duplicates left in."""
+    typed = _observation_columns(df, rules)
+    kept = df.filter(_valid_observation(df, rules)).withColumns(typed)
+    if rules.quality not in df.columns:
+        kept = kept.withColumn(rules.quality, F.lit(rules.default_quality))
+    return kept
+
+
 def clean_observations(df: DataFrame, rules: Rules = DEFAULT, *, strict: bool = False) -> DataFrame:
     """Typed, valid and distinct observations.
 
@@ -111,11 +120,7 @@ def clean_observations(df: DataFrame, rules: Rules = DEFAULT, *, strict: bool =
     """
     if strict:
         require_rows(df)
-    typed = _observation_columns(df, rules)
-    kept = df.filter(_valid_observation(df, rules)).withColumns(typed).dropDuplicates()
-    if rules.quality not in df.columns:
-        kept = kept.withColumn(rules.quality, F.lit(rules.default_quality))
-    return kept
+    return valid_observations(df, rules).dropDuplicates()
 
 
 def clean_interventions(df: DataFrame, rules: Rules = DEFAULT, *, strict: bool = False) -> DataFrame:

@@ -60,14 +60,13 @@ def intervention_summary(df: DataFrame, flag: str = FLAG, *, area: str = AREA, c
     keep = [F.col(count)] if count in df.columns else []
     rows = df.filter(not_negative(df, area)).select(
         aggregate_flag(df, flag).alias(flag), to_number(df, area).alias(area), F.col(location), *keep)
-    # Locations per group: one row per (group, location) first, so no row is expanded per distinct.
-    locations = (rows.filter(F.col(location).isNotNull()).select(flag, location).distinct()
-                 .groupBy(flag).agg(F.count(F.lit(1)).alias("__locations")))
+    # A single distinct count needs no copy of the rows: partial results are kept per (flag, location).
     stats = aggregate_with_quantiles(
-        rows, [flag], [*_area_aggregates(area), *_body_count_aggregates(rows, count)],
+        rows, [flag],
+        [*_area_aggregates(area), *_body_count_aggregates(rows, count),
+         F.countDistinct(location).alias(f"{location}_nunique")],
         area, {f"{area}_median": 0.5}, group_rows=group_rows)
     # At most two rows from here on.
-    stats = stats.join(locations.withColumnRenamed(flag, "__flag"), F.col(flag) == F.col("__flag"), "left")
     both = Window.partitionBy(F.lit(1))
     base = F.max(F.when(F.col(flag) == 0, F.col(f"{area}_mean"))).over(both)
     groups = F.count(F.lit(1)).over(both)
@@ -76,7 +75,7 @@ def intervention_summary(df: DataFrame, flag: str = FLAG, *, area: str = AREA, c
     return stats.select(
         flag, *[f"{area}_{s}" for s in ("mean", "std", "min", "max", "count", "median")],
         F.col(f"{area}_count").alias(f"{area}_valid_count"), *bodies,
-        F.coalesce("__locations", F.lit(0)).cast("long").alias(f"{location}_nunique"),
+        f"{location}_nunique",
         label(F.col(flag), AGGREGATE_LABELS).alias("intervention_type"),
         _variation(area),
         F.when((groups == 2) & (base > 0), increase).alias("water_area_increase_pct"),
@@ -98,16 +97,12 @@ def seasonal_summary(df: DataFrame, level: str = "location_id", *, season: str =
     extra = [c for c in dict.fromkeys([location, count]) if c in df.columns and c != level]
     rows = (df.filter(F.col(level).isNotNull() & F.col(season).isNotNull() & not_negative(df, area))
             .select(level, season, to_number(df, area).alias(area), time, *extra))
-    years = (rows.filter(F.col(time).isNotNull()).groupBy(level, season, time).agg(F.lit(1).alias("x"))
-             .groupBy(level, season).agg(F.count("x").alias("__years")))
     stats = aggregate_with_quantiles(
         rows, [level, season],
         [*_area_aggregates(area), F.min(time).alias(f"{time}_min"), F.max(time).alias(f"{time}_max"),
-         F.count(location).alias(f"{location}_count"), *_body_count_aggregates(rows, count)],
+         F.countDistinct(time).alias(f"{time}_nunique"), F.count(location).alias(f"{location}_count"),
+         *_body_count_aggregates(rows, count)],
         area, {f"{area}_median": 0.5}, group_rows=group_rows)
-    same = (F.col(level) == F.col("__level")) & (F.col(season) == F.col("__season"))
-    years = years.withColumnsRenamed({level: "__level", season: "__season"})
-    stats = stats.join(years, same, "left")
     span = F.col("year_span")
     nunique = F.col(f"{time}_nunique")
     completeness = (F.when(nunique == 0, F.lit(0.0)).when(span == 0, F.lit(float("inf")))
@@ -120,11 +115,9 @@ def seasonal_summary(df: DataFrame, level: str = "location_id", *, season: str =
     )
     return (
         stats.withColumns({
-            f"{time}_nunique": F.coalesce("__years", F.lit(0)).cast("long"),
             "year_span": F.col(f"{time}_max") - F.col(f"{time}_min"),
             f"{area}_cv": _variation(area),
         })
-        .drop("__level", "__season", "__years")
         .withColumn("data_completeness", completeness)
         .withColumn("data_quality", quality)
     )
@@ -270,17 +263,14 @@ def fetch_summary(df: DataFrame, *, location: str = "location_id", area: str = A
                   season: str = "season") -> DataFrame:
     """Coverage of a cleaned table in one row: locations, years, seasons, range of the measure."""
     require_columns(df, location, area, time, season)
+    # One row per place and season is left for the distinct values, however many rows there were.
     parts = df.groupBy(location, season).agg(
         F.min(time).alias("y0"), F.max(time).alias("y1"), F.min(area).alias("a0"), F.max(area).alias("a1"))
-    seasons = parts.groupBy(season).agg(
-        F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.min("a0").alias("a0"), F.max("a1").alias("a1"))
-    # One row per season is left for the text, however many rows there were.
-    text = seasons.agg(
+    return parts.agg(
+        F.countDistinct(location).alias("locations"),
         F.min("y0").alias("first_year"), F.max("y1").alias("last_year"),
         F.array_join(F.array_sort(F.collect_set(season)), ", ").alias("seasons"),
         F.min("a0").alias("min_water_area_ha"), F.max("a1").alias("max_water_area_ha"))
-    locations = parts.select(location).distinct().agg(F.count(location).alias("locations"))
-    return text.select(locations.scalar().alias("locations"), "*")
 
 
 def value_distribution(df: DataFrame, column: str) -> DataFrame:

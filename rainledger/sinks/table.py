@@ -37,7 +37,11 @@ def write_table(df: DataFrame, directory: str, name: str, fmt: str = "csv", *,
     target = f"{directory.rstrip('/')}/{clean_filename(name)}.{fmt}"
     if not allow_empty and df.isEmpty():
         raise ValueError("cannot export an empty table")
-    out = ordered(df, keys) if keys else df
+    if keys:
+        out = ordered(df, keys)
+    else:
+        # Few files per directory, and a directory with most of the rows still split by size.
+        out = df.hint("rebalance", *partition_by) if partition_by else df
     writer = out.write.mode("overwrite").format(fmt)
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -17,13 +17,17 @@ from ..schema import SEASONS, UNIT_TYPES, Rules, require_columns
 LIST, OBJECT = "array<variant>", "map<string,variant>"
 
 
-def read_documents(spark: SparkSession, path: str, *, one_per_line: bool = False) -> DataFrame:
-    """Documents of a landing directory as (location_id, document); the file name is the id."""
-    text = spark.read.text(path, wholetext=not one_per_line)
+def documents_from(text: DataFrame) -> DataFrame:
+    """(location_id, document) of text files; the file name without its suffix is the id."""
     stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[A-Za-z]+)?$", 1)
     return text.select(F.url_decode(stem).alias("location_id"), F.col("value").alias("document"))
 
 
+def read_documents(spark: SparkSession, path: str, *, one_per_line: bool = False) -> DataFrame:
+    """Documents of a landing directory, one per file or one per line."""
+    return documents_from(spark.read.text(path, wholetext=not one_per_line))
+
+
 def _get(v: Column, path: str, kind: str) -> Column:
     return F.try_variant_get(v, path, kind)
 

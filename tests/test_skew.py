@@ -101,7 +101,7 @@ def test_box_stats_with_many_groups(spark, monkeypatch):
     df = spark.createDataFrame([(f"s{i % 20}", float(i * i % 997)) for i in range(2000)],
                                "season string, water_area_ha double")
     want = canon(charts.box_stats(df))
-    monkeypatch.setattr(charts, "FEW_GROUPS", 3)
+    monkeypatch.setattr(charts, "MAX_HOT_KEYS", 3)
     assert canon(charts.box_stats(df)) == want
 
 
