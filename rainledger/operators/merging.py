@@ -29,6 +29,7 @@ def merge_interventions(obs: DataFrame, nrm: DataFrame, on: Sequence[str] = KEYS
     require_columns(nrm, *on)
     if strict:
         require_rows(obs, "observations")
+    obs, nrm = obs.drop(AVAILABLE), nrm.drop(AVAILABLE)
     overlap = {c: c + suffix for c in nrm.columns if c in obs.columns and c not in on}
     right = nrm.withColumnsRenamed(overlap).withColumn(AVAILABLE, F.lit(True))
     joined = skew_join(obs, right, list(on), "left", null_safe=null_safe,

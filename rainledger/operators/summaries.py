@@ -284,9 +284,13 @@ def correlation(df: DataFrame, columns: Sequence[str] = (FLAG, AREA)) -> DataFra
     require_columns(df, *columns)
     rows = df.select(*[to_number(df, c).alias(c) for c in columns])
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    # corr() of a constant column is NaN, which means undefined here.
-    one = rows.agg(*[
-        F.nanvl(F.corr(a, b), F.lit(None).cast("double")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
+
+    def pearson(a: str, b: str) -> Column:
+        # corr() fails on a constant column, whose correlation is undefined: NULL here.
+        spread = [F.stddev_pop(F.when(F.col(y).isNotNull(), F.col(x))) for x, y in ((a, b), (b, a))]
+        return F.try_divide(F.covar_pop(a, b), spread[0] * spread[1])
+
+    one = rows.agg(*[pearson(a, b).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
     cells = [F.struct(F.lit(x).alias("column_a"), F.lit(y).alias("column_b"), F.col(f"p{i}").alias("correlation"))
              for i, (a, b) in enumerate(pairs) for x, y in dict.fromkeys([(a, b), (b, a)])]
     return one.select(F.inline(F.array(*cells)))
