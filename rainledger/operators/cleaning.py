@@ -103,6 +103,11 @@ def _intervention_reason(df: DataFrame, rules: Rules) -> Column:
     return _first_reason([*_year_reasons(df, rules), (missing, "missing_value")])
 
 
+def typed_observations(df: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
+    """The known columns as numbers, every row kept: the shape charts and reports read uncleaned."""
+    return df.withColumns(_observation_columns(df, rules))
+
+
 def valid_observations(df: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
     """Typed rows that break no rule: cleaning row by row, duplicates left in."""
     typed = _observation_columns(df, rules)

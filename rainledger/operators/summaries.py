@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.coerce import aggregate_flag, label, not_negative, to_number
+from ..functions.coerce import aggregate_flag, label, not_negative, to_number, to_year
 from ..functions.quantiles import GROUP_ROWS, aggregate_with_quantiles
 from ..schema import AGGREGATE_LABELS, require_columns, require_rows
 
@@ -134,63 +134,68 @@ def _per_location(df: DataFrame, location: str, area: str, time: str, flag: str)
         aggs += [F.sum(a).alias("area"), F.count(a).alias("n_area"), F.max(a).alias("a_max"),
                  F.min(a).alias("a_min")]
     if time in df.columns:
-        aggs += [F.min(time).alias("y_min"), F.max(time).alias("y_max")]
+        y = to_year(df, time)
+        aggs += [F.min(y).alias("y_min"), F.max(y).alias("y_max")]
     if flag in df.columns:
-        aggs += [F.count_if(F.col(flag) == 1).alias("with"), F.count_if(F.col(flag) == 0).alias("without")]
-    return df.groupBy(location).agg(*aggs)
+        f = to_number(df, flag)
+        aggs += [F.count_if(f == 1).alias("with"), F.count_if(f == 0).alias("without")]
+    place = F.col(location) if location in df.columns else F.lit(None).cast("string")
+    return df.groupBy(place.alias("place")).agg(*aggs)
 
 
-def _long(df: DataFrame, names: Sequence[str], name: str = "metric") -> DataFrame:
-    """The columns of a one-row table as (name, value) rows."""
-    return df.unpivot([], list(names), name, "value")
+def _long(df: DataFrame, metrics: dict[str, Column]) -> DataFrame:
+    """One global aggregate per metric, as (metric, value) rows of text."""
+    one = df.agg(*[c.cast("string").alias(m) for m, c in metrics.items()])
+    return one.unpivot([], list(metrics), "metric", "value")
 
 
 def _fixed(c: Column, digits: int) -> Column:
     return F.format_string(f"%.{digits}f", c)
 
 
-def _year_range(df: DataFrame, time: str) -> Column:
-    whole = isinstance(df.schema[time].dataType, T.IntegralType)
-    ends = [F.col(c) if whole else F.col(c).cast("int") for c in ("y_min", "y_max")]
-    return F.concat_ws("-", *[F.min(ends[0]).cast("string"), F.max(ends[1]).cast("string")])
+def _common_metrics(df: DataFrame, location: str, time: str) -> tuple[Column, Column]:
+    """Distinct locations and range of years, "N/A" without their column."""
+    missing = F.max(F.lit("N/A"))
+    years = F.concat_ws("-", F.min("y_min").cast("string"), F.max("y_max").cast("string"))
+    return F.count("place") if location in df.columns else missing, years if time in df.columns else missing
 
 
 def summary_metrics(df: DataFrame, *, location: str = "location_id", area: str = AREA, time: str = "year",
                     flag: str = FLAG) -> DataFrame:
     """Report table of (metric, value) texts; a missing flag counts as without intervention."""
-    require_columns(df, location)
-    aggs = {"Total Records": F.sum("n").cast("string"), "Unique Locations": F.count(location).cast("string")}
-    if time in df.columns:
-        aggs["Year Range"] = _year_range(df, time)
+    places, years = _common_metrics(df, location, time)
+    metrics = {"Total Records": F.coalesce(F.sum("n"), F.lit(0)), "Unique Locations": places, "Year Range": years}
     if area in df.columns:
-        aggs["Mean Water Area (ha)"] = _fixed(F.try_divide(F.sum("area"), F.sum("n_area")), 2)
-        aggs["Max Water Area (ha)"] = _fixed(F.max("a_max"), 2)
-        aggs["Min Water Area (ha)"] = _fixed(F.min("a_min"), 2)
+        metrics["Mean Water Area (ha)"] = _fixed(F.try_divide(F.sum("area"), F.sum("n_area")), 2)
+        metrics["Max Water Area (ha)"] = _fixed(F.max("a_max"), 2)
+        metrics["Min Water Area (ha)"] = _fixed(F.min("a_min"), 2)
     if flag in df.columns:
-        aggs["Records with Pond"] = F.sum("with").cast("string")
-        aggs["Records without Pond"] = (F.sum("n") - F.sum("with")).cast("string")
-    one = _per_location(df, location, area, time, flag).agg(*[c.alias(m) for m, c in aggs.items()])
-    return _long(one, list(aggs))
+        metrics["Records with Pond"] = F.sum("with")
+        metrics["Records without Pond"] = F.sum("n") - F.sum("with")
+    return _long(_per_location(df, location, area, time, flag), metrics)
 
 
 def quick_stats(df: DataFrame, *, location: str = "location_id", area: str = AREA, time: str = "year",
                 flag: str = FLAG) -> DataFrame:
-    """Short (metric, value) texts; a location counts once per flag value, missing flags in neither."""
-    require_columns(df, location)
-    aggs = {"Total Locations": F.count(location).cast("string")}
-    if time in df.columns:
-        aggs["Year Range"] = _year_range(df, time)
-    aggs["Total Records"] = F.format_number(F.sum("n"), 0)
+    """Short (metric, value) texts; a location counts once per flag value, missing flags in neither.
+
+    A metric whose column is absent is "N/A".
+    """
+    places, years = _common_metrics(df, location, time)
+    missing = F.max(F.lit("N/A"))
+    metrics = {"Total Locations": places, "Year Range": years,
+               "Total Records": F.format_number(F.coalesce(F.sum("n"), F.lit(0)), 0),
+               "Avg Water Area": missing, "Max Water Area": missing,
+               "Locations with Ponds": missing, "Locations without Ponds": missing}
     if area in df.columns:
         mean = F.try_divide(F.sum("area"), F.sum("n_area"))
-        aggs["Avg Water Area"] = F.concat(_fixed(mean, 1), F.lit(" ha"))
-        aggs["Max Water Area"] = F.concat(_fixed(F.max("a_max"), 1), F.lit(" ha"))
-    if flag in df.columns:
-        known = F.col(location).isNotNull()
-        aggs["Locations with Ponds"] = F.count_if(known & (F.col("with") > 0)).cast("string")
-        aggs["Locations without Ponds"] = F.count_if(known & (F.col("without") > 0)).cast("string")
-    one = _per_location(df, location, area, time, flag).agg(*[c.alias(m) for m, c in aggs.items()])
-    return _long(one, list(aggs))
+        metrics["Avg Water Area"] = F.concat(_fixed(mean, 1), F.lit(" ha"))
+        metrics["Max Water Area"] = F.concat(_fixed(F.max("a_max"), 1), F.lit(" ha"))
+    if flag in df.columns and location in df.columns:
+        known = F.col("place").isNotNull()
+        metrics["Locations with Ponds"] = F.count_if(known & (F.col("with") > 0))
+        metrics["Locations without Ponds"] = F.count_if(known & (F.col("without") > 0))
+    return _long(_per_location(df, location, area, time, flag), metrics)
 
 
 def key_insights(df: DataFrame, *, area: str = AREA, time: str = "year", season: str = "season",

@@ -238,6 +238,11 @@ ORACLE: dict[str, str] = {
         {same('water_area_ha')}, CAST(water_body_count AS INT), NULL FROM grain""",
     "select_observations": f"""SELECT {OBS} FROM water WHERE location_id IN ('V000001', 'V000002', 'V000007')
         AND year BETWEEN 1996 AND 1998 AND season IN ('monsoon', 'winter')""",
+    "sample_data": """SELECT concat('V00', CAST(i // 3 % 2 + 1 AS VARCHAR)) AS location_id,
+        CAST(2020 + i % 3 AS INT) AS year,
+        CASE i % 3 WHEN 0 THEN 'perennial' WHEN 1 THEN 'winter' ELSE 'monsoon' END AS season,
+        'good' AS data_quality, count(*) AS records, true AS in_range
+        FROM (SELECT row_number() OVER () - 1 AS i FROM lineitem) GROUP BY ALL""",
     "sink_roundtrip": f"SELECT location_id, year, season, {same('water_area_ha')}, water_body_count FROM grain",
     "clean_water": CLEAN_TEXT,
     "clean_report": report("(SELECT * FROM water_judged UNION ALL SELECT * FROM water_judged)", REASONS,

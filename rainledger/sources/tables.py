@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.cleaning import clean_interventions, clean_observations
+from ..operators.cleaning import clean_interventions, clean_observations, typed_observations
 from ..schema import INTERVENTIONS, NULL_TOKENS, OBSERVATIONS, SEASONS, Rules, require_columns
 
 LATIN1 = "ISO-8859-1"
@@ -39,9 +39,9 @@ def is_utf8(spark: SparkSession, path: str) -> bool:
 
 def read_observations(spark: SparkSession, path: str, *, clean: bool = True, rules: Rules = Rules(),
                       **csv) -> DataFrame:
-    """Observations from CSV, cleaned unless told otherwise."""
+    """Observations from CSV, cleaned, or with ``clean=False`` typed only."""
     raw = read_csv_text(spark, path, **csv)
-    return clean_observations(raw, rules) if clean else raw
+    return clean_observations(raw, rules) if clean else typed_observations(raw, rules)
 
 
 def read_interventions(spark: SparkSession, path: str, *, clean: bool = True, rules: Rules = Rules(),

@@ -115,6 +115,15 @@ def test_missing_flags_have_three_meanings(spark):
         summaries.intervention_summary(df, "nope")
 
 
+def test_metrics_without_their_columns(spark):
+    df = spark.createDataFrame([(5.0,), (7.0,)], "water_area_ha double")
+    metrics = {r.metric: r.value for r in summaries.summary_metrics(df).collect()}
+    assert metrics == {"Total Records": "2", "Unique Locations": "N/A", "Year Range": "N/A",
+                       "Mean Water Area (ha)": "6.00", "Max Water Area (ha)": "7.00", "Min Water Area (ha)": "5.00"}
+    quick = {r.metric: r.value for r in summaries.quick_stats(df).collect()}
+    assert (quick["Total Locations"], quick["Avg Water Area"], quick["Locations with Ponds"]) == ("N/A", "6.0 ha", "N/A")
+
+
 def test_insight_edges(spark):
     tied = panel(spark, [("a", 2020, "winter", 5.0), ("a", 2020, "monsoon", 5.0)])
     got = {r.insight: r.level for r in summaries.key_insights(tied).collect()}

@@ -104,6 +104,14 @@ def test_csv_null_tokens_and_quotes(spark, tmp_path):
         ("V1", 2020, 1, "pond", 'a, "b"'), ("V3", 2021, 0, None, None)]
 
 
+def test_uncleaned_observations_are_typed(spark, tmp_path):
+    f = tmp_path / "water.csv"
+    f.write_text("location_id,year,season,water_area_ha,water_body_count\nV1,2020,Spring,-5,x\n")
+    got = sources.read_observations(spark, str(f), clean=False)
+    assert got.collect() == [("V1", 2020, "Spring", -5.0, None)]
+    assert sources.read_observations(spark, str(f)).isEmpty()
+
+
 def test_latin1_fallback(spark, tmp_path):
     text = "location_id,year,note\nV1,2020,São José\n"
     for encoding in ("utf-8", "latin-1"):
