@@ -44,6 +44,16 @@ def to_number(df: DataFrame, name: str) -> Column:
     return without_nan(c.cast("double"))
 
 
+def computed_once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """Add columns that filters above do not compute again.
+
+    The optimizer moves a filter below a projection by copying the projected expressions into it,
+    once per mention. It does not do so for the output of a generator, here of a single row.
+    """
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
 def not_negative(df: DataFrame, name: str) -> Column:
     """Whether the column is a number >= 0, as a test on the column itself where it is numeric."""
     dtype = df.schema[name].dataType

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.coerce import (
-    is_whole, normalize_columns, normalize_flag, strip, to_number, to_year,
+    computed_once, is_whole, normalize_columns, normalize_flag, strip, to_number, without_nan,
 )
 from ..schema import INTERVENTION_TYPES, Rules, require_columns, require_rows
 
@@ -22,8 +22,34 @@ OBSERVATION_REASONS = (
 INTERVENTION_REASONS = ("year_not_whole", "year_out_of_range", "missing_value")
 
 
-def _year_reasons(df: DataFrame, rules: Rules) -> list[tuple[Column, str]]:
-    number = to_number(df, rules.year)
+class _Numbers:
+    """The numeric columns of a raw table: text parsed once per row, numbers as they are."""
+
+    def __init__(self, df: DataFrame, *names: str) -> None:
+        names = tuple(n for n in names if n in df.columns)
+        self.types = {n: df.schema[n].dataType for n in names}
+        parsed = {f"__{n}": to_number(df, n) for n in names if not isinstance(self.types[n], T.NumericType)}
+        self.columns = df.columns
+        self.df = computed_once(df, parsed) if parsed else df
+
+    def whole(self, name: str) -> bool:
+        return isinstance(self.types[name], T.IntegralType)
+
+    def plain(self, name: str) -> Column:
+        """For comparisons: the column itself where it is numeric, so that they reach the scan."""
+        return F.col(name if isinstance(self.types[name], T.NumericType) else f"__{name}")
+
+    def value(self, name: str) -> Column:
+        """Integers unchanged, anything else as DOUBLE without NaN."""
+        return self.plain(name) if self.whole(name) else without_nan(self.plain(name).cast("double"))
+
+    def year(self, name: str) -> Column:
+        number = self.value(name)
+        return (number if self.whole(name) else F.when(is_whole(number), number)).try_cast("int")
+
+
+def _year_reasons(n: _Numbers, rules: Rules) -> list[tuple[Column, str]]:
+    number = n.value(rules.year)
     return [
         (number.isNotNull() & ~is_whole(number), "year_not_whole"),
         (~number.between(rules.year_min, rules.year_max), "year_out_of_range"),
@@ -37,81 +63,83 @@ def _first_reason(checks: list[tuple[Column, str]]) -> Column:
     return out
 
 
-def _observation_columns(df: DataFrame, rules: Rules) -> dict[str, Column]:
+def _observation_numbers(df: DataFrame, rules: Rules) -> _Numbers:
     require_columns(df, rules.location, rules.year, rules.season, rules.area)
-    typed = {rules.year: to_year(df, rules.year), rules.area: to_number(df, rules.area)}
-    if rules.count in df.columns:
-        whole = isinstance(df.schema[rules.count].dataType, T.IntegralType)
-        typed[rules.count] = F.col(rules.count) if whole else to_number(df, rules.count)
-    return typed
+    return _Numbers(df, rules.year, rules.area, rules.count)
+
+
+def _observation_columns(n: _Numbers, rules: Rules) -> list[Column]:
+    typed = {rules.year: n.year(rules.year), rules.area: n.value(rules.area).cast("double")}
+    if rules.count in n.types:
+        typed[rules.count] = n.value(rules.count)
+    return [typed.get(c, F.col(f"`{c}`")).alias(c) for c in n.columns]
 
 
-def _observation_reason(df: DataFrame, rules: Rules) -> Column:
+def _observation_reason(n: _Numbers, rules: Rules) -> Column:
     """The first rule a row breaks, NULL if none."""
-    area, season = to_number(df, rules.area), F.col(rules.season)
+    area, season = n.value(rules.area), F.col(rules.season)
     checks = [
-        *_year_reasons(df, rules),
+        *_year_reasons(n, rules),
         (season.isNull() | ~season.isin(*rules.seasons), "invalid_season"),
-        (to_number(df, rules.year).isNull() | area.isNull(), "missing_value"),
+        (n.value(rules.year).isNull() | area.isNull(), "missing_value"),
         (~area.between(rules.area_min, rules.area_max), "area_out_of_range"),
     ]
-    if rules.count in df.columns:
-        number = to_number(df, rules.count)
+    if rules.count in n.types:
+        number = n.value(rules.count)
         checks.append((number.isNull() | (number < 0), "invalid_body_count"))
     return _first_reason(checks)
 
 
-def _plain_range(df: DataFrame, name: str, low: float, high: float) -> Column:
-    """Range test on the column itself where it is a number, so that it reaches the file scan.
+def _year_in_range(n: _Numbers, rules: Rules) -> Column:
+    # NaN needs no test of its own in a range: it is above every bound.
+    in_range = n.plain(rules.year).between(rules.year_min, rules.year_max)
+    return in_range if n.whole(rules.year) else in_range & is_whole(n.plain(rules.year))
 
-    NaN needs no test of its own: it is above every bound.
-    """
-    number = isinstance(df.schema[name].dataType, T.NumericType)
-    return (F.col(name) if number else to_number(df, name)).between(low, high)
-
-
-def _year_in_range(df: DataFrame, rules: Rules) -> Column:
-    in_range = _plain_range(df, rules.year, rules.year_min, rules.year_max)
-    whole = isinstance(df.schema[rules.year].dataType, T.IntegralType)
-    return in_range if whole else in_range & is_whole(to_number(df, rules.year))
 
-
-def _valid_observation(df: DataFrame, rules: Rules) -> Column:
+def _valid_observation(n: _Numbers, rules: Rules) -> Column:
     """The same rules as ``_observation_reason`` as one conjunction of simple tests."""
-    valid = (_year_in_range(df, rules) & F.col(rules.season).isin(*rules.seasons)
-             & _plain_range(df, rules.area, rules.area_min, rules.area_max))
-    if rules.count in df.columns:
-        whole = isinstance(df.schema[rules.count].dataType, T.IntegralType)
-        valid = valid & ((F.col(rules.count) if whole else to_number(df, rules.count)) >= 0)
+    valid = (_year_in_range(n, rules) & F.col(rules.season).isin(*rules.seasons)
+             & n.plain(rules.area).between(rules.area_min, rules.area_max))
+    if rules.count in n.types:
+        number = n.plain(rules.count)
+        valid = valid & (number >= 0)
+        if not n.whole(rules.count):
+            valid = valid & (number <= float("inf"))
     return valid
 
 
-def _intervention_columns(df: DataFrame, rules: Rules) -> dict[str, Column]:
+def _interventions(df: DataFrame, rules: Rules) -> _Numbers:
+    df = normalize_columns(df)
     require_columns(df, rules.location, rules.year)
-    typed = {rules.year: to_year(df, rules.year)}
-    if "pond_presence" in df.columns:
-        typed["pond_presence"] = normalize_flag(F.col("pond_presence"))
-    if "intervention_type" in df.columns:
-        typed["intervention_type"] = F.lower(strip(F.col("intervention_type").cast("string")))
-    if "crop_yield_ton_per_ha" in df.columns:
-        typed["crop_yield_ton_per_ha"] = to_number(df, "crop_yield_ton_per_ha")
-    return typed
+    return _Numbers(df, rules.year, "crop_yield_ton_per_ha")
 
 
-def _intervention_reason(df: DataFrame, rules: Rules) -> Column:
-    missing = F.col(rules.location).isNull() | to_number(df, rules.year).isNull()
-    return _first_reason([*_year_reasons(df, rules), (missing, "missing_value")])
+def _intervention_columns(n: _Numbers, rules: Rules) -> list[Column]:
+    typed = {
+        rules.year: n.year(rules.year),
+        "pond_presence": normalize_flag(F.col("pond_presence")),
+        "intervention_type": F.lower(strip(F.col("intervention_type").cast("string"))),
+    }
+    if "crop_yield_ton_per_ha" in n.types:
+        typed["crop_yield_ton_per_ha"] = n.value("crop_yield_ton_per_ha").cast("double")
+    return [typed.get(c, F.col(f"`{c}`")).alias(c) for c in n.columns]
+
+
+def _intervention_reason(n: _Numbers, rules: Rules) -> Column:
+    missing = F.col(rules.location).isNull() | n.value(rules.year).isNull()
+    return _first_reason([*_year_reasons(n, rules), (missing, "missing_value")])
 
 
 def typed_observations(df: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
     """The known columns as numbers, every row kept: the shape charts and reports read uncleaned."""
-    return df.withColumns(_observation_columns(df, rules))
+    n = _observation_numbers(df, rules)
+    return n.df.select(*_observation_columns(n, rules))
 
 
 def valid_observations(df: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
     """Typed rows that break no rule: cleaning row by row, duplicates left in."""
-    typed = _observation_columns(df, rules)
-    kept = df.filter(_valid_observation(df, rules)).withColumns(typed)
+    n = _observation_numbers(df, rules)
+    kept = n.df.filter(_valid_observation(n, rules)).select(*_observation_columns(n, rules))
     if rules.quality not in df.columns:
         kept = kept.withColumn(rules.quality, F.lit(rules.default_quality))
     return kept
@@ -132,10 +160,9 @@ def clean_interventions(df: DataFrame, rules: Rules = DEFAULT, *, strict: bool =
     """Typed, valid and distinct intervention records with normalised headers and flags."""
     if strict:
         require_rows(df)
-    df = normalize_columns(df)
-    typed = _intervention_columns(df, rules)
-    valid = _year_in_range(df, rules) & F.col(rules.location).isNotNull()
-    return df.filter(valid).withColumns(typed).dropDuplicates()
+    n = _interventions(df, rules)
+    valid = _year_in_range(n, rules) & F.col(rules.location).isNotNull()
+    return n.df.filter(valid).select(*_intervention_columns(n, rules)).dropDuplicates()
 
 
 def _report(typed: DataFrame, reasons: Sequence[str], rules: Rules) -> DataFrame:
@@ -169,21 +196,23 @@ def _report(typed: DataFrame, reasons: Sequence[str], rules: Rules) -> DataFrame
 
 def cleaning_report(df: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
     """How many observations each rule removes. A row counts under the first rule it breaks."""
-    typed = df.withColumns({**_observation_columns(df, rules), "__reason": _observation_reason(df, rules)})
+    n = _observation_numbers(df, rules)
+    typed = n.df.select(*_observation_columns(n, rules), _observation_reason(n, rules).alias("__reason"))
     return _report(typed, OBSERVATION_REASONS, rules)
 
 
 def interventions_report(df: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
     """How many intervention records each rule removes."""
-    df = normalize_columns(df)
-    typed = df.withColumns({**_intervention_columns(df, rules), "__reason": _intervention_reason(df, rules)})
+    n = _interventions(df, rules)
+    typed = n.df.select(*_intervention_columns(n, rules), _intervention_reason(n, rules).alias("__reason"))
     return _report(typed, INTERVENTION_REASONS, rules)
 
 
 def rejected_observations(df: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
     """The raw rows that break a rule, with the reason, for quarantine."""
-    typed = {**_observation_columns(df, rules), "reason": _observation_reason(df, rules)}
-    return df.filter(~F.coalesce(_valid_observation(df, rules), F.lit(False))).withColumns(typed)
+    n = _observation_numbers(df, rules)
+    broken = n.df.filter(~F.coalesce(_valid_observation(n, rules), F.lit(False)))
+    return broken.select(*_observation_columns(n, rules), _observation_reason(n, rules).alias("reason"))
 
 
 def unknown_categories(df: DataFrame, column: str = "intervention_type",

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.coerce import parse_number, strip
+from ..functions.coerce import computed_once, parse_number, strip
 from ..operators.cleaning import clean_observations
 from ..schema import SEASONS, UNIT_TYPES, Rules, require_columns
 
@@ -88,9 +88,9 @@ def flatten_timeseries(df: DataFrame, json_col: str = "document", id_col: str =
     Entries without a usable year, unknown seasons and values of the wrong shape are skipped. An
     unusable area or count becomes 0. Areas out of range are kept: cleaning removes them.
     """
-    entries = _entries(df, json_col, id_col)
-    years = entries.select("__id", _year(F.col("__entry")).alias("year"),
-                           _get(F.col("__entry"), "$.seasons", OBJECT).alias("__seasons"))
+    entry = F.col("__entry")
+    years = computed_once(_entries(df, json_col, id_col), {
+        "year": _year(entry), "__seasons": _get(entry, "$.seasons", OBJECT)})
     cells = (years.filter(F.col("year").isNotNull() & (strip(F.col("__id")) != ""))
              .select("__id", "year", F.explode_outer("__seasons").alias("season", "__info"))
              .filter(F.col("season").isin(*SEASONS) & _kind(F.col("__info")).startswith("OBJECT")))
