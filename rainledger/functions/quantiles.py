@@ -1,12 +1,11 @@
 """Exact quantiles per group beside ordinary aggregates, safe for groups of any size.
 
-The built-in ``percentile`` keeps every distinct value of a group in one task. That is right for
-small groups and hopeless for a season or a flag that holds a third of the table. Here the largest
-groups are found first, by one count. If none is large, everything is one ``groupBy``. Otherwise
-each quantile of a large group is closed in on by counting: split the interval known to hold the
-wanted rank into equal buckets, count rows per bucket (partial aggregation makes that a tiny
-shuffle), keep the bucket with the rank, repeat until few rows are left. Nothing but counts is
-shuffled, and the driver holds at most two intervals per quantile and large group.
+Ordinary groups are sorted, each within a task. That is hopeless for a season or a flag that holds
+a third of the table, so the largest groups are found first, by one count. Each quantile of a large
+group is closed in on by counting: split the interval known to hold the wanted rank into equal
+buckets, count rows per bucket (partial aggregation makes that a tiny shuffle), keep the bucket with
+the rank, repeat until few rows are left. Nothing but counts is shuffled, and the driver holds at
+most two intervals per quantile and large group.
 
 A large input is read once per round, so it should be a stored table rather than a long plan.
 """
@@ -23,7 +22,7 @@ from pyspark.sql import types as T
 
 from .skew import MAX_HOT_KEYS, local_table
 
-GROUP_ROWS = 50_000
+GROUP_ROWS = 250_000
 BUCKETS = 4096
 RANKS = T.StructType([T.StructField("in_interval", T.IntegerType()), T.StructField("tid", T.IntegerType()),
                       T.StructField("rank", T.LongType())])
@@ -52,21 +51,23 @@ def largest_groups(df: DataFrame, by: Sequence[str], value: str, limit: int = MA
     return [tuple(r) for r in sizes.orderBy(F.desc("__n")).limit(limit).collect()]
 
 
-def _by_window(rows: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
-    """Quantiles by sorting each group. The sort spills, so memory does not bound the group."""
+def _by_sorting(df: DataFrame, by: Sequence[str], aggs: Sequence[Column], value: str,
+                probs: Mapping[str, float]) -> DataFrame:
+    """Aggregates and quantiles from one shuffle: each group is sorted, then read off at the ranks.
+
+    The sort spills, where the built-in ``percentile`` would keep a map of each group's values.
+    """
     group = Window.partitionBy(*by)
-    ranked = rows.filter(F.col(value).isNotNull()).select(
-        *by, value,
-        (F.row_number().over(group.orderBy(value)) - 1).alias("__rank"),
-        F.count(value).over(group).alias("__n"),
-    )
-    aggs = []
+    ranked = df.select(
+        "*", (F.row_number().over(group.orderBy(F.asc_nulls_last(value))) - 1).alias("__rank"),
+        F.count(value).over(group).alias("__n"))
+    quantiles = []
     for name, p in probs.items():
         h = (F.col("__n") - 1) * F.lit(float(p))
         low = F.max(F.when(F.col("__rank") == F.floor(h), F.col(value)))
         high = F.max(F.when(F.col("__rank") == F.ceil(h), F.col(value)))
-        aggs.append((low + (high - low) * F.max(h - F.floor(h))).alias(name))
-    return ranked.groupBy(*by).agg(*aggs)
+        quantiles.append((low + (high - low) * F.max(h - F.floor(h))).alias(name))
+    return ranked.groupBy(*by).agg(*aggs, *quantiles)
 
 
 def _bucket(value: Column, low: Column, high: Column) -> Column:
@@ -165,19 +166,19 @@ def aggregate_with_quantiles(df: DataFrame, by: Sequence[str], aggs: Sequence[Co
     ``value`` is a DOUBLE column whose NULLs the quantiles ignore; keys must not be NULL. Quantiles
     are interpolated linearly. A group is large above ``group_rows`` rows. At most ``max_large``
     groups are treated as such; any further one holds at most ``1 / max_large`` of the rows, as
-    ``max_large`` groups are no smaller, and is sorted within a task, with spilling. A caller that
-    has the result of ``largest_groups`` already passes it as ``found``.
+    ``max_large`` groups are no smaller, and is sorted like the ordinary ones. A caller that has
+    the result of ``largest_groups`` already passes it as ``found``.
     """
     found = largest_groups(df, by, value, max_large) if found is None else found
     large = [g for g in found if g[-4] > group_rows]
     if not large:
-        exact = [F.percentile(value, F.lit(float(p))).alias(name) for name, p in probs.items()]
-        return df.groupBy(*by).agg(*aggs, *exact)
-    quantiles = _by_counting(df, by, value, probs, large, group_rows)
-    if len(found) == max_large or len(large) < len(found):
-        schema = T.StructType([T.StructField(f"__{k}", df.schema[k].dataType) for k in by])
-        keys = local_table(df.sparkSession, [g[:len(by)] for g in large], schema)
-        others = df.join(F.broadcast(keys), _on(by), "left_anti")
-        quantiles = quantiles.unionByName(_by_window(others, by, value, probs))
-    renamed = quantiles.withColumnsRenamed({k: f"__{k}" for k in by})
-    return df.groupBy(*by).agg(*aggs).join(renamed, _on(by), "left").drop(*[f"__{k}" for k in by])
+        return _by_sorting(df, by, aggs, value, probs)
+    schema = T.StructType([T.StructField(f"__{k}", df.schema[k].dataType) for k in by])
+    keys = F.broadcast(local_table(df.sparkSession, [g[:len(by)] for g in large], schema))
+    counted = _by_counting(df, by, value, probs, large, group_rows).withColumnsRenamed({k: f"__{k}" for k in by})
+    result = (df.join(keys, _on(by), "left_semi").groupBy(*by).agg(*aggs)
+              .join(F.broadcast(counted), _on(by), "left").drop(*[f"__{k}" for k in by]))  # a row per large group
+    if len(large) == len(found) < max_large:
+        return result
+    others = df.join(keys, _on(by), "left_anti")
+    return result.unionByName(_by_sorting(others, by, aggs, value, probs))

@@ -169,7 +169,7 @@ def dashboard_locations(df: DataFrame, locations: Sequence[str] | None = None, k
     if locations is not None:
         return df.filter(F.col(LOCATION).isin(*locations))
     top = top_locations(df, k).select(F.col(LOCATION).alias("__top"))
-    return df.join(F.broadcast(top), F.col(LOCATION) == F.col("__top"), "left_semi")  # k rows
+    return df.join(F.broadcast(top) if k <= MAX_HOT_KEYS else top, F.col(LOCATION) == F.col("__top"), "left_semi")
 
 
 def dashboard_panel(df: DataFrame, locations: Sequence[str] | None = None, shown: int = 3) -> DataFrame:
