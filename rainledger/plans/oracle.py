@@ -46,8 +46,7 @@ CTES = {
         s_acctbal / 1000.0 AS crop_yield_ton_per_ha,
         CASE WHEN s_nationkey < 8 THEN 'low' WHEN s_nationkey < 16 THEN 'medium' ELSE 'high' END
             AS drought_sensitivity
-        FROM supplier CROSS JOIN (VALUES (1996), (1997), (1998), (1999), (2000)) AS y(year)
-        WHERE s_suppkey % 10 <> 9""",
+        FROM supplier CROSS JOIN (VALUES (1996), (1997), (1998), (1999), (2000)) AS y(year)""",
     "nrm": """SELECT DISTINCT location_id, CAST(year AS INT) AS year,
         CASE WHEN lower(trim(pond_presence)) IN ('yes', 'y', 'true', 't', '1', 'present') THEN 1 ELSE 0 END
             AS pond_presence,
