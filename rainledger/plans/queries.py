@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from ..functions.coerce import coerce_numeric, normalize_columns, normalize_flag, split_list
 from ..operators import charts, cleaning, merging, summaries, trends
-from ..sinks.table import ordered, scratch_dir, write_table
+from ..sinks.shared import shared_folder
+from ..sinks.table import ordered, write_table
 from ..sources import documents, tables
 from .views import Views
 
@@ -32,7 +33,7 @@ def tidy(df: DataFrame) -> DataFrame:
 
 
 def _csv_roundtrip(v: Views, df: DataFrame, name: str) -> str:
-    return write_table(df, scratch_dir(v.spark), name, "csv", allow_empty=True)
+    return write_table(df, shared_folder(v.spark), name, "csv", allow_empty=True)
 
 
 def _src_water_csv(v: Views) -> DataFrame:
@@ -48,13 +49,13 @@ def _src_encoding_fallback(v: Views) -> DataFrame:
     place = F.concat(F.lit("Sã"), F.col("s_suppkey").cast("string"))
     raw = v.table("supplier").select(place.alias("location_id"), F.lit("1999").alias("year"),
                                      F.col("s_name").alias("note"))
-    target = f"{scratch_dir(v.spark)}/latin1"
+    target = f"{shared_folder(v.spark)}/latin1"
     raw.write.option("header", True).option("encoding", tables.LATIN1).csv(target)
     return tables.read_interventions(v.spark, target)
 
 
 def _sink_roundtrip(v: Views) -> DataFrame:
-    target = write_table(v.grain, scratch_dir(v.spark), "by year", "parquet", partition_by=["year"],
+    target = write_table(v.grain, shared_folder(v.spark), "by year", "parquet", partition_by=["year"],
                          allow_empty=True)
     return v.spark.read.parquet(target)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.cleaning import clean_interventions, clean_observations
 from ..operators.merging import merge_interventions
-from ..sinks.table import scratch_dir
+from ..sinks.shared import stored
 
 NRM_FIRST_YEAR, NRM_LAST_YEAR = 1996, 2000
 
@@ -39,9 +39,7 @@ class Views:
 
     def stored(self, df: DataFrame, *columns: str) -> DataFrame:
         """The columns of ``df`` as a written table, for operators that read their input repeatedly."""
-        target = f"{scratch_dir(self.spark)}/stored"
-        (df.select(*columns) if columns else df).write.parquet(target)
-        return self.spark.read.parquet(target)
+        return stored(df.select(*columns) if columns else df)
 
     @cached_property
     def water_raw(self) -> DataFrame:

@@ -1,3 +1,4 @@
-from .table import clean_filename, ordered, scratch_dir, write_table
+from .shared import shared_folder, stored
+from .table import clean_filename, ordered, write_table
 
-__all__ = ["clean_filename", "ordered", "scratch_dir", "write_table"]
+__all__ = ["clean_filename", "ordered", "shared_folder", "stored", "write_table"]
