@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from . import oracle
 from .columns import table
 from .exact_dedup import exact_duplicates
+from .simhash import near_duplicates
+
+
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
