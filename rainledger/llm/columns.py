@@ -42,3 +42,15 @@ def squeeze(text: Column) -> Column:
     A blank between two words stays as it is, so only the other runs are matches to replace.
     """
     return F.regexp_replace(text, r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " ")
+
+
+def with_row_key(df: DataFrame, id_column: str) -> tuple[DataFrame, str]:
+    """``df`` with a key that tells all rows apart and orders them by id, NULL last; the key's name.
+
+    The key ends with the row's place in its file part, so ``df`` is to be a table read from files: it
+    gives the same key whenever it is read.
+    """
+    name = free_name(df, "row_key")
+    key = F.struct(col(id_column).isNull().alias("missing"), col(id_column).alias("id"),
+                   F.monotonically_increasing_id().alias("row"))
+    return df.withColumn(name, key), name

@@ -23,10 +23,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from ..sinks.shared import stored
-from .columns import col, let, squeeze
+from .columns import col, let, squeeze, with_row_key
 
 #: Bytes in a block.
 BLOCK = 4096
@@ -65,7 +64,7 @@ def block_names(df: DataFrame, text: str = "text", *, id_column: str = "doc_id",
         rows.select(F.explode("p.blocks").alias("block")).groupBy("block").agg(F.lit(1).alias("one"))
         .select("block", F.struct(*[h.alias(f"h{i}") for i, h in enumerate(hashes(F.col("block")))]).alias("key"))
     )
-    # A map with as many blocks as the document is too large to shuffle by text again; keep keys only.
+    # Only the keys are stored: no text is shuffled again.
     keyed = stored(distinct.select("key", F.when(F.lit(False), F.col("block")).alias("block")))
     clash = keyed.groupBy("key").count().filter("count > 1")
     by_text = not clash.isEmpty()
@@ -83,7 +82,7 @@ def block_names(df: DataFrame, text: str = "text", *, id_column: str = "doc_id",
         .select("row", "pos", "blocks", "doc", "b.key", "b.block")
     level = stored(flat.join(names.select(*on, "name"), on).select("row", "pos", "blocks", "doc", "name"))
     done = level.filter("blocks = 1")
-    rest, left = level.filter("blocks > 1").withColumn("left", F.col("blocks")), 0
+    rest = level.filter("blocks > 1").withColumn("left", F.col("blocks"))
     left = rest.agg(F.max("blocks")).first()[0] or 0
     while left > 1:
         rest, left = stored(_paired(rest)), (left + 1) // 2
@@ -118,3 +117,11 @@ def exact_duplicates(df: DataFrame, text: str = "text", *, id_column: str = "doc
     return named.join(groups, ["blocks", "name"]).select(
         F.col("id").alias(id_column), "keep_id", "group_size",
         F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+
+
+def without_duplicates(df: DataFrame, text: str = "text", *, id_column: str = "doc_id", **options) -> DataFrame:
+    """The rows of the stored table ``df`` that are first of their text by id; repeated rows leave one."""
+    keyed, key = with_row_key(df, id_column)
+    found = exact_duplicates(keyed.select(key, col(text).alias("text")), id_column=key, **options)
+    dropped = stored(found.filter("NOT kept").select(col(key)["row"].alias("row")))
+    return keyed.join(dropped, col(key)["row"] == dropped["row"], "left_anti").select(*[col(c) for c in df.columns])

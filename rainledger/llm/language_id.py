@@ -22,9 +22,9 @@ SAMPLE_CHARS = 512
 MAX_LANGUAGES = 256
 #: Bytes compressed at once.
 CHUNK = 4096
-LEVEL = 3
+LEVEL = 6
 #: Predictions are accepted if the second best size exceeds the best by this part of itself.
-MIN_MARGIN = 0.02
+MIN_MARGIN = 0.01
 UNKNOWN = "und"
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sinks.shared import stored
-from .columns import col
+from .columns import col, with_row_key
 
 #: Bits that may differ between linked fingerprints.
 DISTANCE = 4
@@ -251,3 +251,12 @@ def near_duplicates(df: DataFrame, text: str = "text", *, id_column: str = "doc_
     known = stored(seen.join(smallest, "comp").select("fp", "component_id"))
     return prints.join(known, "fp").select(
         F.col("id").alias(id_column), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def without_near_duplicates(df: DataFrame, text: str = "text", *, id_column: str = "doc_id", **options) -> DataFrame:
+    """The rows of the stored table ``df`` that have the smallest id of their component."""
+    keyed, key = with_row_key(df, id_column)
+    found = near_duplicates(keyed.select(key, col(text).alias("text")), id_column=key, **options)
+    row = col(key)["row"]
+    dropped = stored(found.filter(row != F.col("component_id.row")).select(row.alias("row")))
+    return keyed.join(dropped, row == dropped["row"], "left_anti").select(*[col(c) for c in df.columns])
