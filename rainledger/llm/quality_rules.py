@@ -47,10 +47,8 @@ def statistics(c: Column) -> dict[str, Column]:
         "duplicate_lines": per("n_dup_lines", "n_words"),
         "repeated_words": per("n_repeat_words", "n_words"),
         "word_length": per("word_chars", "n_words"),
-        "letters": per("n_letters", "word_chars"),
-        "upper_case": per("n_upper", "n_letters"),
+        "upper_case": per("n_upper", "word_chars"),
         "digits": per("n_digits", "word_chars"),
-        "short_words": per("n_short_words", "n_words"),
         "words_per_line": per("n_words", "n_lines"),
     }
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .columns import SPACES, col, let
+from .columns import SPACES, let
 
 #: Words in a window that counts as repeated.
 WINDOW = 8
-SYMBOLS = "[^#*$%&|<>]"
+SYMBOLS = "#*$%&|<>"
 
 
 def words(text: Column) -> Column:
@@ -30,7 +30,9 @@ def repeated_words(tokens: Column, width: int = WINDOW) -> Column:
     window. For others the windows whose hash is not unique are compared as text.
     """
     def hashes(ws: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(ws) - width + 1), lambda i: F.xxhash64(F.slice(ws, i, width)))
+        windows = F.sequence(F.lit(1), F.size(ws) - width + 1)
+        return let(F.transform(ws, lambda w: F.xxhash64(w)),
+                   lambda hs: F.transform(windows, lambda i: F.xxhash64(F.slice(hs, i, width))))
 
     def twice(sorted_pairs: Column) -> Column:
         """Positions of (value, position) pairs, sorted, whose value a neighbour has too."""
@@ -63,38 +65,24 @@ def repeated_words(tokens: Column, width: int = WINDOW) -> Column:
 
 
 #: Names of the counts that :func:`text_counts` gives.
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-          "n_chars", "n_letters", "n_upper", "n_digits", "n_lines", "n_short_words", "n_distinct_words")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_digits", "n_lines")
 
 
 def text_counts(text: Column) -> Column:
     """A struct of BIGINT counts of a whole text; a NULL or empty text has zeros."""
     whole = F.coalesce(text, F.lit(""))
 
-    def without(pattern: str, repl: str = "") -> Column:
-        return F.length(F.regexp_replace(whole, pattern, repl))
+    def of(characters: str) -> Column:
+        """How many characters are in the class; runs of them are taken out at once."""
+        return F.length(whole) - F.length(F.regexp_replace(whole, f"[{characters}]+", ""))
 
     def counts(ws: Column) -> Column:
         n = {
-            "n_words": F.size(ws), "word_chars": F.length(F.array_join(ws, "")),
-            "n_symbols": F.length(whole) - F.length(F.translate(whole, "#*$%&|<>", "")),
+            "n_words": F.size(ws), "word_chars": F.length(F.array_join(ws, "")), "n_symbols": of(SYMBOLS),
             "n_dup_lines": duplicate_lines(text), "n_repeat_words": repeated_words(ws),
-            "n_chars": F.length(whole),
-            "n_letters": F.length(whole) - F.length(F.translate(whole, LETTERS, "")),
-            "n_upper": F.length(whole) - F.length(F.translate(whole, LETTERS[:26], "")),
-            "n_digits": F.length(whole) - F.length(F.translate(whole, "0123456789", "")),
-            "n_lines": F.length(whole) - F.length(F.translate(whole, "\n", "")),
-            "n_short_words": F.size(F.filter(ws, lambda w: F.length(w) <= 3)),
-            "n_distinct_words": F.size(F.array_distinct(ws)),
+            "n_upper": of("A-Z"), "n_digits": of("0-9"), "n_lines": F.size(F.split(whole, "\n")),
         }
         return F.struct(*[c.cast("long").alias(k) for k, c in n.items()])
 
     return let(words(text), counts)
 
-
-#: Basic Latin letters.
-LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
-
-
-def with_counts(df: DataFrame, text: str, name: str) -> DataFrame:
-    return df.withColumn(name, text_counts(col(text)))
