@@ -87,6 +87,16 @@ def normalize_flag(c: Column, *, trim: bool = True, numeric_text: bool = True) -
     return flag.otherwise(0).cast("int")
 
 
+def known_flag(df: DataFrame, name: str) -> Column:
+    """The flag as it is where it is a number; text by the spelling table, with unknown words as NULL."""
+    if not isinstance(df.schema[name].dataType, (T.StringType, T.BooleanType)):
+        return F.col(name)
+    text = F.lower(strip(F.col(name).cast("string")))
+    number = parse_number(text)
+    return (F.when(text.isin(*FLAG_TRUE) | (number == 1.0), 1).when(text.isin(*FLAG_FALSE) | (number == 0.0), 0)
+            .cast("int"))
+
+
 def clip_flag(c: Column) -> Column:
     """A numeric flag clipped to 0..1 and truncated; missing is 0."""
     number = F.coalesce(without_nan(c.cast("double")), F.lit(0.0))
@@ -96,7 +106,7 @@ def clip_flag(c: Column) -> Column:
 def aggregate_flag(df: DataFrame, name: str) -> Column:
     """Flag of an aggregation key: text goes through the spelling table, numbers are clipped."""
     if isinstance(df.schema[name].dataType, (T.StringType, T.BooleanType)):
-        return normalize_flag(F.col(name), trim=False, numeric_text=False)
+        return normalize_flag(F.col(name))
     return clip_flag(F.col(name))
 
 

@@ -1,73 +1,48 @@
 """Exact quantiles per group beside ordinary aggregates, safe for groups of any size.
 
-Ordinary groups are sorted, each within a task. That is hopeless for a season or a flag that holds
-a third of the table, so the largest groups are found first, by one count. Each quantile of a large
-group is closed in on by counting: split the interval known to hold the wanted rank into equal
-buckets, count rows per bucket (partial aggregation makes that a tiny shuffle), keep the bucket with
-the rank, repeat until few rows are left. Nothing but counts is shuffled, and the driver holds at
-most two intervals per quantile and large group.
+One pass computes the ordinary aggregates and the size and range of every group. Values of ordinary
+groups are then sorted within a task each. That is hopeless for a season or a flag that holds a third of
+the table, so the quantiles of large groups are closed in on by counting: split the interval known to
+hold the wanted rank into equal buckets, count rows per bucket (partial aggregation makes that a tiny
+shuffle), keep the bucket with the rank, repeat until few rows are left. Only counts are shuffled. The
+intervals are a stored table, so any number of groups may be large, and none of them reaches the driver.
 
 A large input is read once per round, so it should be a stored table rather than a long plan.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .skew import MAX_HOT_KEYS, local_table
+from ..sinks.shared import stored
 
 GROUP_ROWS = 250_000
 BUCKETS = 4096
-RANKS = T.StructType([T.StructField("in_interval", T.IntegerType()), T.StructField("tid", T.IntegerType()),
-                      T.StructField("rank", T.LongType())])
-VALUES = T.StructType([T.StructField("tid", T.IntegerType()), T.StructField("v", T.DoubleType())])
 
 
-@dataclass(frozen=True)
-class Target:
-    """A wanted rank inside the interval [low, high] of one group, counted from its start."""
+def _interpolated(low: Column, high: Column, share: Column) -> Column:
+    """Between two neighbouring values; equal ones, infinities among them, stay as they are."""
+    return F.when((low == high) | (share == 0), low).otherwise(low + (high - low) * share)
 
-    tid: int
-    key: tuple
-    low: float
-    high: float
-    rank: int
-    inside: int
 
-
-def _on(by: Sequence[str]) -> list[Column]:
-    return [F.col(f"`{k}`") == F.col(f"`__{k}`") for k in by]
-
-
-def largest_groups(df: DataFrame, by: Sequence[str], value: str, limit: int = MAX_HOT_KEYS) -> list[tuple]:
-    """(key..., rows, low, high, values) of the ``limit`` largest groups, so of all if there are fewer."""
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.min(value), F.max(value), F.count(value))
-    return [tuple(r) for r in sizes.orderBy(F.desc("__n")).limit(limit).collect()]
-
-
-def _by_sorting(df: DataFrame, by: Sequence[str], aggs: Sequence[Column], value: str,
-                probs: Mapping[str, float]) -> DataFrame:
-    """Aggregates and quantiles from one shuffle: each group is sorted, then read off at the ranks.
+def _by_sorting(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
+    """Quantiles from one shuffle: each group is sorted, then read off at the ranks.
 
     The sort spills, where the built-in ``percentile`` would keep a map of each group's values.
     """
     group = Window.partitionBy(*by)
-    ranked = df.select(
-        "*", (F.row_number().over(group.orderBy(F.asc_nulls_last(value))) - 1).alias("__rank"),
-        F.count(value).over(group).alias("__n"))
+    ranked = df.filter(F.col(value).isNotNull()).select(
+        *by, value, (F.row_number().over(group.orderBy(value)) - 1).alias("__rank"), F.count(value).over(group).alias("__n"))
     quantiles = []
     for name, p in probs.items():
         h = (F.col("__n") - 1) * F.lit(float(p))
         low = F.max(F.when(F.col("__rank") == F.floor(h), F.col(value)))
         high = F.max(F.when(F.col("__rank") == F.ceil(h), F.col(value)))
-        quantiles.append((low + (high - low) * F.max(h - F.floor(h))).alias(name))
-    return ranked.groupBy(*by).agg(*aggs, *quantiles)
+        quantiles.append(_interpolated(low, high, F.max(h - F.floor(h))).alias(name))
+    return ranked.groupBy(*by).agg(*quantiles)
 
 
 def _bucket(value: Column, low: Column, high: Column) -> Column:
@@ -80,105 +55,87 @@ def _bucket(value: Column, low: Column, high: Column) -> Column:
     return F.when(value == low, 0).when(value == high, BUCKETS - 1).otherwise(inner).cast("int")
 
 
-def _intervals(targets: Sequence[Target]) -> dict[tuple, int]:
-    """A number for each distinct (key, low, high); neighbouring ranks mostly share one."""
-    return {i: n for n, i in enumerate(dict.fromkeys((*t.key, t.low, t.high) for t in targets))}
+def _inside(df: DataFrame, by: Sequence[str], value: str, targets: DataFrame) -> DataFrame:
+    """(key..., value, __low, __high) of the rows in each interval that a target has.
 
-
-def _inside(df: DataFrame, by: Sequence[str], value: str, numbers: Mapping[tuple, int]) -> DataFrame:
-    """(interval, value) of the rows that lie in an interval of their group."""
-    schema = T.StructType(
-        [T.StructField(f"__{k}", df.schema[k].dataType) for k in by]
-        + [T.StructField("__low", T.DoubleType()), T.StructField("__high", T.DoubleType()),
-           T.StructField("__interval", T.IntegerType())])
-    table = local_table(df.sparkSession, [(*i, n) for i, n in numbers.items()], schema)
-    # At most 2 * MAX_HOT_KEYS rows per quantile.
-    found = df.select(*by, value).join(
-        F.broadcast(table), [*_on(by), F.col(value).between(F.col("__low"), F.col("__high"))])
-    return found.select("__interval", value, "__low", "__high")
+    The interval table is small beside the rows; whether it is broadcast is decided by its stored size.
+    """
+    intervals = targets.select(*[F.col(k).alias(f"__{k}") for k in by], "__low", "__high").distinct()
+    same = [F.col(k) == F.col(f"__{k}") for k in by]
+    found = df.select(*by, value).join(stored(intervals), [*same, F.col(value).between(F.col("__low"), F.col("__high"))])
+    return found.select(*by, value, "__low", "__high")
 
 
-def _ranks(df: DataFrame, targets: Sequence[Target], numbers: Mapping[tuple, int]) -> DataFrame:
-    rows = [(numbers[(*t.key, t.low, t.high)], t.tid, t.rank) for t in targets]
-    return F.broadcast(local_table(df.sparkSession, rows, RANKS))
+def _one_round(df: DataFrame, by: Sequence[str], value: str, targets: DataFrame) -> DataFrame:
+    """The targets with their intervals cut down to the bucket that holds the rank."""
+    place = [*by, "__low", "__high"]
+    bucket = _bucket(F.col(value), F.col("__low"), F.col("__high"))
+    counts = _inside(df, by, value, targets).groupBy(*place, bucket.alias("__bucket")).agg(
+        F.count(F.lit(1)).alias("__here"), F.min(value).alias("__first"), F.max(value).alias("__last"))
+    order = Window.partitionBy(*place).orderBy("__bucket")  # at most BUCKETS rows each
+    counts = counts.withColumn("__before", F.sum("__here").over(order) - F.col("__here"))
+    hit = (F.col("__rank") >= F.col("__before")) & (F.col("__rank") < F.col("__before") + F.col("__here"))
+    return targets.join(counts, place).filter(hit).select(
+        *by, "__name", "__share", F.col("__first").alias("__low"), F.col("__last").alias("__high"),
+        (F.col("__rank") - F.col("__before")).alias("__rank"), F.col("__here").alias("__rows"))
+
+
+def _targets(large: DataFrame, by: Sequence[str], probs: Mapping[str, float]) -> DataFrame:
+    """A row per wanted rank of each group: the two neighbours of every quantile, one if they coincide."""
+    wanted = []
+    for name, p in probs.items():
+        h = (F.col("__values") - 1) * F.lit(float(p))
+        for rank in (F.floor(h), F.ceil(h)):
+            wanted.append(F.struct(F.lit(name).alias("__name"), (h - F.floor(h)).alias("__share"),
+                                   rank.cast("bigint").alias("__rank")))
+    ranks = F.inline(F.array_distinct(F.array(*wanted)))
+    return large.filter("__values > 0").select(*by, "__low", "__high", F.col("__values").alias("__rows"), ranks)
 
 
-def _one_round(df: DataFrame, by: Sequence[str], value: str, targets: Sequence[Target]) -> list[Target]:
-    """Each target with its interval cut down to the bucket that holds the rank."""
-    numbers = _intervals(targets)
-    bucket = _bucket(F.col(value), F.col("__low"), F.col("__high"))
-    counts = _inside(df, by, value, numbers).groupBy("__interval", bucket.alias("__bucket")).agg(
-        F.count(F.lit(1)).alias("here"), F.min(value).alias("low"), F.max(value).alias("high"))
-    order = Window.partitionBy("__interval").orderBy("__bucket")  # at most BUCKETS rows each
-    counts = counts.withColumn("before", F.sum("here").over(order) - F.col("here"))
-    hit = ((F.col("__interval") == F.col("in_interval")) & (F.col("rank") >= F.col("before"))
-           & (F.col("rank") < F.col("before") + F.col("here")))
-    found = counts.join(_ranks(df, targets, numbers), hit)
-    known = {t.tid: t for t in targets}
-    return [
-        replace(known[r.tid], low=r.low, high=r.high, rank=r.rank - r.before, inside=r.here)
-        for r in found.select("tid", "low", "high", "rank", "before", "here").collect()  # one per target
-    ]
-
-
-def _by_counting(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float],
-                 large: Sequence[tuple], group_rows: int) -> DataFrame:
+def _by_counting(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float], large: DataFrame,
+                 group_rows: int) -> DataFrame:
     """Quantiles of the groups in ``large``."""
-    todo, weights = [], []
-    for *key, _, low, high, n in large:
-        for name, p in probs.items() if n else ():
-            h = (n - 1) * float(p)
-            first = math.floor(h)
-            # The two neighbouring ranks and their weights; the second only if h is fractional.
-            for rank, weight in ((first, 1 - (h - first)), (first + 1, h - first)):
-                if weight > 0:
-                    weights.append((len(todo), *key, name, weight))
-                    todo.append(Target(len(todo), tuple(key), low, high, rank, n))
-    done: list[Target] = []
-    while todo:
-        done += [t for t in todo if t.low == t.high or t.inside <= group_rows]
-        todo = [t for t in todo if t.low < t.high and t.inside > group_rows]
-        if todo:
-            todo = _one_round(df, by, value, todo)
-
-    spark = df.sparkSession
-    values = local_table(spark, [(t.tid, t.low) for t in done if t.low == t.high], VALUES)
-    rest = [t for t in done if t.low < t.high]
-    if rest:
-        numbers = _intervals(rest)
-        order = Window.partitionBy("__interval").orderBy(value)  # at most group_rows rows each
-        ranked = _inside(df, by, value, numbers).withColumn("__rank", F.row_number().over(order) - 1)
-        hit = (F.col("__interval") == F.col("in_interval")) & (F.col("__rank") == F.col("rank"))
-        values = values.unionByName(
-            ranked.join(_ranks(df, rest, numbers), hit).select("tid", F.col(value).alias("v")))
-    schema = T.StructType([T.StructField("wid", T.IntegerType()), *[df.schema[k] for k in by],
-                           T.StructField("name", T.StringType()), T.StructField("weight", T.DoubleType())])
-    parts = values.join(F.broadcast(local_table(spark, weights, schema)), F.col("tid") == F.col("wid"))
-    return parts.groupBy(*by).agg(*[
-        F.sum(F.when(F.col("name") == name, F.col("v") * F.col("weight"))).alias(name) for name in probs])
+    columns = [*by, "__name", "__share", "__low", "__high", "__rank", "__rows"]
+    targets = stored(_targets(large, by, probs).select(*columns))
+    is_open = (F.col("__low") < F.col("__high")) & (F.col("__rows") > group_rows)
+    while not (todo := targets.filter(is_open)).isEmpty():
+        targets = stored(targets.filter(~is_open).unionByName(_one_round(df, by, value, todo)))
+    rest = targets.filter("__low < __high")
+    place = [*by, "__low", "__high"]
+    order = Window.partitionBy(*place).orderBy(value)  # at most group_rows rows each
+    ranked = _inside(df, by, value, rest).withColumn("__at", F.row_number().over(order) - 1)
+    read = rest.join(ranked, place).filter("__at = __rank").select(*by, "__name", "__share", F.col(value).alias("__v"))
+    values = targets.filter("__low = __high").select(*by, "__name", "__share", F.col("__low").alias("__v")).unionByName(read)
+
+    def quantile(name: str) -> Column:
+        own = F.when(F.col("__name") == name, F.col("__v"))
+        share = F.max(F.when(F.col("__name") == name, F.col("__share")))
+        return _interpolated(F.min(own), F.max(own), share).alias(name)
+
+    return values.groupBy(*by).agg(*map(quantile, probs))
 
 
 def aggregate_with_quantiles(df: DataFrame, by: Sequence[str], aggs: Sequence[Column], value: str,
-                             probs: Mapping[str, float], *, group_rows: int = GROUP_ROWS,
-                             max_large: int = MAX_HOT_KEYS, found: list[tuple] | None = None) -> DataFrame:
+                             probs: Mapping[str, float], *, group_rows: int = GROUP_ROWS) -> DataFrame:
     """``groupBy(by).agg(aggs)`` plus one exact quantile column of ``value`` per entry of ``probs``.
 
     ``value`` is a DOUBLE column whose NULLs the quantiles ignore; keys must not be NULL. Quantiles
-    are interpolated linearly. A group is large above ``group_rows`` rows. At most ``max_large``
-    groups are treated as such; any further one holds at most ``1 / max_large`` of the rows, as
-    ``max_large`` groups are no smaller, and is sorted like the ordinary ones. A caller that has
-    the result of ``largest_groups`` already passes it as ``found``.
+    are interpolated linearly, by the same rule on either path: a group above ``group_rows`` rows is
+    counted, any other is sorted.
     """
-    found = largest_groups(df, by, value, max_large) if found is None else found
-    large = [g for g in found if g[-4] > group_rows]
-    if not large:
-        return _by_sorting(df, by, aggs, value, probs)
-    schema = T.StructType([T.StructField(f"__{k}", df.schema[k].dataType) for k in by])
-    keys = F.broadcast(local_table(df.sparkSession, [g[:len(by)] for g in large], schema))
-    counted = _by_counting(df, by, value, probs, large, group_rows).withColumnsRenamed({k: f"__{k}" for k in by})
-    result = (df.join(keys, _on(by), "left_semi").groupBy(*by).agg(*aggs)
-              .join(F.broadcast(counted), _on(by), "left").drop(*[f"__{k}" for k in by]))  # a row per large group
-    if len(large) == len(found) < max_large:
-        return result
-    others = df.join(keys, _on(by), "left_anti")
-    return result.unionByName(_by_sorting(others, by, aggs, value, probs))
+    base = stored(df.groupBy(*by).agg(
+        *aggs, F.count(F.lit(1)).alias("__n"), F.min(value).alias("__low"), F.max(value).alias("__high"),
+        F.count(value).alias("__values")))
+    large = base.filter(F.col("__n") > group_rows)
+    sizes = base.agg(F.count_if(F.col("__n") > group_rows).alias("large"), F.count(F.lit(1)).alias("all")).first()
+    if sizes.large:
+        found = _by_counting(df, by, value, probs, large, group_rows)
+        if sizes.large < sizes.all:
+            others = df.join(large.select(*by), list(by), "left_anti")
+            found = found.unionByName(_by_sorting(others, by, value, probs))
+    else:
+        found = _by_sorting(df, by, value, probs)
+    found = found.withColumnsRenamed({k: f"__{k}" for k in by})
+    same = [F.col(k) == F.col(f"__{k}") for k in by]
+    return base.join(found, same, "left").drop(
+        *[f"__{k}" for k in by], "__n", "__low", "__high", "__values")

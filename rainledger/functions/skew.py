@@ -1,30 +1,25 @@
 """Size checks, and a join that survives hot keys.
 
 A key may hold a third of all rows, so nothing here gathers a whole key in one task. The driver
-only ever receives a count, or at most ``MAX_HOT_KEYS`` key values.
+only ever receives counts; lists of keys are stored tables.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sinks.shared import stored
+
 BROADCAST_BYTES = 64 * 1024 * 1024
-MAX_HOT_KEYS = 10_000
 HOT_KEY_ROWS = 1_000_000
 SALTS = 64
 
 
-def local_table(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType) -> DataFrame:
-    """A few driver rows as a table inside the plan, of known size to the optimizer."""
-    columns = [pa.array([r[i] for r in rows]) for i in range(len(schema.fields))]
-    return spark.createDataFrame(pa.table(columns, names=schema.names), schema)
-
-
 def measured_bytes(df: DataFrame) -> int:
     """Bytes of the values in ``df``, summed by one distributed job."""
     def width(field: T.StructField) -> Column:
@@ -44,19 +39,10 @@ def is_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
     return measured_bytes(df) <= max_bytes
 
 
-def hot_keys(df: DataFrame, by: Sequence[str], more_than: int = HOT_KEY_ROWS,
-             limit: int = MAX_HOT_KEYS) -> DataFrame | None:
-    """The largest keys with more than ``more_than`` rows as a local table, or None.
-
-    At most ``limit`` keys are returned. When the list is full, every key left out holds at most
-    ``1 / limit`` of all rows, since ``limit`` keys are at least as large.
-    """
-    found = (df.groupBy(*by).count().filter(F.col("count") > more_than)
-             .orderBy(F.desc("count")).limit(limit).collect())
-    if not found:
-        return None
-    schema = T.StructType([df.schema[k] for k in by] + [T.StructField("n", T.LongType())])
-    return local_table(df.sparkSession, [tuple(r) for r in found], schema)
+def hot_keys(df: DataFrame, by: Sequence[str], more_than: int = HOT_KEY_ROWS) -> DataFrame | None:
+    """All keys with more than ``more_than`` rows as a stored table, or None."""
+    found = stored(df.groupBy(*by).count().filter(F.col("count") > more_than).select(*by))
+    return None if found.isEmpty() else found
 
 
 def _join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str, null_safe: bool) -> DataFrame:
@@ -81,18 +67,29 @@ def skew_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "
     """Left or inner equi-join of a large left side that may have hot keys.
 
     A right side measured to be small is broadcast and the left side never moves. Beyond that,
-    rows of ordinary keys meet in a shuffle join, and rows of hot keys take their own path: their
-    few right rows are broadcast if small, else copied over salts.
+    rows of ordinary keys meet in a shuffle join, and rows of hot keys take their own paths. Keys hot
+    on the right have a match for sure, so an inner join serves them, of which adaptive execution can
+    split either side. Of keys hot on the left the few right rows are broadcast if small, else copied
+    over salts.
     """
     if is_small(right, max_bytes):
         return _join(left, F.broadcast(right), on, how, null_safe)
+    parts = []
+    heavy = hot_keys(right, on, hot_rows)
+    if heavy is not None:
+        if not null_safe:  # a NULL key matches nothing, however many there are
+            heavy = heavy.dropna()
+        parts.append(_join(_join(left, heavy, on, "left_semi", True), _join(right, heavy, on, "left_semi", True),
+                           on, "inner", null_safe))
+        left, right = _join(left, heavy, on, "left_anti", True), _join(right, heavy, on, "left_anti", True)
     hot = hot_keys(left, on, hot_rows)
     if hot is None:
-        return _join(left, right, on, how, null_safe)
-    keys = F.broadcast(hot.select(*on))
-    ordinary = _join(_join(left, keys, on, "left_anti", True), right, on, how, null_safe)
-    hot_left = _join(left, keys, on, "left_semi", True)
-    hot_right = _join(right, keys, on, "left_semi", True)
-    if is_small(hot_right, max_bytes):
-        return ordinary.unionByName(_join(hot_left, F.broadcast(hot_right), on, how, null_safe))
-    return ordinary.unionByName(_salted_join(hot_left, hot_right, on, how, null_safe))
+        parts.append(_join(left, right, on, how, null_safe))
+    else:
+        parts.append(_join(_join(left, hot, on, "left_anti", True), right, on, how, null_safe))
+        hot_left, hot_right = _join(left, hot, on, "left_semi", True), _join(right, hot, on, "left_semi", True)
+        if is_small(hot_right, max_bytes):
+            parts.append(_join(hot_left, F.broadcast(hot_right), on, how, null_safe))
+        else:
+            parts.append(_salted_join(hot_left, hot_right, on, how, null_safe))
+    return reduce(DataFrame.unionByName, parts)

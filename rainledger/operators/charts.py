@@ -7,15 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.coerce import label, not_negative, to_number
-from ..functions.quantiles import GROUP_ROWS, aggregate_with_quantiles, largest_groups
-from ..functions.skew import MAX_HOT_KEYS, skew_join
+from ..functions.coerce import known_flag, label, not_negative, to_number
+from ..functions.quantiles import GROUP_ROWS, aggregate_with_quantiles
+from ..functions.skew import skew_join
 from ..schema import CHART_LABELS, SEASONS, require_columns
+from ..sinks.shared import stored
 
 LOCATION, YEAR, SEASON = "location_id", "year", "season"
 AREA, COUNT, FLAG = "water_area_ha", "water_body_count", "pond_presence"
 DASHBOARD_SEASONS = ("perennial", "winter", "monsoon")
 BINS = 30
+#: A list of at most so many names is broadcast.
+BROADCAST_ROWS = 10_000
 
 
 def _mean(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
@@ -63,7 +66,7 @@ def seasonal_pivot_location(df: DataFrame, location: str, *, seasons: Sequence[s
 def comparison_series(df: DataFrame, flag: str = FLAG, *, value: str = AREA) -> DataFrame:
     """Mean of the measure by year with and without intervention; missing flags are left out."""
     require_columns(df, YEAR, flag, value)
-    means = _mean(df, [YEAR, flag], value, value)
+    means = _mean(df.withColumn(flag, known_flag(df, flag)), [YEAR, flag], value, value)
     return means.select(YEAR, label(F.col(flag), CHART_LABELS).alias(flag), value)
 
 
@@ -72,20 +75,19 @@ def histogram(df: DataFrame, value: str, *, by: str | None = None, bins: int = B
     """Rows per equal-width bin between the overall minimum and maximum, per value of ``by``.
 
     ``only`` restricts the rows to one value of ``by`` before the range is taken. Bins without
-    rows are absent. The range is a scalar subquery, so no row is paired with anything.
+    rows are absent, and infinite values are in none. The range is a scalar subquery, so no row is
+    paired with anything.
     """
     require_columns(df, value, *([by] if by else []))
     keys = [by] if by else []
-    rows = df.select(*keys, to_number(df, value).alias("v")).filter(F.col("v").isNotNull())
+    rows = df.select(*keys, to_number(df, value).alias("v")).filter(F.abs("v") < float("inf"))
     if by:
         rows = rows.filter(F.col(by) == only) if only is not None else rows.filter(F.col(by).isNotNull())
     ends = rows.agg(F.struct(F.min("v").alias("low"), F.max("v").alias("high")).alias("ends")).scalar()
-    placed = rows.select(*keys, "v", ends.alias("e"))
-    low, high = F.col("e.low"), F.col("e.high")
+    low, high = ends["low"], ends["high"]
     share = F.coalesce(F.try_divide(F.col("v") - low, high - low), F.lit(0.0))
     number = F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int")
-    counts = placed.groupBy(*keys, number.alias("bin")).agg(
-        F.count(F.lit(1)).alias("records"), F.first("e").alias("e"))
+    counts = rows.groupBy(*keys, number.alias("bin")).agg(F.count(F.lit(1)).alias("records"))
     width = (high - low) / bins
     return counts.select(*keys, "bin", (low + F.col("bin") * width).alias("bin_start"),
                          (low + (F.col("bin") + 1) * width).alias("bin_end"), "records")
@@ -107,16 +109,16 @@ def heatmap_long(df: DataFrame, metric: str = AREA) -> DataFrame:
     return _mean(df, [LOCATION, YEAR], metric, metric)
 
 
-def present_years(df: DataFrame, limit: int = 500) -> list[int]:
-    """The years in the table, for pivot columns. More than ``limit`` of them is an error."""
-    years = [r[0] for r in df.select(YEAR).filter(F.col(YEAR).isNotNull()).distinct().limit(limit + 1).collect()]
-    if len(years) > limit:
-        raise ValueError(f"more than {limit} distinct years; use heatmap_long")
-    return sorted(years)
+def present_years(df: DataFrame) -> list[int]:
+    """The years in the table: as many as the pivot has columns."""
+    return sorted(r[0] for r in df.select(YEAR).filter(F.col(YEAR).isNotNull()).distinct().collect())
 
 
 def heatmap_pivot(df: DataFrame, metric: str = AREA, years: Sequence[int] | None = None) -> DataFrame:
-    """Mean of a metric, one row per location and one column per year."""
+    """Mean of a metric, one row per location and one column per year.
+
+    ``years``: the columns wanted; else all years that occur. ``heatmap_long`` has the same cells as rows.
+    """
     years = present_years(df) if years is None else list(years)
     require_columns(df, LOCATION, YEAR, metric)
     rows = df.filter(F.col(LOCATION).isNotNull())
@@ -130,16 +132,12 @@ def box_stats(df: DataFrame, by: str = SEASON, value: str = AREA, *, years: tupl
     if years is not None:
         df = df.filter(F.col(YEAR).between(*years))
     rows = df.filter(F.col(by).isNotNull()).select(by, to_number(df, value).alias("v")).filter(F.col("v").isNotNull())
-    found = largest_groups(rows, [by], "v")
     quartiles = aggregate_with_quantiles(
         rows, [by], [F.count("v").alias("records")], "v", {"q1": 0.25, "median": 0.5, "q3": 0.75},
-        group_rows=group_rows, found=found)
+        group_rows=group_rows)
     fence = 1.5 * (F.col("q3") - F.col("q1"))
-    fences = quartiles.withColumns({"low": F.col("q1") - fence, "high": F.col("q3") + fence})
-    if len(found) < MAX_HOT_KEYS:  # these are all groups, so fences has as few rows
-        placed = rows.join(F.broadcast(fences.withColumnRenamed(by, "__by")), F.col(by) == F.col("__by"))
-    else:
-        placed = skew_join(rows, fences, [by], "inner")
+    fences = stored(quartiles.withColumns({"low": F.col("q1") - fence, "high": F.col("q3") + fence}))
+    placed = skew_join(rows, fences, [by], "inner")
     inside = F.col("v").between(F.col("low"), F.col("high"))
     # The quartiles ride along as aggregates of a constant, so the groups stay one key wide.
     kept = [F.first(c).alias(c) for c in ("records", "q1", "median", "q3")]
@@ -154,7 +152,7 @@ def box_stats(df: DataFrame, by: str = SEASON, value: str = AREA, *, years: tupl
 def impact_scatter(df: DataFrame, flag: str = FLAG, impact: str = "crop_yield_ton_per_ha") -> DataFrame:
     """Measure against impact metric, with the intervention status as text."""
     require_columns(df, flag, impact, AREA, LOCATION, YEAR)
-    return df.select(LOCATION, YEAR, AREA, impact, label(F.col(flag), CHART_LABELS).alias("intervention_status"))
+    return df.select(LOCATION, YEAR, AREA, impact, label(known_flag(df, flag), CHART_LABELS).alias("intervention_status"))
 
 
 def top_locations(df: DataFrame, k: int = 5) -> DataFrame:
@@ -169,7 +167,7 @@ def dashboard_locations(df: DataFrame, locations: Sequence[str] | None = None, k
     if locations is not None:
         return df.filter(F.col(LOCATION).isin(*locations))
     top = top_locations(df, k).select(F.col(LOCATION).alias("__top"))
-    return df.join(F.broadcast(top) if k <= MAX_HOT_KEYS else top, F.col(LOCATION) == F.col("__top"), "left_semi")
+    return df.join(F.broadcast(top) if k <= BROADCAST_ROWS else top, F.col(LOCATION) == F.col("__top"), "left_semi")
 
 
 def dashboard_panel(df: DataFrame, locations: Sequence[str] | None = None, shown: int = 3) -> DataFrame:

@@ -15,6 +15,8 @@ from ..functions.coerce import (
 from ..schema import INTERVENTION_TYPES, Rules, require_columns, require_rows
 
 DEFAULT = Rules()
+#: Counts are BIGINT; this is the largest DOUBLE below its end.
+LARGEST_COUNT = float(2**63 - 1024)
 OBSERVATION_REASONS = (
     "year_not_whole", "year_out_of_range", "invalid_season", "missing_value",
     "area_out_of_range", "invalid_body_count",
@@ -71,7 +73,7 @@ def _observation_numbers(df: DataFrame, rules: Rules) -> _Numbers:
 def _observation_columns(n: _Numbers, rules: Rules) -> list[Column]:
     typed = {rules.year: n.year(rules.year), rules.area: n.value(rules.area).cast("double")}
     if rules.count in n.types:
-        typed[rules.count] = n.value(rules.count)
+        typed[rules.count] = n.value(rules.count).try_cast("bigint")
     return [typed.get(c, F.col(f"`{c}`")).alias(c) for c in n.columns]
 
 
@@ -86,7 +88,7 @@ def _observation_reason(n: _Numbers, rules: Rules) -> Column:
     ]
     if rules.count in n.types:
         number = n.value(rules.count)
-        checks.append((number.isNull() | (number < 0), "invalid_body_count"))
+        checks.append((number.isNull() | ~number.between(0, LARGEST_COUNT), "invalid_body_count"))
     return _first_reason(checks)
 
 
@@ -104,7 +106,7 @@ def _valid_observation(n: _Numbers, rules: Rules) -> Column:
         number = n.plain(rules.count)
         valid = valid & (number >= 0)
         if not n.whole(rules.count):
-            valid = valid & (number <= float("inf"))
+            valid = valid & (number <= LARGEST_COUNT)
     return valid
 
 
@@ -212,7 +214,7 @@ def rejected_observations(df: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
     """The raw rows that break a rule, with the reason, for quarantine."""
     n = _observation_numbers(df, rules)
     broken = n.df.filter(~F.coalesce(_valid_observation(n, rules), F.lit(False)))
-    return broken.select(*_observation_columns(n, rules), _observation_reason(n, rules).alias("reason"))
+    return broken.select(*[F.col(f"`{c}`") for c in n.columns], _observation_reason(n, rules).alias("reason"))
 
 
 def unknown_categories(df: DataFrame, column: str = "intervention_type",

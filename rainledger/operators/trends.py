@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.coerce import to_number
+from ..functions.coerce import known_flag, to_number
 from ..functions.quantiles import GROUP_ROWS, aggregate_with_quantiles
 from ..schema import require_columns, require_rows
 
@@ -119,7 +119,8 @@ def trend_by_intervention(df: DataFrame, flag: str = "pond_presence", group_by:
                           value: str = "water_area_ha", time: str = "year") -> DataFrame:
     """Mean slope of the groups with and without intervention, from one pass over the rows."""
     require_columns(df, flag)
-    slopes = trend_slopes(df.filter(F.col(flag).isin(0, 1)), [flag, *group_by], value=value, time=time)
+    flagged = df.withColumn(flag, known_flag(df, flag))
+    slopes = trend_slopes(flagged.filter(F.col(flag).isin(0, 1)), [flag, *group_by], value=value, time=time)
     return slopes.groupBy(flag).agg(
         F.count(F.lit(1)).alias("groups"),
         F.avg("trend_slope_ha_per_year").alias("mean_slope_ha_per_year"),

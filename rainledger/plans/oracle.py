@@ -13,7 +13,7 @@ QUALITY = "CASE WHEN l_returnflag = 'R' THEN 'poor' ELSE 'good' END"
 
 CTES = {
     "water_raw": f"""SELECT {PLACE} AS location_id, CAST(year(l_shipdate) AS INT) AS year, {SEASON} AS season,
-        l_extendedprice / 9.0 AS water_area_ha, CAST(l_quantity AS INT) AS water_body_count,
+        l_extendedprice / 9.0 AS water_area_ha, CAST(l_quantity AS BIGINT) AS water_body_count,
         {QUALITY} AS data_quality FROM lineitem""",
     "water": """SELECT DISTINCT * FROM water_raw
         WHERE year BETWEEN 1900 AND 2100 AND water_area_ha BETWEEN 0 AND 10000 AND water_body_count >= 0""",
@@ -27,7 +27,7 @@ CTES = {
         CASE WHEN l_orderkey % 37 = 0 THEN '-1' WHEN l_orderkey % 31 = 0 THEN NULL
             ELSE CAST(CAST(l_quantity AS INT) AS VARCHAR) END AS water_body_count,
         {QUALITY} AS data_quality FROM lineitem""",
-    "water_typed": """SELECT location_id, season, data_quality,
+    "water_typed": """SELECT location_id, season, data_quality, year, water_area_ha, water_body_count,
         TRY_CAST(trim(year) AS DOUBLE) AS y,
         CASE WHEN isnan(TRY_CAST(water_area_ha AS DOUBLE)) THEN NULL
             ELSE TRY_CAST(water_area_ha AS DOUBLE) END AS a,
@@ -58,12 +58,12 @@ CTES = {
     "grain": """SELECT location_id, year, season, avg(water_area_ha) AS water_area_ha,
         CAST(sum(water_body_count) AS BIGINT) AS water_body_count FROM water GROUP BY location_id, year, season""",
     "docs": f"""SELECT {PLACE} AS location_id, CAST(year(l_shipdate) AS INT) AS year, {SEASON} AS season,
-        l_orderkey % 8 AS k, l_extendedprice / 9.0 AS area, CAST(l_quantity AS INT) AS n FROM lineitem""",
+        l_orderkey % 12 AS k, l_extendedprice / 9.0 AS area, CAST(l_quantity AS BIGINT) AS n FROM lineitem""",
     "flat": """SELECT location_id, year, season,
-        CASE WHEN k = 3 THEN 0.0 ELSE area END AS water_area_ha,
-        CASE WHEN k IN (3, 5) THEN 0 ELSE n END AS water_body_count,
+        CASE WHEN k = 3 THEN 0.0 WHEN k IN (8, 10) THEN NULL ELSE area END AS water_area_ha,
+        CASE WHEN k IN (3, 5) THEN 0 WHEN k = 11 THEN CAST(concat('30000000', n) AS BIGINT) ELSE n END AS water_body_count,
         CASE k WHEN 0 THEN 'poor' WHEN 2 THEN NULL ELSE 'good' END AS data_quality
-        FROM docs WHERE k IN (0, 1, 2, 3, 5)""",
+        FROM docs WHERE k IN (0, 1, 2, 3, 5, 8, 9, 10, 11)""",
     "slopes": """SELECT location_id, season, count(*) AS n, min(year) < max(year) AS spread,
         coalesce(regr_slope(water_area_ha, year), 0.0) AS slope FROM water GROUP BY location_id, season""",
     "seasonal": """SELECT location_id, season, count(*) AS n, avg(water_area_ha) AS m,
@@ -71,6 +71,10 @@ CTES = {
         FROM water GROUP BY location_id, season""",
     "top3": """SELECT location_id FROM water GROUP BY location_id
         ORDER BY count(*) DESC, location_id LIMIT 3""",
+    "top5": """SELECT * FROM water WHERE location_id IN (SELECT location_id FROM water GROUP BY location_id
+        ORDER BY count(*) DESC, location_id LIMIT 5)""",
+    "text_flag": """SELECT * REPLACE (CASE WHEN pond_presence IS NULL THEN NULL WHEN year % 7 < 3 THEN 1
+        WHEN year % 7 < 6 THEN 0 END AS pond_presence) FROM merged""",
     "top3_grain": "SELECT location_id FROM grain GROUP BY location_id ORDER BY count(*) DESC, location_id LIMIT 3",
     "per_location": """SELECT location_id, count(*) AS records, min(year) AS first_year, max(year) AS last_year,
         avg(water_area_ha) AS m, min(water_area_ha) AS lo, max(water_area_ha) AS hi, avg(water_body_count) AS b
@@ -90,7 +94,7 @@ def same(*names: str) -> str:
 OBS = f"location_id, year, season, {same('water_area_ha')}, water_body_count, data_quality"
 NRM = f"pond_presence, intervention_type, {same('crop_yield_ton_per_ha')}, drought_sensitivity"
 CLEAN_TEXT = f"""SELECT DISTINCT location_id, CAST(y AS INT) AS year, season, {r('a', 'water_area_ha')},
-    {r('c', 'water_body_count')}, data_quality FROM water_judged WHERE reason IS NULL"""
+    CAST(trunc(c) AS BIGINT) AS water_body_count, data_quality FROM water_judged WHERE reason IS NULL"""
 REASONS = ("year_not_whole", "year_out_of_range", "invalid_season", "missing_value", "area_out_of_range",
            "invalid_body_count")
 
@@ -152,16 +156,28 @@ def report(rows: str, reasons: tuple[str, ...], columns: str) -> str:
             (original_records - final_records) * 100.0 / original_records > 50 AS high_removal FROM counted"""
 
 
-def histogram(value: str, by: str | None) -> str:
+def histogram(value: str, by: str | None, rows: str = "water") -> str:
     key = f"{by}, " if by else ""
-    low, high = f"(SELECT min({value}) FROM water)", f"(SELECT max({value}) FROM water)"
+    low, high = f"(SELECT min({value}) FROM {rows})", f"(SELECT max({value}) FROM {rows})"
     width = f"(CAST({high} - {low} AS DOUBLE) / 30)"
     return f"""WITH b AS (SELECT {key}CAST(least(floor(({value} - {low}) / CAST({high} - {low} AS DOUBLE) * 30), 29) AS INT)
-            AS bin FROM water)
+            AS bin FROM {rows})
         SELECT {key}bin, {r(f'{low} + bin * {width}', 'bin_start')}, {r(f'{low} + (bin + 1) * {width}', 'bin_end')},
             count(*) AS records FROM b GROUP BY {key}bin"""
 
 
+def box(where: str) -> str:
+    return f"""WITH w AS (SELECT * FROM water WHERE {where}),
+        q AS (SELECT season, count(*) AS records, quantile_cont(water_area_ha, 0.25) AS q1,
+            median(water_area_ha) AS median, quantile_cont(water_area_ha, 0.75) AS q3 FROM w GROUP BY season),
+        f AS (SELECT w.season, water_area_ha AS v, water_area_ha BETWEEN q1 - 1.5 * (q3 - q1)
+            AND q3 + 1.5 * (q3 - q1) AS inside FROM w JOIN q ON w.season = q.season)
+        SELECT season, any_value(records) AS records, {r('any_value(q1)', 'q1')},
+            {r('any_value(median)', 'median')}, {r('any_value(q3)', 'q3')},
+            {r('min(v) FILTER (inside)', 'whisker_low')}, {r('max(v) FILTER (inside)', 'whisker_high')},
+            count(*) FILTER (NOT inside) AS outliers FROM f JOIN q USING (season) GROUP BY season"""
+
+
 def pivot(keys: str, rows: str, seasons: tuple[str, ...], where: str = "true", fill: bool = True) -> str:
     cells = ", ".join(
         r(f"coalesce(avg(water_area_ha) FILTER (season = '{s}'), 0)", s) for s in seasons)
@@ -223,7 +239,8 @@ ORACLE: dict[str, str] = {
         SELECT CASE k WHEN 4 THEN 'invalid_year' ELSE 'not_json' END AS reason,
             CASE k WHEN 4 THEN 0 END AS position FROM docs WHERE k IN (4, 6)
         UNION ALL SELECT 'entry_not_object', 0 FROM docs WHERE k = 7
-        UNION ALL SELECT 'entry_without_year', 1 FROM docs WHERE k = 7) GROUP BY ALL""",
+        UNION ALL SELECT 'entry_without_year', 1 FROM docs WHERE k = 7
+        UNION ALL SELECT 'invalid_year', 0 FROM docs WHERE k = 10) GROUP BY ALL""",
     "load_documents": f"SELECT DISTINCT {OBS} FROM flat WHERE water_area_ha BETWEEN 0 AND 10000",
     "spatial_units_filter": f"""SELECT {UNIT} AS id, s_name AS name, 'village' AS type, 'State 3' AS state,
         CAST(s_suppkey AS VARCHAR) AS code FROM supplier WHERE s_nationkey = 3""",
@@ -234,20 +251,14 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT p_partkey, 1, 0, p_size FROM part UNION ALL SELECT p_partkey, 1, 1, NULL FROM part
         UNION ALL SELECT p_partkey, 1, 2, p_retailprice FROM part) WHERE p_partkey % 3 <> 0""",
     "concat_locations": f"""SELECT {OBS} FROM water UNION ALL SELECT location_id, year, season,
-        {same('water_area_ha')}, CAST(water_body_count AS INT), NULL FROM grain""",
+        {same('water_area_ha')}, water_body_count, NULL FROM grain""",
     "select_observations": f"""SELECT {OBS} FROM water WHERE location_id IN ('V000001', 'V000002', 'V000007')
         AND year BETWEEN 1996 AND 1998 AND season IN ('monsoon', 'winter')""",
-    "sample_data": """SELECT concat('V00', CAST(i // 3 % 2 + 1 AS VARCHAR)) AS location_id,
-        CAST(2020 + i % 3 AS INT) AS year,
-        CASE i % 3 WHEN 0 THEN 'perennial' WHEN 1 THEN 'winter' ELSE 'monsoon' END AS season,
-        'good' AS data_quality, count(*) AS records, true AS in_range
-        FROM (SELECT row_number() OVER () - 1 AS i FROM lineitem) GROUP BY ALL""",
     "sink_roundtrip": f"SELECT location_id, year, season, {same('water_area_ha')}, water_body_count FROM grain",
     "clean_water": CLEAN_TEXT,
     "clean_report": report("(SELECT * FROM water_judged UNION ALL SELECT * FROM water_judged)", REASONS,
                            "location_id, y, season, a, c, data_quality"),
-    "rejected_rows": f"""SELECT location_id, CASE WHEN y = floor(y) THEN CAST(y AS INT) END AS year, season,
-        {r('a', 'water_area_ha')}, {r('c', 'water_body_count')}, data_quality, reason
+    "rejected_rows": """SELECT location_id, year, season, water_area_ha, water_body_count, data_quality, reason
         FROM water_judged WHERE reason IS NOT NULL""",
     "clean_nrm": f"SELECT location_id, year, {NRM} FROM nrm",
     "clean_nrm_report": report(
@@ -328,21 +339,20 @@ ORACLE: dict[str, str] = {
     "comparison_series": f"""SELECT year, CASE pond_presence WHEN 0 THEN 'Without Intervention'
         ELSE 'With Intervention' END AS pond_presence, {r('avg(water_area_ha)', 'water_area_ha')}
         FROM merged m WHERE m.pond_presence IS NOT NULL GROUP BY year, m.pond_presence""",
+    "comparison_text_flag": f"""SELECT year, CASE t.pond_presence WHEN 0 THEN 'Without Intervention'
+        WHEN 1 THEN 'With Intervention' END AS pond_presence, {r('avg(water_area_ha)', 'water_area_ha')}
+        FROM text_flag t WHERE t.pond_presence IS NOT NULL GROUP BY year, t.pond_presence""",
+    "trend_text_flag": f"""SELECT pond_presence, count(*) AS "groups", {r('avg(s)', 'mean_slope_ha_per_year')} FROM (
+        SELECT pond_presence, coalesce(regr_slope(water_area_ha, year), 0.0) AS s FROM text_flag
+        WHERE pond_presence IS NOT NULL GROUP BY pond_presence, location_id, season) GROUP BY pond_presence""",
     "histogram_by_season": histogram("water_body_count", "season"),
     "heatmap_pivot": "SELECT location_id, " + ", ".join(
         r(f"avg(water_area_ha) FILTER (year = {y})", f'"{y}"') for y in range(1995, 2002))
         + " FROM water GROUP BY location_id",
     "heatmap_long": f"""SELECT location_id, year, {r('avg(water_body_count)', 'water_body_count')}
         FROM water GROUP BY location_id, year""",
-    "box_stats": f"""WITH w AS (SELECT * FROM water WHERE year BETWEEN 1996 AND 2000),
-        q AS (SELECT season, count(*) AS records, quantile_cont(water_area_ha, 0.25) AS q1,
-            median(water_area_ha) AS median, quantile_cont(water_area_ha, 0.75) AS q3 FROM w GROUP BY season),
-        f AS (SELECT w.season, water_area_ha AS v, water_area_ha BETWEEN q1 - 1.5 * (q3 - q1)
-            AND q3 + 1.5 * (q3 - q1) AS inside FROM w JOIN q ON w.season = q.season)
-        SELECT season, any_value(records) AS records, {r('any_value(q1)', 'q1')},
-            {r('any_value(median)', 'median')}, {r('any_value(q3)', 'q3')},
-            {r('min(v) FILTER (inside)', 'whisker_low')}, {r('max(v) FILTER (inside)', 'whisker_high')},
-            count(*) FILTER (NOT inside) AS outliers FROM f JOIN q USING (season) GROUP BY season""",
+    "box_stats": box("year BETWEEN 1996 AND 2000"),
+    "box_stats_all_years": box("true"),
     "impact_scatter": f"""SELECT location_id, year, {same('water_area_ha', 'crop_yield_ton_per_ha')},
         CASE pond_presence WHEN 0 THEN 'Without Intervention' WHEN 1 THEN 'With Intervention' END
             AS intervention_status FROM merged""",
@@ -357,6 +367,7 @@ ORACLE: dict[str, str] = {
     "dashboard_yearly_area": f"""SELECT year, location_id, {r('avg(water_area_ha)', 'water_area_ha')}
         FROM water WHERE location_id IN (SELECT location_id FROM top3) GROUP BY location_id, year""",
     "area_histogram": histogram("water_area_ha", None),
+    "dashboard_area_histogram": histogram("water_area_ha", None, "top5"),
     "yearly_mean": f"SELECT year, {r('avg(water_area_ha)', 'water_area_ha')} FROM water GROUP BY year",
     "bubble_radius": f"""SELECT location_id, year, season, {same('water_area_ha')},
         {r('sqrt(water_area_ha) / 10', 'radius')} FROM (SELECT * FROM water

@@ -15,7 +15,6 @@ from ..sinks.table import ordered, write_table
 from ..sources import documents, tables
 from .views import Views
 
-YEARS = tuple(range(1995, 2002))
 COMPARED = ("location_id", "pond_presence", "water_area_ha", "water_body_count")
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,14 +64,6 @@ def _json_rejects(v: Views) -> DataFrame:
         F.count(F.lit(1)).alias("records"))
 
 
-def _sample_data(v: Views) -> DataFrame:
-    """As many sample rows as there are line items. The measures are random, so only their range counts."""
-    obs, _ = tables.sample_data(v.spark, rows=v.table("lineitem").count())
-    in_range = F.col("water_area_ha").between(10, 100) & F.col("water_body_count").between(1, 19)
-    return obs.groupBy("location_id", "year", "season", "data_quality").agg(
-        F.count(F.lit(1)).alias("records"), F.bool_and(in_range).alias("in_range"))
-
-
 def _spatial_units(v: Views) -> DataFrame:
     units = documents.spatial_units(v.unit_documents, " Village ", "State 3")
     return units.select("id", "name", "type", "state", F.element_at("extras", "code").alias("code"))
@@ -142,11 +133,9 @@ QUERIES: dict[str, Callable[[Views], DataFrame]] = {
     "load_documents": lambda v: documents.load_observations(v.documents),
     "spatial_units_filter": _spatial_units,
     "elevation_cells": lambda v: documents.elevation_cells(v.elevation_documents),
-    "concat_locations": lambda v: cleaning.concat_locations(
-        v.water, v.grain.withColumn("water_body_count", F.col("water_body_count").cast("int"))),
+    "concat_locations": lambda v: cleaning.concat_locations(v.water, v.grain),
     "select_observations": lambda v: tables.select_observations(
         v.water, [" V000001", "V000002", "V000007"], 1996, 1998, ["Monsoon ", "winter"]),
-    "sample_data": _sample_data,
     # sinks
     "sink_roundtrip": _sink_roundtrip,
     # cleaning
@@ -194,9 +183,12 @@ QUERIES: dict[str, Callable[[Views], DataFrame]] = {
     "seasonal_pivot": lambda v: charts.seasonal_pivot(v.water),
     "seasonal_pivot_location": lambda v: charts.seasonal_pivot_location(v.grain, "V000001", check=True),
     "comparison_series": lambda v: charts.comparison_series(v.merged),
+    "comparison_text_flag": lambda v: charts.comparison_series(v.merged_text_flag),
+    "trend_text_flag": lambda v: trends.trend_by_intervention(v.merged_text_flag),
     "histogram_by_season": lambda v: charts.body_count_histogram(v.water),
-    "heatmap_pivot": lambda v: charts.heatmap_pivot(v.water, years=YEARS),
+    "heatmap_pivot": lambda v: charts.heatmap_pivot(v.water),
     "heatmap_long": lambda v: charts.heatmap_long(v.water, "water_body_count"),
+    "box_stats_all_years": lambda v: charts.box_stats(v.stored(v.water, "season", "year", "water_area_ha")),
     "box_stats": lambda v: charts.box_stats(
         v.stored(v.water, "season", "year", "water_area_ha"), years=(1996, 2000)),
     "impact_scatter": lambda v: charts.impact_scatter(v.merged),
@@ -206,6 +198,7 @@ QUERIES: dict[str, Callable[[Views], DataFrame]] = {
     "dashboard_body_count": lambda v: charts.dashboard_body_count(charts.dashboard_panel(v.water)),
     "dashboard_yearly_area": lambda v: charts.dashboard_yearly_area(charts.dashboard_panel(v.water)),
     "area_histogram": lambda v: charts.area_histogram(v.water),
+    "dashboard_area_histogram": lambda v: charts.area_histogram(charts.dashboard_locations(v.water)),
     "yearly_mean": lambda v: charts.yearly_mean(v.water),
     "bubble_radius": lambda v: charts.bubble_radius(v.water),
     "head_n": lambda v: charts.head_n(v.water, 5),

@@ -96,6 +96,13 @@ class Views:
     def merged(self) -> DataFrame:
         return merge_interventions(self.water, self.nrm)
 
+    @cached_property
+    def merged_text_flag(self) -> DataFrame:
+        """The flag as an uncleaned column has it: words, numbers as text, and words that mean nothing."""
+        word = F.element_at(F.array(*map(F.lit, ("yes", " TRUE ", "1.0", "no", "absent", "0", "maybe"))),
+                            F.col("year") % 7 + 1)
+        return self.merged.withColumn("pond_presence", F.when(F.col("pond_presence").isNotNull(), word))
+
     @cached_property
     def grain(self) -> DataFrame:
         """One row per location, year and season: the shape the unaggregated charts expect."""
@@ -112,8 +119,8 @@ class Views:
 
     @cached_property
     def documents(self) -> DataFrame:
-        """One irregular JSON series per line item, in eight shapes."""
-        k = F.col("l_orderkey") % 8
+        """One irregular JSON series per line item, in twelve shapes."""
+        k = F.col("l_orderkey") % 12
         year, area = F.year("l_shipdate").cast("string"), (F.col("l_extendedprice") / 9.0).cast("string")
         count = F.col("l_quantity").cast("int").cast("string")
 
@@ -135,6 +142,12 @@ class Views:
             .when(k == 5, text('{"data":{"timeseries":[{"year":', year, ',"seasons":{"autumn":{"area_ha":1},',
                                season, '{"area_ha":', area, ',"count":-', count, '}}}]}}'))
             .when(k == 6, text("<html>", count, "</html>"))
+            .when(k == 8, text('[{"year":', year, ',"seasons":{', season, '{"area_ha":"nan","count":', count, '}}}]'))
+            .when(k == 9, text('[{"year":', year, ',"seasons":{', season, '{"area_ha":1,"area_ha":', area,
+                               ',"count":1,"count":', count, '}}}]'))
+            .when(k == 10, text('[{"year":1,"seasons":{}},{"year":', year, ',"seasons":{', season,
+                                '{"area_ha":NaN,"count":', count, '}}}]'))
+            .when(k == 11, text('[{"year":', year, ',"seasons":{', season, '{"area_ha":', area, ',"count":30000000', count, '}}}]'))
             .otherwise(text('{"timeseries":[5,{"seasons":{}},{"year":', year, ',"seasons":[]},{"year":', year,
                             ',"seasons":{', season, '5}}]}'))
             .alias("document"),

@@ -25,7 +25,7 @@ OBSERVATIONS = T.StructType([
     T.StructField("year", T.IntegerType()),
     T.StructField("season", T.StringType()),
     T.StructField("water_area_ha", T.DoubleType()),
-    T.StructField("water_body_count", T.IntegerType()),
+    T.StructField("water_body_count", T.LongType()),
     T.StructField("data_quality", T.StringType()),
 ])
 

@@ -3,11 +3,11 @@ from .documents import (
 )
 from .tables import (
     check_seasons, check_years, is_utf8, parse_locations, read_csv_text, read_interventions,
-    read_observations, sample_data, select_observations,
+    read_observations, select_observations,
 )
 
 __all__ = [
     "check_seasons", "check_years", "document_rejects", "elevation_cells", "flatten_timeseries", "is_utf8",
     "load_observations", "parse_locations", "read_csv_text", "read_documents", "read_interventions",
-    "read_observations", "sample_data", "select_observations", "spatial_units",
+    "read_observations", "select_observations", "spatial_units",
 ]

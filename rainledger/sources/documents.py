@@ -28,6 +28,24 @@ def read_documents(spark: SparkSession, path: str, *, one_per_line: bool = False
     return documents_from(spark.read.text(path, wholetext=not one_per_line))
 
 
+def _parsed(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
+    """(__id, __doc) with the document as VARIANT, NULL if it is no JSON at all.
+
+    Of a key that is repeated in an object the last value counts, as in most JSON readers. The setting for
+    it is taken up when the expression is resolved, so it can be put back at once. A document with bare
+    NaN or Infinity, which JSON does not have, is read by the reader that allows them as text.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.variant.allowDuplicateKeys"
+    before = conf.get(name, "false")
+    conf.set(name, "true")
+    try:
+        text = F.col(json_col)
+        return df.select(F.col(id_col).alias("__id"),
+                         F.coalesce(F.try_parse_json(text), F.from_json(text, "variant")).alias("__doc"))
+    finally:
+        conf.set(name, before)
+
+
 def _get(v: Column, path: str, kind: str) -> Column:
     return F.try_variant_get(v, path, kind)
 
@@ -60,24 +78,25 @@ def _year(entry: Column) -> Column:
 
 
 def _number(info: Column, path: str) -> Column:
-    """A JSON number or boolean, or text that is a number, as DOUBLE."""
+    """A JSON number or boolean, or text that is a number, as DOUBLE; 0 if it is none, NULL if it is NaN."""
     text = _get(info, path, "string")
     truth = F.when(_kind(_get(info, path, "variant")) == "BOOLEAN", _get(info, path, "boolean"))
-    return F.coalesce(parse_number(text), truth.cast("int").cast("double"))
+    number = F.coalesce(parse_number(text), truth.cast("int").cast("double"), F.lit(0.0))
+    return F.when(~F.coalesce(F.lower(strip(text)).rlike("^[+-]?nan$"), F.lit(False)), number)
 
 
 def _count(info: Column) -> Column:
     """A whole count: decimals truncated, text only if whole, negative or unusable as 0."""
     text = strip(_get(info, "$.count", "string"))
     is_text = _kind(_get(info, "$.count", "variant")) == "STRING"
-    whole = F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("int"))
-    value = F.when(is_text, whole).otherwise(_get(info, "$.count", "double").try_cast("int"))
-    return F.greatest(F.coalesce(value, F.lit(0)), F.lit(0))
+    whole = F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("bigint"))
+    value = F.when(is_text, whole).otherwise(_get(info, "$.count", "double").try_cast("bigint"))
+    return F.greatest(F.coalesce(value, F.lit(0)), F.lit(0)).cast("bigint")
 
 
 def _entries(df: DataFrame, json_col: str, id_col: str) -> DataFrame:
     require_columns(df, json_col, id_col)
-    parsed = df.select(F.col(id_col).alias("__id"), F.try_parse_json(F.col(json_col)).alias("__doc"))
+    parsed = _parsed(df, id_col, json_col)
     # explode() would first filter on a second copy of its argument and so parse every document twice.
     return parsed.select("__id", F.explode_outer(_series(F.col("__doc"))).alias("__entry"))
 
@@ -86,7 +105,8 @@ def flatten_timeseries(df: DataFrame, json_col: str = "document", id_col: str =
     """One observation per year and season of each document.
 
     Entries without a usable year, unknown seasons and values of the wrong shape are skipped. An
-    unusable area or count becomes 0. Areas out of range are kept: cleaning removes them.
+    unusable area or count becomes 0. Areas that are NaN (here NULL) or out of range are kept: cleaning
+    removes them.
     """
     entry = F.col("__entry")
     years = computed_once(_entries(df, json_col, id_col), {
@@ -98,7 +118,7 @@ def flatten_timeseries(df: DataFrame, json_col: str = "document", id_col: str =
     quality = F.when(_has(info, "$.quality"), _get(info, "$.quality", "string")).otherwise(F.lit("good"))
     return cells.select(
         strip(F.col("__id")).alias("location_id"), "year", "season",
-        F.coalesce(_number(info, "$.area_ha"), F.lit(0.0)).alias("water_area_ha"),
+        _number(info, "$.area_ha").alias("water_area_ha"),
         _count(info).alias("water_body_count"), quality.alias("data_quality"),
     )
 
@@ -113,7 +133,7 @@ def document_rejects(df: DataFrame, json_col: str = "document", id_col: str = "l
     """Documents and yearly entries that cannot be used, as (id, reason, position)."""
     require_columns(df, json_col, id_col)
     doc = F.col("__doc")
-    parsed = df.select(F.col(id_col).alias("location_id"), F.try_parse_json(F.col(json_col)).alias("__doc"))
+    parsed = _parsed(df, id_col, json_col).withColumnRenamed("__id", "location_id")
     series = parsed.withColumn("__series", _series(doc))
     bad_document = F.when(doc.isNull(), "not_json").when(F.col("__series").isNull(), "no_list_of_years")
     entries = series.select("location_id", bad_document.alias("__bad"),

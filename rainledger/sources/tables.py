@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.cleaning import clean_interventions, clean_observations, typed_observations
-from ..schema import INTERVENTIONS, NULL_TOKENS, OBSERVATIONS, SEASONS, Rules, require_columns
+from ..schema import NULL_TOKENS, SEASONS, Rules, require_columns
 
 LATIN1 = "ISO-8859-1"
 
@@ -64,7 +64,8 @@ def parse_locations(text: str) -> list[str]:
 
 
 def check_seasons(seasons: Sequence[str] | None) -> list[str]:
-    chosen = [s.strip().lower() for s in seasons] if seasons is not None else list(SEASONS)
+    """The wanted seasons in lower case; none at all means every season."""
+    chosen = [s.strip().lower() for s in seasons or SEASONS]
     unknown = [s for s in chosen if s not in SEASONS]
     if unknown:
         raise ValueError(f"invalid seasons: {unknown}; valid: {list(SEASONS)}")
@@ -94,24 +95,3 @@ def select_observations(df: DataFrame, locations: Sequence[str], start: int, end
     require_columns(df, location, year, season)
     return df.filter(F.col(location).isin(wanted) & F.col(year).between(start, end) & F.col(season).isin(chosen))
 
-
-def sample_data(spark: SparkSession, rows: int = 18, seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """Demonstration observations with random measures, and matching intervention records."""
-    i = F.col("id")
-    place = F.concat(F.lit("V"), F.lpad((F.floor(i / 3) % 2 + 1).cast("string"), 3, "0"))
-    season = F.element_at(F.array(*[F.lit(s) for s in SEASONS[:3]]), (i % 3 + 1).cast("int"))
-    obs = spark.range(rows).select(
-        place.alias("location_id"), (i % 3 + 2020).cast("int").alias("year"), season.alias("season"),
-        (F.rand(seed) * 90 + 10).alias("water_area_ha"),
-        (F.floor(F.rand(seed + 1) * 19) + 1).cast("int").alias("water_body_count"),
-        F.lit("good").alias("data_quality"),
-    )
-    first = F.col("id") == 0
-    nrm = spark.range(2).select(
-        F.when(first, "V001").otherwise("V002").alias("location_id"), F.lit(2021).alias("year"),
-        F.when(first, 1).otherwise(0).alias("pond_presence"),
-        F.lit(None).cast("string").alias("intervention_type"),
-        F.when(first, 2.5).otherwise(1.8).alias("crop_yield_ton_per_ha"),
-        F.when(first, "low").otherwise("high").alias("drought_sensitivity"),
-    )
-    return obs.to(OBSERVATIONS), nrm.to(INTERVENTIONS)

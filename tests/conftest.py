@@ -21,35 +21,37 @@ def spark():
     session.stop()
 
 
-def _sample_water():
-    """Two places, three years, three seasons: start value per series and its yearly steps."""
-    areas = {
-        ("V001", "perennial"): (45.2, 48.7, 52.1), ("V001", "winter"): (32.1, 35.4, 38.9),
-        ("V001", "monsoon"): (78.9, 82.3, 85.6), ("V002", "perennial"): (28.3, 31.2, 34.5),
-        ("V002", "winter"): (18.7, 22.1, 25.8), ("V002", "monsoon"): (45.6, 48.9, 52.3),
-    }
-    first_count = {("V001", "perennial"): 8, ("V001", "winter"): 6, ("V001", "monsoon"): 12,
-                   ("V002", "perennial"): 5, ("V002", "winter"): 4, ("V002", "monsoon"): 8}
-    return [(loc, 2020 + i, season, area, first_count[loc, season] + i, "good")
-            for (loc, season), series in areas.items() for i, area in enumerate(series)]
+def invented_panel():
+    """Rows of three places over four years and two seasons, from a formula of this test suite."""
+    rows = []
+    for p, place in enumerate(("east", "north", "west")):
+        for s, season in enumerate(("winter", "summer")):
+            for y in range(2011, 2015):
+                area = 12.1 + 9 * p + 4 * s + (1 + p - s) * (y - 2011) + 0.3 * ((5 * p + 3 * s + 7 * y) % 4)
+                rows.append((place, y, season, area, 2 + p + s + y % 3, "good"))
+    return rows
+
+
+def invented_records():
+    """One record per place and year; the middle place has the intervention."""
+    return [(place, y, int(place == "north"), 1.5 + 0.25 * p + 0.125 * (y - 2011), "low" if p else "high")
+            for p, place in enumerate(("east", "north", "west")) for y in range(2011, 2015)]
 
 
 @pytest.fixture(scope="session")
 def water_rows():
-    return _sample_water()
+    return invented_panel()
 
 
 @pytest.fixture(scope="session")
 def water(spark):
-    return spark.createDataFrame(_sample_water(), "location_id string, year int, season string, "
+    return spark.createDataFrame(invented_panel(), "location_id string, year int, season string, "
                                  "water_area_ha double, water_body_count int, data_quality string").cache()
 
 
 @pytest.fixture(scope="session")
 def nrm(spark):
-    rows = [("V001", 2020, 1, 2.8, "low"), ("V001", 2021, 1, 3.1, "low"), ("V001", 2022, 1, 3.4, "low"),
-            ("V002", 2020, 0, 1.9, "high"), ("V002", 2021, 0, 2.1, "medium"), ("V002", 2022, 0, 2.3, "medium")]
-    return spark.createDataFrame(rows, "location_id string, year int, pond_presence int, "
+    return spark.createDataFrame(invented_records(), "location_id string, year int, pond_presence int, "
                                  "crop_yield_ton_per_ha double, drought_sensitivity string").cache()
 
 

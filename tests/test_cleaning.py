@@ -105,7 +105,9 @@ def test_flags(spark):
     df = spark.createDataFrame([(t,) for t in texts], "f string")
     assert [r[0] for r in df.select(coerce.normalize_flag(F.col("f"))).collect()] == [1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 1]
     got = [r[0] for r in df.select(coerce.aggregate_flag(df, "f")).collect()]
-    assert got == [1, 0, 1, 0, 1, 0, 0, 0, 0, 0, 0]
+    assert got == [1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 1]
+    known = [r[0] for r in df.select(coerce.known_flag(df, "f")).collect()]
+    assert known == [1, 1, 1, 1, 1, None, None, None, 0, 0, 1]
     numbers = spark.createDataFrame([(x,) for x in (2.0, 0.5, -1.0, None, float("nan"), 1.0)], "f double")
     assert [r[0] for r in numbers.select(coerce.aggregate_flag(numbers, "f")).collect()] == [1, 0, 0, 0, 0, 1]
     assert [r[0] for r in numbers.select(coerce.normalize_flag(F.col("f"))).collect()] == [0, 0, 0, 0, 0, 1]

@@ -1,100 +1,127 @@
-"""Known numbers on the two sample tables."""
+"""Operators on the invented panel against plain Python."""
 
-import pytest
+from collections import defaultdict
+from statistics import correlation, linear_regression, mean, median, stdev
+
+from conftest import invented_panel
 from pytest import approx
 
 from rainledger.operators import charts, cleaning, merging, summaries, trends
 
+ROWS = invented_panel()
+AREAS = [r[3] for r in ROWS]
+PLACE, YEAR, SEASON, AREA, COUNT = range(5)
+WITH, WITHOUT = [r for r in ROWS if r[PLACE] == "north"], [r for r in ROWS if r[PLACE] != "north"]
+
 
 def by(df, *keys):
     return {tuple(r[k] for k in keys) if len(keys) > 1 else r[keys[0]]: r for r in df.collect()}
 
 
+def grouped(*places):
+    out = defaultdict(list)
+    for r in ROWS:
+        out[tuple(r[p] for p in places)].append(r)
+    return out
+
+
+def slope(rows):
+    return linear_regression([r[YEAR] for r in rows], [r[AREA] for r in rows]).slope
+
+
+def areas(rows):
+    return [r[AREA] for r in rows]
+
+
 def test_cleaning_keeps_everything(water):
-    assert cleaning.clean_observations(water).count() == 18
+    assert cleaning.clean_observations(water).count() == len(ROWS)
     r = cleaning.cleaning_report(water).first()
-    assert (r.original_records, r.final_records, r.records_removed, r.high_removal) == (18, 18, 0, False)
+    assert (r.original_records, r.final_records, r.records_removed, r.high_removal) == (len(ROWS), len(ROWS), 0, False)
 
 
-@pytest.mark.parametrize("key, mean, std, median, slope", [
-    (("V001", "monsoon"), 82.2667, 3.3501, 82.3, 3.35), (("V001", "perennial"), 48.6667, 3.4501, 48.7, 3.45),
-    (("V001", "winter"), 35.4667, 3.4005, 35.4, 3.40), (("V002", "monsoon"), 48.9333, 3.3501, 48.9, 3.35),
-    (("V002", "perennial"), 31.3333, 3.1021, 31.2, 3.10), (("V002", "winter"), 22.2, 3.5511, 22.1, 3.55),
-])
-def test_trends(water, key, mean, std, median, slope):
-    r = by(trends.water_trends(water), "location_id", "season")[key]
-    assert r.mean_water_area_ha == approx(mean, abs=1e-4)
-    assert r.std_water_area_ha == approx(std, abs=1e-4)
-    assert r.median_water_area_ha == approx(median)
-    assert r.trend_slope_ha_per_year == approx(slope)
-    assert (r.trend_quality, r.data_points, r.start_year, r.end_year, r.year_span) == ("good", 3, 2020, 2022, 2)
+def test_trends(water):
+    got = by(trends.water_trends(water), "location_id", "season")
+    want = grouped(PLACE, SEASON)
+    assert got.keys() == want.keys()
+    for key, rows in want.items():
+        r = got[key]
+        assert r.mean_water_area_ha == approx(mean(areas(rows))) and r.std_water_area_ha == approx(stdev(areas(rows)))
+        assert r.median_water_area_ha == approx(median(areas(rows)))
+        assert r.trend_slope_ha_per_year == approx(slope(rows))
+        assert (r.trend_quality, r.data_points, r.start_year, r.end_year, r.year_span) == ("good", 4, 2011, 2014, 3)
 
 
 def test_merge(merged):
     r = merging.merge_report(merged).first()
-    assert (r.total_records, r.matched_records, r.match_rate_pct, r.low_match) == (18, 18, 100.0, False)
+    assert (r.total_records, r.matched_records, r.match_rate_pct, r.low_match) == (len(ROWS), len(ROWS), 100.0, False)
 
 
 def test_intervention_summary(merged):
     got = by(summaries.intervention_summary(merged), "pond_presence")
-    zero, one = got[0], got[1]
-    assert zero.water_area_ha_mean == approx(34.1556, abs=1e-4)
-    assert one.water_area_ha_mean == approx(55.4667, abs=1e-4)
-    assert (zero.water_area_ha_median, one.water_area_ha_median) == (31.2, 48.7)
-    assert (zero.water_body_count_sum, one.water_body_count_sum) == (60, 87)
-    assert (zero.location_id_nunique, one.location_id_nunique) == (1, 1)
-    assert zero.water_area_increase_pct == 0.0
-    assert one.water_area_increase_pct == approx(62.3943, abs=1e-4)
-    assert (zero.intervention_type, one.intervention_type) == ("No Intervention", "With Intervention")
+    for flag, rows, name in ((0, WITHOUT, "No Intervention"), (1, WITH, "With Intervention")):
+        r = got[flag]
+        assert r.water_area_ha_mean == approx(mean(areas(rows))) and r.water_area_ha_median == approx(median(areas(rows)))
+        assert r.water_body_count_sum == sum(x[COUNT] for x in rows)
+        assert r.location_id_nunique == len({x[PLACE] for x in rows}) and r.intervention_type == name
+    base = mean(areas(WITHOUT))
+    assert got[0].water_area_increase_pct == 0.0
+    assert got[1].water_area_increase_pct == approx((mean(areas(WITH)) - base) / base * 100)
 
 
 def test_seasonal_summary(water):
     rows = summaries.seasonal_summary(water).collect()
     assert len(rows) == 6
-    assert all((r.year_nunique, r.year_span, r.data_completeness, r.data_quality) == (3, 2, 1.5, "good") for r in rows)
+    assert all((r.year_nunique, r.year_span, r.data_quality) == (4, 3, "good") for r in rows)
+    assert all(r.data_completeness == approx(4 / 3) for r in rows)
 
 
 def test_yearly_and_insights(merged):
-    means = {r.year: r.water_area_ha for r in charts.yearly_mean(merged).collect()}
-    assert means == approx({2020: 41.4667, 2021: 44.7667, 2022: 48.2}, abs=1e-4)
+    yearly = {k[0]: mean(areas(v)) for k, v in grouped(YEAR).items()}
+    assert {r.year: r.water_area_ha for r in charts.yearly_mean(merged).collect()} == approx(yearly)
+    seasons = {k[0]: mean(areas(v)) for k, v in grouped(SEASON).items()}
     found = {r.insight: r for r in summaries.key_insights(merged).collect()}
-    assert found["trend"].level == "increasing" and found["trend"].value == approx(3.3667, abs=1e-4)
-    assert (found["highest_season"].level, found["lowest_season"].level) == ("monsoon", "winter")
-    assert (found["pond_effect"].level, found["data_quality"].level) == ("higher", "high")
+    assert found["trend"].level == "increasing"
+    assert found["trend"].value == approx(linear_regression(list(yearly), list(yearly.values())).slope)
+    assert found["highest_season"].level == max(seasons, key=seasons.get)
+    assert found["lowest_season"].level == min(seasons, key=seasons.get)
+    ratio = mean(areas(WITH)) / mean(areas(WITHOUT))
+    assert found["pond_effect"].value == approx(ratio)
+    assert found["pond_effect"].level == ("higher" if ratio > 1.2 else "lower" if ratio < 0.8 else "similar")
+    assert found["data_quality"].level == "high"
 
 
 def test_report_metrics(merged):
     got = {r.metric: r.value for r in summaries.summary_metrics(merged).collect()}
     assert got == {
-        "Total Records": "18", "Unique Locations": "2", "Year Range": "2020-2022", "Mean Water Area (ha)": "44.81",
-        "Max Water Area (ha)": "85.60", "Min Water Area (ha)": "18.70", "Records with Pond": "9",
-        "Records without Pond": "9"}
+        "Total Records": str(len(ROWS)), "Unique Locations": "3", "Year Range": "2011-2014",
+        "Mean Water Area (ha)": f"{mean(AREAS):.2f}", "Max Water Area (ha)": f"{max(AREAS):.2f}",
+        "Min Water Area (ha)": f"{min(AREAS):.2f}", "Records with Pond": str(len(WITH)),
+        "Records without Pond": str(len(WITHOUT))}
     quick = {r.metric: r.value for r in summaries.quick_stats(merged).collect()}
     assert quick == {
-        "Total Locations": "2", "Year Range": "2020-2022", "Total Records": "18", "Avg Water Area": "44.8 ha",
-        "Max Water Area": "85.6 ha", "Locations with Ponds": "1", "Locations without Ponds": "1"}
+        "Total Locations": "3", "Year Range": "2011-2014", "Total Records": str(len(ROWS)),
+        "Avg Water Area": f"{mean(AREAS):.1f} ha", "Max Water Area": f"{max(AREAS):.1f} ha",
+        "Locations with Ponds": "1", "Locations without Ponds": "2"}
 
 
 def test_correlation(merged):
     got = {(r.column_a, r.column_b): r.correlation for r in summaries.correlation(merged).collect()}
     assert got["pond_presence", "water_area_ha"] == got["water_area_ha", "pond_presence"]
-    assert got["pond_presence", "water_area_ha"] == approx(0.548978, abs=1e-6)
+    assert got["pond_presence", "water_area_ha"] == approx(correlation([float(r[PLACE] == "north") for r in ROWS], AREAS))
     assert got["pond_presence", "pond_presence"] == approx(1.0)
 
 
 def test_slopes_by_intervention(merged):
     got = by(trends.trend_by_intervention(merged), "pond_presence")
-    assert got[1].mean_slope_ha_per_year == approx(3.4) and got[1].groups == 3
-    assert got[0].mean_slope_ha_per_year == approx((3.35 + 3.10 + 3.55) / 3)
+    slopes = {k: slope(v) for k, v in grouped(PLACE, SEASON).items()}
+    assert got[1].mean_slope_ha_per_year == approx(mean(v for k, v in slopes.items() if k[0] == "north"))
+    assert got[0].mean_slope_ha_per_year == approx(mean(v for k, v in slopes.items() if k[0] != "north"))
+    assert (got[1].groups, got[0].groups) == (2, 4)
 
 
-def test_documented_examples(spark):
-    three = spark.createDataFrame(
-        [("V001", 2020, "monsoon", 100.0), ("V001", 2021, "monsoon", 110.0), ("V001", 2022, "monsoon", 105.0)],
-        "location_id string, year int, season string, water_area_ha double")
-    assert trends.water_trends(three).first().trend_slope_ha_per_year == approx(2.5)
-    ponds = spark.createDataFrame([("a", 100, 1), ("b", 80, 0), ("a", 120, 1), ("b", 90, 0)],
-                                  "location_id string, water_area_ha int, pond_presence int")
+def test_comparison_without_counts(spark):
+    rows = [("a", 64, 1), ("b", 31, 0), ("a", 78, 1), ("b", 45, 0)]
+    ponds = spark.createDataFrame(rows, "location_id string, water_area_ha int, pond_presence int")
     got = by(summaries.intervention_summary(ponds), "pond_presence")
-    assert (got[1].water_area_ha_mean, got[0].water_area_ha_mean) == (110.0, 85.0)
+    assert (got[1].water_area_ha_mean, got[0].water_area_ha_mean) == (mean((64, 78)), mean((31, 45)))
     assert "water_body_count_mean" not in got[1].asDict()

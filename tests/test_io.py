@@ -129,8 +129,9 @@ def test_empty_interventions(spark, tmp_path):
 
 
 def test_selection(spark, water):
-    got = sources.select_observations(water, [" V001 ", "", "V9"], 2020, 2021, [" Winter", "MONSOON"])
-    assert got.count() == 4
+    got = sources.select_observations(water, [" east ", "", "nowhere"], 2012, 2013, [" Winter", "MONSOON"])
+    assert got.count() == 2
+    assert sources.select_observations(water, ["east"], 2012, 2013, []).count() == 4
     for args in (([], 2020, 2021), (["V001"], 2022, 2021), (["V001"], 1800, 2021), (["V001"], 2020, 2021, ["x"]),
                  (["V001"], "2020", 2021), (["V001"], 2020, 9999)):
         with pytest.raises(ValueError):
@@ -140,13 +141,6 @@ def test_selection(spark, water):
         sources.parse_locations(" , ")
 
 
-def test_sample_data(spark):
-    obs, nrm = sources.sample_data(spark)
-    assert obs.count() == 18 and nrm.count() == 2
-    assert sorted(map(tuple, obs.collect())) == sorted(map(tuple, sources.sample_data(spark)[0].collect()))
-    assert cleaning.clean_observations(obs).count() == 18
-
-
 @pytest.mark.parametrize("fmt", ["csv", "parquet", "json"])
 def test_written_tables_read_back(spark, water, water_rows, tmp_path, fmt):
     path = write_table(water, str(tmp_path), "water data!", fmt, keys=["location_id", "year", "season"])
@@ -158,6 +152,36 @@ def test_written_tables_read_back(spark, water, water_rows, tmp_path, fmt):
     assert spark.read.format(fmt).option("header", True).load(path).count() == 2
 
 
+def test_table_rewritten_from_itself(spark, water, tmp_path):
+    name = ("panel", "parquet")
+    path = write_table(water, str(tmp_path), *name)
+    for _ in range(2):
+        write_table(spark.read.parquet(path).filter("season = 'winter'"), str(tmp_path), *name)
+        assert spark.read.parquet(path).count() == water.filter("season = 'winter'").count()
+
+
+def test_failed_write_leaves_the_old_table(spark, water, tmp_path):
+    path = write_table(water, str(tmp_path), "panel", "parquet")
+    broken = spark.read.parquet(path).withColumn("year", F.when(F.col("year") > 2013, F.raise_error(F.lit("stop"))).otherwise(F.col("year")))
+    with pytest.raises(Exception, match="stop"):
+        write_table(broken, str(tmp_path), "panel", "parquet", allow_empty=True)
+    assert spark.read.parquet(path).count() == water.count()
+    assert [p.name for p in tmp_path.iterdir()] == ["panel.parquet"]
+
+
+def test_documents_that_are_not_strict_json(spark):
+    area = {"nan_text": '{"area_ha":"nan","count":1}', "nan": '{"area_ha":NaN,"count":1}',
+            "twice": '{"area_ha":1,"area_ha":2.5,"count":1}', "large": '{"area_ha":1,"count":3000000000}',
+            "large_text": '{"area_ha":1,"count":"3000000000"}', "word": '{"area_ha":"x","count":1}'}
+    docs = spark.createDataFrame([(k, f'[{{"year":2020,"seasons":{{"winter":{v}}}}}]') for k, v in area.items()],
+                                 "location_id string, document string")
+    got = {r.location_id: (r.water_area_ha, r.water_body_count) for r in sources.flatten_timeseries(docs).collect()}
+    assert got == {"nan_text": (None, 1), "nan": (None, 1), "twice": (2.5, 1), "large": (1.0, 3_000_000_000),
+                   "large_text": (1.0, 3_000_000_000), "word": (0.0, 1)}
+    assert {r.location_id for r in sources.load_observations(docs).collect()} == {"twice", "large", "large_text", "word"}
+    assert sources.document_rejects(docs).isEmpty()
+
+
 def test_writing_refuses(water, tmp_path):
     for args, kwargs in (((water.limit(0), str(tmp_path), "x"), {}), ((water, str(tmp_path), " "), {}),
                          ((water, str(tmp_path), "x"), {"fmt": "excel"})):
