@@ -48,8 +48,11 @@ def _src_encoding_fallback(v: Views) -> DataFrame:
     place = F.concat(F.lit("Sã"), F.col("s_suppkey").cast("string"))
     raw = v.table("supplier").select(place.alias("location_id"), F.lit("1999").alias("year"),
                                      F.col("s_name").alias("note"))
-    target = f"{shared_folder(v.spark)}/latin1"
-    raw.write.option("header", True).option("encoding", tables.LATIN1).csv(target)
+    target = f"{shared_folder(v.spark)}/mixed"
+    kind = F.pmod(F.xxhash64("location_id"), F.lit(3))
+    turned = raw.select("note", "year", "location_id")
+    for part, df, encoding in ((0, raw, "UTF-8"), (1, raw, tables.LATIN1), (2, turned, "UTF-8")):
+        df.filter(kind == part).write.mode("append").option("header", True).option("encoding", encoding).csv(target)
     return tables.read_interventions(v.spark, target)
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import date
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,19 +16,43 @@ from ..schema import NULL_TOKENS, SEASONS, Rules, require_columns
 LATIN1 = "ISO-8859-1"
 
 
-def read_csv_text(spark: SparkSession, path: str, *, encoding: str = "UTF-8", multi_line: bool = False,
-                  null_tokens: Sequence[str] = NULL_TOKENS) -> DataFrame:
+def _file_groups(spark: SparkSession, path: str, encoding: str, fallback: str | None) -> list[tuple[list[str], str]]:
+    """(files, encoding) of the files that have the same header and the same encoding.
+
+    A file is taken apart from others by its first line and by whether all its lines are valid UTF-8. The
+    driver gets a row per file, as for any listing. A single file in a known encoding is not looked at.
+    """
+    files = spark.read.text(path).inputFiles()
+    if len(files) < 2 and fallback is None:
+        return [([path], encoding)]
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("id"))
+    seen = lines.groupBy("file").agg(F.min("id").alias("id"), F.bool_and(F.is_valid_utf8("value")).alias("valid"))
+    first = lines.join(seen, ["file", "id"]).select("file", "valid", F.hex(F.col("value").cast("binary")).alias("header"))
+    groups: dict[tuple[str, str], list[str]] = {}
+    for r in first.orderBy("file").collect():
+        known = encoding if r.valid or fallback is None else fallback
+        groups.setdefault((r.header, known), []).append(unquote(r.file))
+    return [(names, known) for (_, known), names in groups.items()] or [([path], encoding)]
+
+
+def read_csv_text(spark: SparkSession, path: str, *, encoding: str = "UTF-8", fallback: str | None = None,
+                  multi_line: bool = False, null_tokens: Sequence[str] = NULL_TOKENS) -> DataFrame:
     """A CSV with header, every column as text, the null tokens as NULL.
 
-    No type inference: it would read everything twice and guess per file.
+    No type inference: it would read everything twice and guess per file. The files of a directory may
+    have their columns in any order; a column that a file lacks is NULL there. With ``fallback`` a file
+    with a line that is not UTF-8 is read in that encoding, and others are not.
     """
-    df = (spark.read.option("header", True).option("encoding", encoding).option("multiLine", multi_line)
-          .option("escape", '"').csv(path))
-    tokens = list(null_tokens)
-    return df.select(*[
-        F.when(~F.col(f"`{c}`").isin(tokens), F.col(f"`{c}`")).alias(c) if tokens else F.col(f"`{c}`")
-        for c in df.columns
-    ])
+    tokens, parts = list(null_tokens), []
+    for files, known in _file_groups(spark, path, encoding, fallback):
+        df = (spark.read.option("header", True).option("encoding", known).option("multiLine", multi_line)
+              .option("escape", '"').csv(files))
+        parts.append(df.select(*[
+            F.when(~F.col(f"`{c}`").isin(tokens), F.col(f"`{c}`")).alias(c) if tokens else F.col(f"`{c}`")
+            for c in df.columns
+        ]))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def is_utf8(spark: SparkSession, path: str) -> bool:
@@ -46,9 +72,12 @@ def read_observations(spark: SparkSession, path: str, *, clean: bool = True, rul
 
 def read_interventions(spark: SparkSession, path: str, *, clean: bool = True, rules: Rules = Rules(),
                        encoding_fallback: bool = True, strict: bool = True, **csv) -> DataFrame:
-    """Intervention records from CSV; files that are not UTF-8 are read as Latin-1."""
-    if encoding_fallback and not is_utf8(spark, path):
-        csv = {**csv, "encoding": LATIN1}
+    """Intervention records from CSV; files that are not UTF-8 are read as Latin-1.
+
+    A caller who names the encoding saves the look at every file.
+    """
+    if encoding_fallback and "encoding" not in csv:
+        csv = {**csv, "fallback": LATIN1}
     raw = read_csv_text(spark, path, **csv)
     if strict and raw.isEmpty():
         raise ValueError(f"no records in {path}")

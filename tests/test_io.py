@@ -121,6 +121,26 @@ def test_latin1_fallback(spark, tmp_path):
         assert sources.read_interventions(spark, str(f)).first().note == "São José"
 
 
+def test_directory_of_unlike_files(spark, tmp_path):
+    box = tmp_path / "a box"
+    box.mkdir()
+    (box / "1.csv").write_text("location_id,year,note,crop_yield_ton_per_ha\nA,2020,S\u00e3o,1.5\n", encoding="utf-8")
+    (box / "2.csv").write_text("location_id,year,note,crop_yield_ton_per_ha\nB,2021,Jos\u00e9,2.5\n", encoding="latin-1")
+    (box / "3.csv").write_text("crop_yield_ton_per_ha,note,location_id,year\n3.5,x,C,2022\n", encoding="utf-8")
+    (box / "4.csv").write_text("year,location_id\n2023,D\n", encoding="utf-8")
+    (box / "5.csv").write_text("")
+    got = sources.read_interventions(spark, str(box), clean=False)
+    assert sorted(map(tuple, got.select("location_id", "year", "note", "crop_yield_ton_per_ha").collect())) == [
+        ("A", "2020", "S\u00e3o", "1.5"), ("B", "2021", "Jos\u00e9", "2.5"), ("C", "2022", "x", "3.5"), ("D", "2023", None, None)]
+    rows = ["location_id,year,season,water_area_ha,water_body_count\nA,2020,winter,5,1\n",
+            "location_id,year,season,water_body_count,water_area_ha\nB,2020,winter,1,5\n"]
+    for i, text in enumerate(rows):
+        (tmp_path / "obs").mkdir(exist_ok=True)
+        (tmp_path / "obs" / f"{i}.csv").write_text(text)
+    seen = sources.read_observations(spark, str(tmp_path / "obs")).collect()
+    assert {(r.location_id, r.water_area_ha, r.water_body_count) for r in seen} == {("A", 5.0, 1), ("B", 5.0, 1)}
+
+
 def test_empty_interventions(spark, tmp_path):
     f = tmp_path / "empty.csv"
     f.write_text("location_id,year\n")
