@@ -198,9 +198,8 @@ def judge(df: DataFrame, labels: DataFrame, text: str = "text", *, id_column: st
 
 def kept(df: DataFrame, labels: DataFrame, text: str = "text", *, id_column: str = "doc_id") -> DataFrame:
     """The rows of ``df`` that :func:`judge` keeps, with their columns as they are."""
-    ids = labels.select(col(id_column).alias("id")).distinct()
-    counted = df.select(col(id_column).alias("id"), col(text).alias("text")).join(ids, "id", "left_semi") \
-        .select("id", text_counts(F.col("text")).alias("counts"))
+    # Counts are taken of every text, labelled or not: this moves no text, as a join with the labels would.
+    counted = df.select(col(id_column).alias("id"), text_counts(col(text)).alias("counts"))
     rules = learn_from(stored(counted), labels, id_column=id_column)
     name = free_name(df, "counts")
     # One element is made per row, and its generator keeps the counts from being computed per mention.
