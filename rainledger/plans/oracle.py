@@ -241,6 +241,17 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT 'entry_not_object', 0 FROM docs WHERE k = 7
         UNION ALL SELECT 'entry_without_year', 1 FROM docs WHERE k = 7
         UNION ALL SELECT 'invalid_year', 0 FROM docs WHERE k = 10) GROUP BY ALL""",
+    "json_season_rejects": """SELECT season, reason, count(*) AS records FROM (
+        SELECT season, CASE k WHEN 3 THEN 'invalid_count' WHEN 5 THEN 'negative_count' WHEN 7 THEN 'info_not_object'
+            ELSE 'missing_area' END AS reason FROM docs WHERE k IN (3, 7, 8, 10) OR k = 5 AND area <= 10000
+        UNION ALL SELECT season, 'area_out_of_range' FROM docs WHERE k IN (0, 1, 2, 5, 9, 11) AND area > 10000
+        UNION ALL SELECT 'winter ', 'unknown_season' FROM docs WHERE k = 1
+        UNION ALL SELECT 'autumn', 'unknown_season' FROM docs WHERE k = 5) GROUP BY ALL""",
+    "load_report": """SELECT location_id, count(*) AS documents, coalesce(any_value(kept), 0) AS observations,
+        CASE WHEN any_value(kept) > 0 THEN 'loaded' ELSE 'empty' END AS status FROM docs LEFT JOIN (
+        SELECT location_id, count(*) AS kept FROM (SELECT DISTINCT location_id, year, season, water_area_ha, water_body_count,
+            data_quality FROM flat WHERE water_area_ha BETWEEN 0 AND 10000) GROUP BY location_id) USING (location_id)
+        GROUP BY location_id""",
     "load_documents": f"SELECT DISTINCT {OBS} FROM flat WHERE water_area_ha BETWEEN 0 AND 10000",
     "spatial_units_filter": f"""SELECT {UNIT} AS id, s_name AS name, 'village' AS type, 'State 3' AS state,
         CAST(s_suppkey AS VARCHAR) AS code FROM supplier WHERE s_nationkey = 3""",

@@ -133,6 +133,9 @@ QUERIES: dict[str, Callable[[Views], DataFrame]] = {
     "src_encoding_fallback": _src_encoding_fallback,
     "json_flatten": lambda v: documents.flatten_timeseries(v.documents),
     "json_envelope_rejects": _json_rejects,
+    "json_season_rejects": lambda v: documents.season_rejects(v.documents).groupBy("season", "reason").agg(
+        F.count(F.lit(1)).alias("records")),
+    "load_report": lambda v: documents.load_report(v.documents),
     "load_documents": lambda v: documents.load_observations(v.documents),
     "spatial_units_filter": _spatial_units,
     "elevation_cells": lambda v: documents.elevation_cells(v.elevation_documents),

@@ -9,8 +9,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.cleaning import clean_observations
-from ..operators.merging import merge_interventions, without_interventions
+from ..operators.cleaning import clean_observations, cleaning_report
+from ..operators.merging import duplicate_keys, merge_interventions, merge_report, without_interventions
 from ..operators.summaries import intervention_summary, key_insights, seasonal_summary, summary_metrics
 from ..operators.trends import water_trends
 from ..sinks.table import write_table
@@ -20,20 +20,33 @@ from ..sources.tables import read_interventions, select_observations
 
 def fetch(spark: SparkSession, landing: str, out: str, locations: Sequence[str], start: int, end: int,
           seasons: Sequence[str] | None = None, name: str = "water_data") -> str:
-    """Documents of a landing directory to a cleaned table of the chosen places, years and seasons."""
+    """Documents of a landing directory to a cleaned table of the chosen places, years and seasons.
+
+    The cleaning report of the chosen rows is written beside it, as ``<name>_cleaning``.
+    """
     rows = flatten_timeseries(read_documents(spark, landing))
     # Selected before duplicates are removed: only chosen rows are shuffled.
-    chosen = clean_observations(select_observations(rows, locations, start, end, seasons))
+    selected = select_observations(rows, locations, start, end, seasons)
+    chosen = clean_observations(selected)
+    write_table(cleaning_report(selected), out, f"{name}_cleaning", "csv")
     return write_table(chosen, out, name, "parquet", partition_by=["year"])
 
 
 def merge(spark: SparkSession, water: DataFrame, out: str, nrm_path: str | None = None,
           name: str = "merged_data") -> str:
-    """Observations, cleaned again, with intervention records from CSV if there are any."""
+    """Observations, cleaned again, with intervention records from CSV if there are any.
+
+    A merge is audited: repeated keys of the records and the match rate are written beside the table, as
+    ``<name>_repeated_keys`` and ``<name>_match``.
+    """
     water = clean_observations(water)
-    merged = (without_interventions(water) if nrm_path is None
-              else merge_interventions(water, read_interventions(spark, nrm_path)))
-    return write_table(merged, out, name, "parquet", partition_by=["year"])
+    if nrm_path is None:
+        return write_table(without_interventions(water), out, name, "parquet", partition_by=["year"])
+    records = read_interventions(spark, nrm_path)
+    target = write_table(merge_interventions(water, records), out, name, "parquet", partition_by=["year"])
+    write_table(duplicate_keys(records), out, f"{name}_repeated_keys", "csv", allow_empty=True)
+    write_table(merge_report(spark.read.parquet(target)), out, f"{name}_match", "csv")
+    return target
 
 
 def analyse(spark: SparkSession, merged_path: str, out: str) -> dict[str, str]:

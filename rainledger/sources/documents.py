@@ -31,19 +31,15 @@ def read_documents(spark: SparkSession, path: str, *, one_per_line: bool = False
 def _parsed(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """(__id, __doc) with the document as VARIANT, NULL if it is no JSON at all.
 
-    Of a key that is repeated in an object the last value counts, as in most JSON readers. The setting for
-    it is taken up when the expression is resolved, so it can be put back at once. A document with bare
-    NaN or Infinity, which JSON does not have, is read by the reader that allows them as text.
+    Of a key that is repeated in an object the last value counts, as in most JSON readers. Spark has a
+    session setting for it, which is switched on here and stays on: plans read it when they are run. A
+    document with bare NaN or Infinity, which JSON does not have, is read by the reader that allows them
+    as text.
     """
-    conf, name = df.sparkSession.conf, "spark.sql.variant.allowDuplicateKeys"
-    before = conf.get(name, "false")
-    conf.set(name, "true")
-    try:
-        text = F.col(json_col)
-        return df.select(F.col(id_col).alias("__id"),
-                         F.coalesce(F.try_parse_json(text), F.from_json(text, "variant")).alias("__doc"))
-    finally:
-        conf.set(name, before)
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    text = F.col(json_col)
+    return df.select(F.col(id_col).alias("__id"),
+                     F.coalesce(F.try_parse_json(text), F.from_json(text, "variant")).alias("__doc"))
 
 
 def _get(v: Column, path: str, kind: str) -> Column:
@@ -101,6 +97,14 @@ def _entries(df: DataFrame, json_col: str, id_col: str) -> DataFrame:
     return parsed.select("__id", F.explode_outer(_series(F.col("__doc"))).alias("__entry"))
 
 
+def _years(df: DataFrame, json_col: str, id_col: str) -> DataFrame:
+    """(__id, year, __seasons) of the entries with a usable year, of documents with an id."""
+    entry = F.col("__entry")
+    years = computed_once(_entries(df, json_col, id_col), {
+        "year": _year(entry), "__seasons": _get(entry, "$.seasons", OBJECT)})
+    return years.filter(F.col("year").isNotNull() & (strip(F.col("__id")) != ""))
+
+
 def flatten_timeseries(df: DataFrame, json_col: str = "document", id_col: str = "location_id") -> DataFrame:
     """One observation per year and season of each document.
 
@@ -108,10 +112,7 @@ def flatten_timeseries(df: DataFrame, json_col: str = "document", id_col: str =
     unusable area or count becomes 0. Areas that are NaN (here NULL) or out of range are kept: cleaning
     removes them.
     """
-    entry = F.col("__entry")
-    years = computed_once(_entries(df, json_col, id_col), {
-        "year": _year(entry), "__seasons": _get(entry, "$.seasons", OBJECT)})
-    cells = (years.filter(F.col("year").isNotNull() & (strip(F.col("__id")) != ""))
+    cells = (_years(df, json_col, id_col)
              .select("__id", "year", F.explode_outer("__seasons").alias("season", "__info"))
              .filter(F.col("season").isin(*SEASONS) & _kind(F.col("__info")).startswith("OBJECT")))
     info = F.col("__info")
@@ -150,6 +151,49 @@ def document_rejects(df: DataFrame, json_col: str = "document", id_col: str = "l
     return entries.select("location_id", reason.alias("reason"), "position").filter(F.col("reason").isNotNull())
 
 
+def season_rejects(df: DataFrame, json_col: str = "document", id_col: str = "location_id",
+                   rules: Rules = Rules()) -> DataFrame:
+    """Seasons of usable years that are skipped, changed or removed later: (location_id, year, season, reason).
+
+    Skipped: unknown seasons, values that are no object. Changed to 0: areas and counts that are no
+    number, negative counts. Removed by cleaning: areas that are NaN or out of range. A season is listed
+    under its first reason. Fields that are absent take their defaults and are no fault.
+    """
+    cells = _years(df, json_col, id_col).select("__id", "year", F.explode("__seasons").alias("season", "__info"))
+    info = F.col("__info")
+    cells = computed_once(cells, {
+        "__area": _number(info, "$.area_ha"), "__raw": _get(info, "$.area_ha", "string"),
+        "__count": strip(_get(info, "$.count", "string")), "__kind": _kind(info)})
+    area, count = F.col("__area"), F.col("__count")
+    is_number = parse_number(F.col("__raw")).isNotNull() | F.col("__raw").isin("true", "false")
+    reason = (
+        F.when(~F.col("season").isin(*SEASONS), "unknown_season")
+        .when(~F.col("__kind").startswith("OBJECT"), "info_not_object")
+        .when(area.isNull(), "missing_area")
+        .when(F.col("__raw").isNotNull() & ~is_number, "invalid_area")
+        .when(~area.between(rules.area_min, rules.area_max), "area_out_of_range")
+        .when(count.isNotNull() & parse_number(count).isNull(), "invalid_count")
+        .when(parse_number(count) < 0, "negative_count"))
+    return cells.select(strip(F.col("__id")).alias("location_id"), "year", "season", reason.alias("reason")) \
+        .filter("reason IS NOT NULL")
+
+
+def load_report(df: DataFrame, json_col: str = "document", id_col: str = "location_id",
+                rules: Rules = Rules()) -> DataFrame:
+    """Outcome per location: documents, observations kept after cleaning, and ``loaded`` or ``empty``.
+
+    A load of which no row is ``loaded`` has failed; locations without a name are left out, as in loading.
+    """
+    require_columns(df, json_col, id_col)
+    kept = load_observations(df, json_col, id_col, rules).groupBy(F.col("location_id").alias("__place")) \
+        .agg(F.count(F.lit(1)).alias("__rows"))
+    name = strip(F.col(id_col))
+    found = df.filter(name != "").groupBy(name.alias("location_id")).agg(F.count(F.lit(1)).alias("documents"))
+    return found.join(kept, F.col("location_id") == F.col("__place"), "left").select(
+        "location_id", "documents", F.coalesce("__rows", F.lit(0)).alias("observations"),
+        F.when(F.col("__rows") > 0, "loaded").otherwise("empty").alias("status"))
+
+
 def spatial_units(df: DataFrame, unit_type: str = "village", state: str | None = None,
                   json_col: str = "document") -> DataFrame:
     """Units of one type, optionally of one state, that have both an id and a name."""

@@ -232,6 +232,10 @@ def test_staged_workflow(spark, tmp_path):
     plain = spark.read.parquet(workflow.merge(spark, stored, out, name="plain"))
     assert plain.filter("nrm_data_available").isEmpty()
     merged = workflow.merge(spark, stored, out, str(tmp_path / "nrm.csv"))
+    match = spark.read.csv(f"{out}/merged_data_match.csv", header=True).first()
+    assert match.matched_records == "2"
+    assert spark.read.csv(f"{out}/merged_data_repeated_keys.csv", header=True).first().duplicate_rows == "0"
+    assert spark.read.csv(f"{out}/water_data_cleaning.csv", header=True).first().area_out_of_range == "4"
     results = workflow.analyse(spark, merged, out)
     assert set(results) == {"trends", "seasonal_summary", "intervention_summary"}
     assert spark.read.parquet(results["trends"]).first().trend_slope_ha_per_year == 1.0
