@@ -38,7 +38,10 @@ CTES = {
         WHEN y IS NULL OR a IS NULL THEN 'missing_value'
         WHEN a NOT BETWEEN 0 AND 10000 THEN 'area_out_of_range'
         WHEN c IS NULL OR c < 0 THEN 'invalid_body_count' END AS reason FROM water_typed""",
-    "nrm_raw": """SELECT concat('V', lpad(CAST(s_suppkey AS VARCHAR), 6, '0')) AS location_id, y.year AS year,
+    "nrm_raw": """SELECT CASE WHEN (s_suppkey + y.year) % 23 <> 3
+            THEN concat('V', lpad(CAST(s_suppkey AS VARCHAR), 6, '0')) END AS location_id,
+        CASE (s_suppkey + y.year) % 23 WHEN 0 THEN '2020.5' WHEN 1 THEN '1850' WHEN 2 THEN 'abc'
+            ELSE CAST(y.year AS VARCHAR) END AS year,
         CASE s_suppkey % 8 WHEN 0 THEN 'Yes' WHEN 1 THEN 'no' WHEN 2 THEN ' TRUE ' WHEN 3 THEN 'absent'
             WHEN 4 THEN 'maybe' WHEN 5 THEN NULL WHEN 6 THEN '1' ELSE '0' END AS pond_presence,
         CASE s_suppkey % 5 WHEN 0 THEN ' Pond ' WHEN 1 THEN 'check_dam' WHEN 2 THEN 'Terrace'
@@ -47,11 +50,13 @@ CTES = {
         CASE WHEN s_nationkey < 8 THEN 'low' WHEN s_nationkey < 16 THEN 'medium' ELSE 'high' END
             AS drought_sensitivity
         FROM supplier CROSS JOIN (VALUES (1996), (1997), (1998), (1999), (2000)) AS y(year)""",
+    "nrm_judged": """SELECT *, CASE WHEN year = '2020.5' THEN 'year_not_whole' WHEN year = '1850' THEN 'year_out_of_range'
+        WHEN year = 'abc' OR location_id IS NULL THEN 'missing_value' END AS reason FROM nrm_raw""",
     "nrm": """SELECT DISTINCT location_id, CAST(year AS INT) AS year,
         CASE WHEN lower(trim(pond_presence)) IN ('yes', 'y', 'true', 't', '1', 'present') THEN 1 ELSE 0 END
             AS pond_presence,
         lower(trim(intervention_type)) AS intervention_type, crop_yield_ton_per_ha, drought_sensitivity
-        FROM nrm_raw""",
+        FROM nrm_judged WHERE reason IS NULL""",
     "merged": """SELECT w.*, n.pond_presence, n.intervention_type, n.crop_yield_ton_per_ha, n.drought_sensitivity,
         n.location_id IS NOT NULL AS nrm_data_available
         FROM water w LEFT JOIN nrm n ON w.location_id = n.location_id AND w.year = n.year""",
@@ -65,7 +70,7 @@ CTES = {
         CASE k WHEN 0 THEN 'poor' WHEN 2 THEN NULL ELSE 'good' END AS data_quality
         FROM docs WHERE k IN (0, 1, 2, 3, 5, 8, 9, 10, 11)""",
     "slopes": """SELECT location_id, season, count(*) AS n, min(year) < max(year) AS spread,
-        coalesce(regr_slope(water_area_ha, year), 0.0) AS slope FROM water GROUP BY location_id, season""",
+        CASE WHEN min(year) < max(year) THEN regr_slope(water_area_ha, year) ELSE 0.0 END AS slope FROM water GROUP BY location_id, season""",
     "seasonal": """SELECT location_id, season, count(*) AS n, avg(water_area_ha) AS m,
         stddev_samp(water_area_ha) AS s, count(DISTINCT year) AS y, max(year) - min(year) AS span
         FROM water GROUP BY location_id, season""",
@@ -273,11 +278,10 @@ ORACLE: dict[str, str] = {
         FROM water_judged WHERE reason IS NOT NULL""",
     "clean_nrm": f"SELECT location_id, year, {NRM} FROM nrm",
     "clean_nrm_report": report(
-        """(SELECT *, CAST(NULL AS VARCHAR) AS reason FROM nrm_raw
-            UNION ALL SELECT *, CAST(NULL AS VARCHAR) FROM nrm_raw)""",
+        "(SELECT * FROM nrm_judged UNION ALL SELECT * FROM nrm_judged)",
         ("year_not_whole", "year_out_of_range", "missing_value"),
         "location_id, year, pond_presence, intervention_type, crop_yield_ton_per_ha, drought_sensitivity"),
-    "normalize_columns": f"SELECT location_id, CAST(year AS INT) AS year, {NRM} FROM nrm_raw",
+    "normalize_columns": f"SELECT location_id, year, {NRM} FROM nrm_raw",
     "normalize_flag": """SELECT pond_presence AS raw, CAST(CASE WHEN pond_presence IN ('Yes', ' TRUE ', '1') THEN 1
         ELSE 0 END AS INT) AS flag, count(*) AS records FROM nrm_raw GROUP BY ALL""",
     "unknown_categories": """SELECT intervention_type, count(*) AS records FROM nrm
@@ -328,7 +332,7 @@ ORACLE: dict[str, str] = {
         {r('100.0 * count(*) FILTER (spread AND n >= 2) / count(*)', 'success_rate_pct')},
         {r('avg(slope)', 'mean_slope_ha_per_year')} FROM slopes""",
     "trend_by_intervention": f"""SELECT pond_presence, count(*) AS "groups", {r('avg(s)', 'mean_slope_ha_per_year')} FROM (
-        SELECT pond_presence, coalesce(regr_slope(water_area_ha, year), 0.0) AS s FROM merged
+        SELECT pond_presence, CASE WHEN min(year) < max(year) THEN regr_slope(water_area_ha, year) ELSE 0.0 END AS s FROM merged
         WHERE pond_presence IS NOT NULL GROUP BY pond_presence, location_id, season) GROUP BY pond_presence""",
     "correlation": " UNION ALL ".join(
         f"SELECT '{a}' AS column_a, '{b}' AS column_b, {r(f'corr({a}, {b})', 'correlation')} FROM merged"
@@ -354,7 +358,7 @@ ORACLE: dict[str, str] = {
         WHEN 1 THEN 'With Intervention' END AS pond_presence, {r('avg(water_area_ha)', 'water_area_ha')}
         FROM text_flag t WHERE t.pond_presence IS NOT NULL GROUP BY year, t.pond_presence""",
     "trend_text_flag": f"""SELECT pond_presence, count(*) AS "groups", {r('avg(s)', 'mean_slope_ha_per_year')} FROM (
-        SELECT pond_presence, coalesce(regr_slope(water_area_ha, year), 0.0) AS s FROM text_flag
+        SELECT pond_presence, CASE WHEN min(year) < max(year) THEN regr_slope(water_area_ha, year) ELSE 0.0 END AS s FROM text_flag
         WHERE pond_presence IS NOT NULL GROUP BY pond_presence, location_id, season) GROUP BY pond_presence""",
     "histogram_by_season": histogram("water_body_count", "season"),
     "heatmap_pivot": "SELECT location_id, " + ", ".join(

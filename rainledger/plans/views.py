@@ -76,9 +76,13 @@ class Views:
         kind = (F.when(k % 5 == 0, " Pond ").when(k % 5 == 1, "check_dam").when(k % 5 == 2, "Terrace")
                 .when(k % 5 == 3, "none").otherwise(F.lit(None)))
         # The observations also have years before and after, which find no record.
-        return self.table("supplier").select(
-            _place("s_suppkey").alias("Location ID"),
-            F.explode(F.sequence(F.lit(NRM_FIRST_YEAR), F.lit(NRM_LAST_YEAR))).alias("Year"),
+        years = self.table("supplier").select(
+            "*", F.explode(F.sequence(F.lit(NRM_FIRST_YEAR), F.lit(NRM_LAST_YEAR))).alias("y"))
+        damage = (k + F.col("y")) % 23
+        return years.select(
+            F.when(damage != 3, _place("s_suppkey")).alias("Location ID"),
+            F.when(damage == 0, "2020.5").when(damage == 1, "1850").when(damage == 2, "abc")
+            .otherwise(F.col("y").cast("string")).alias("Year"),
             pond.alias("Pond-Presence"), kind.alias("Intervention Type"),
             (F.col("s_acctbal") / 1000.0).alias("crop_yield_ton_per_ha"),
             F.when(nation < 8, "low").when(nation < 16, "medium").otherwise("high").alias("drought_sensitivity"),
