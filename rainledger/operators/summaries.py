@@ -96,7 +96,7 @@ def seasonal_summary(df: DataFrame, level: str = "location_id", *, season: str =
         require_rows(df)
     extra = [c for c in dict.fromkeys([location, count]) if c in df.columns and c != level]
     rows = (df.filter(F.col(level).isNotNull() & F.col(season).isNotNull() & not_negative(df, area))
-            .select(level, season, to_number(df, area).alias(area), time, *extra))
+            .select(level, season, to_number(df, area).alias(area), to_year(df, time).alias(time), *extra))
     stats = aggregate_with_quantiles(
         rows, [level, season],
         [*_area_aggregates(area), F.min(time).alias(f"{time}_min"), F.max(time).alias(f"{time}_max"),

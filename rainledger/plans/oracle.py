@@ -74,6 +74,11 @@ CTES = {
     "seasonal": """SELECT location_id, season, count(*) AS n, avg(water_area_ha) AS m,
         stddev_samp(water_area_ha) AS s, count(DISTINCT year) AS y, max(year) - min(year) AS span
         FROM water GROUP BY location_id, season""",
+    "sparse": f"""SELECT CASE WHEN o_orderkey % 19 <> 0 THEN concat('C', lpad(CAST(o_custkey AS VARCHAR), 6, '0')) END
+            AS location_id, CAST(year(o_orderdate) AS INT) AS year, {SEASON.replace('l_shipdate', 'o_orderdate')} AS season,
+        CASE WHEN o_orderkey % 13 = 0 THEN o_totalprice / 1000.0 * 40 WHEN o_orderkey % 17 <> 0 THEN o_totalprice / 1000.0 END
+            AS water_area_ha, CAST(o_orderkey % 20 AS BIGINT) AS water_body_count FROM orders""",
+    "sparse_valid": "SELECT * FROM sparse WHERE location_id IS NOT NULL AND water_area_ha IS NOT NULL",
     "top3": """SELECT location_id FROM water GROUP BY location_id
         ORDER BY count(*) DESC, location_id LIMIT 3""",
     "top5": """SELECT * FROM water WHERE location_id IN (SELECT location_id FROM water GROUP BY location_id
@@ -308,6 +313,13 @@ ORACLE: dict[str, str] = {
     "intervention_summary": intervention("merged"),
     "intervention_summary_matched": intervention("(SELECT * FROM merged WHERE pond_presence IS NOT NULL)"),
     "seasonal_summary": seasonal("location_id", "water"),
+    "seasonal_summary_sparse": seasonal("location_id", "sparse_valid"),
+    "seasonal_quality_sparse": f"""SELECT data_quality, count(*) AS records
+        FROM ({seasonal('location_id', 'sparse_valid')}) GROUP BY data_quality""",
+    "trend_quality_sparse": """SELECT trend_quality, count(*) AS records FROM (
+        SELECT CASE WHEN min(year) = max(year) THEN 'insufficient_data' WHEN count(*) >= 3 THEN 'good'
+            WHEN count(*) = 2 THEN 'minimal_data' ELSE 'insufficient_data' END AS trend_quality
+        FROM sparse_valid GROUP BY location_id, season) GROUP BY trend_quality""",
     "seasonal_summary_by_region": seasonal("region", """(SELECT w.*, p.region FROM water w LEFT JOIN (
         SELECT concat('V', lpad(CAST(s_suppkey AS VARCHAR), 6, '0')) AS location_id, r_name AS region
         FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) p

@@ -178,6 +178,10 @@ QUERIES: dict[str, Callable[[Views], DataFrame]] = {
     "fetch_summary": lambda v: summaries.fetch_summary(v.water),
     "value_distribution": _value_distribution,
     "seasonal_quality_distribution": _seasonal_quality,
+    "seasonal_quality_sparse": lambda v: summaries.value_distribution(
+        summaries.seasonal_summary(v.stored(v.sparse)), "data_quality"),
+    "seasonal_summary_sparse": lambda v: summaries.seasonal_summary(v.stored(v.sparse)),
+    "trend_quality_sparse": lambda v: summaries.value_distribution(trends.trend_slopes(v.sparse), "trend_quality"),
     "trend_summary": lambda v: trends.trend_summary(v.water),
     "trend_by_intervention": lambda v: trends.trend_by_intervention(v.merged),
     "correlation": lambda v: summaries.correlation(v.merged),

@@ -113,6 +113,16 @@ class Views:
         return self.water.groupBy("location_id", "year", "season").agg(
             F.avg("water_area_ha").alias("water_area_ha"), F.sum("water_body_count").alias("water_body_count"))
 
+    @cached_property
+    def sparse(self) -> DataFrame:
+        """Few rows per place and season, uneven in time and size, with missing places and values."""
+        k, price = F.col("o_orderkey"), F.col("o_totalprice") / 1000.0
+        return self.table("orders").select(
+            F.when(k % 19 != 0, F.concat(F.lit("C"), F.lpad(F.col("o_custkey").cast("string"), 6, "0"))).alias("location_id"),
+            F.year("o_orderdate").cast("string").alias("year"), _season("o_orderdate").alias("season"),
+            F.when(k % 13 == 0, price * 40).when(k % 17 != 0, price).alias("water_area_ha"),
+            (k % 20).alias("water_body_count"))
+
     @cached_property
     def places(self) -> DataFrame:
         """Region name per location."""
