@@ -70,11 +70,8 @@ def dictionaries(sample: list[tuple[str, str]]) -> dict[str, bytes]:
 
 class Classifier:
     def __init__(self, known: dict[str, bytes]) -> None:
-        import re
-
         import zstandard
 
-        self.has_letter = re.compile(r"[^\W\d_]").search
         self.labels, self.compress = list(known), []
         for content in known.values():
             words = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -84,7 +81,7 @@ class Classifier:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, score); the score is the part by which the best size is below the second best."""
-        if not text or not self.labels or not self.has_letter(text):
+        if not text or not self.labels or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
         data = b" ".join(_plain(text).split())
         chunks = [data[i:i + CHUNK] for i in range(0, len(data), CHUNK)]
