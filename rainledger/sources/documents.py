@@ -65,28 +65,37 @@ def _series(v: Column) -> Column:
     )
 
 
-def _year(entry: Column) -> Column:
+def _field(v: Column, name: str) -> Column:
+    """A field as VARIANT, from which text and kind are read without walking the object again."""
+    return _get(v, f"$.{name}", "variant")
+
+
+def _text(field: Column) -> Column:
+    return _get(field, "$", "string")
+
+
+def _year(field: Column) -> Column:
     """A whole number, or text of digits only, within 1900..2100."""
-    text = _get(entry, "$.year", "string")
+    text = _text(field)
     # 2022.0 also has the text "2022"; only its kind tells it apart.
-    whole = _kind(_get(entry, "$.year", "variant")).isin("BIGINT", "STRING")
+    whole = _kind(field).isin("BIGINT", "STRING")
     return F.when(text.rlike("^0*(19[0-9]{2}|20[0-9]{2}|2100)$") & whole, text.try_cast("int"))
 
 
-def _number(info: Column, path: str) -> Column:
+def _number(field: Column) -> Column:
     """A JSON number or boolean, or text that is a number, as DOUBLE; 0 if it is none, NULL if it is NaN."""
-    text = _get(info, path, "string")
-    truth = F.when(_kind(_get(info, path, "variant")) == "BOOLEAN", _get(info, path, "boolean"))
+    text = _text(field)
+    truth = F.when(_kind(field) == "BOOLEAN", _get(field, "$", "boolean"))
     number = F.coalesce(parse_number(text), truth.cast("int").cast("double"), F.lit(0.0))
     return F.when(~F.coalesce(F.lower(strip(text)).rlike("^[+-]?nan$"), F.lit(False)), number)
 
 
-def _count(info: Column) -> Column:
+def _count(field: Column) -> Column:
     """A whole count: decimals truncated, text only if whole, negative or unusable as 0."""
-    text = strip(_get(info, "$.count", "string"))
-    is_text = _kind(_get(info, "$.count", "variant")) == "STRING"
+    text = strip(_text(field))
+    is_text = _kind(field) == "STRING"
     whole = F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("bigint"))
-    value = F.when(is_text, whole).otherwise(_get(info, "$.count", "double").try_cast("bigint"))
+    value = F.when(is_text, whole).otherwise(_get(field, "$", "double").try_cast("bigint"))
     return F.greatest(F.coalesce(value, F.lit(0)), F.lit(0)).cast("bigint")
 
 
@@ -100,8 +109,9 @@ def _entries(df: DataFrame, json_col: str, id_col: str) -> DataFrame:
 def _years(df: DataFrame, json_col: str, id_col: str) -> DataFrame:
     """(__id, year, __seasons) of the entries with a usable year, of documents with an id."""
     entry = F.col("__entry")
-    years = computed_once(_entries(df, json_col, id_col), {
-        "year": _year(entry), "__seasons": _get(entry, "$.seasons", OBJECT)})
+    fields = computed_once(_entries(df, json_col, id_col), {
+        "__y": _field(entry, "year"), "__seasons": _get(entry, "$.seasons", OBJECT)})
+    years = computed_once(fields, {"year": _year(F.col("__y"))})
     return years.filter(F.col("year").isNotNull() & (strip(F.col("__id")) != ""))
 
 
@@ -116,11 +126,13 @@ def flatten_timeseries(df: DataFrame, json_col: str = "document", id_col: str =
              .select("__id", "year", F.explode_outer("__seasons").alias("season", "__info"))
              .filter(F.col("season").isin(*SEASONS) & _kind(F.col("__info")).startswith("OBJECT")))
     info = F.col("__info")
-    quality = F.when(_has(info, "$.quality"), _get(info, "$.quality", "string")).otherwise(F.lit("good"))
-    return cells.select(
+    fields = computed_once(cells, {f"__{n}": _field(info, n) for n in ("area_ha", "count", "quality")})
+    quality = F.when(F.col("__quality").isNotNull(), _text(F.col("__quality"))).otherwise(F.lit("good"))
+    # Cleaning asks for the values several times; they are computed before it can copy them.
+    values = computed_once(fields, {"__area": _number(F.col("__area_ha")), "__n": _count(F.col("__count")), "__q": quality})
+    return values.select(
         strip(F.col("__id")).alias("location_id"), "year", "season",
-        _number(info, "$.area_ha").alias("water_area_ha"),
-        _count(info).alias("water_body_count"), quality.alias("data_quality"),
+        F.col("__area").alias("water_area_ha"), F.col("__n").alias("water_body_count"), F.col("__q").alias("data_quality"),
     )
 
 
@@ -146,7 +158,7 @@ def document_rejects(df: DataFrame, json_col: str = "document", id_col: str = "l
         .when(F.col("position").isNull(), F.lit(None).cast("string"))
         .when(as_object.isNull(), "entry_not_object")
         .when(~F.map_contains_key(as_object, F.lit("year")), "entry_without_year")
-        .when(_year(entry).isNull(), "invalid_year")
+        .when(_year(_field(entry, "year")).isNull(), "invalid_year")
     )
     return entries.select("location_id", reason.alias("reason"), "position").filter(F.col("reason").isNotNull())
 
@@ -162,7 +174,7 @@ def season_rejects(df: DataFrame, json_col: str = "document", id_col: str = "loc
     cells = _years(df, json_col, id_col).select("__id", "year", F.explode("__seasons").alias("season", "__info"))
     info = F.col("__info")
     cells = computed_once(cells, {
-        "__area": _number(info, "$.area_ha"), "__raw": _get(info, "$.area_ha", "string"),
+        "__area": _number(_field(info, "area_ha")), "__raw": _get(info, "$.area_ha", "string"),
         "__count": strip(_get(info, "$.count", "string")), "__kind": _kind(info)})
     area, count = F.col("__area"), F.col("__count")
     is_number = parse_number(F.col("__raw")).isNotNull() | F.col("__raw").isin("true", "false")
