@@ -196,3 +196,18 @@ def test_rankings(spark):
     assert charts.bubble_radius(df, "d").first().radius == approx(math.sqrt(6) / 10)
     nulls_last = panel(spark, [(None, 1, "s", 1.0), ("a", 1, "s", 1.0)])
     assert charts.head_n(nulls_last, 1).first().location_id == "a"
+
+
+def test_years_and_flags_as_text(spark):
+    rows = [("a", "2019", "winter", 4.0, "yes"), ("a", "2020", "winter", 6.0, "1.0"), ("a", " 2021", "winter", 8.0, " No "),
+            ("a", "2022", "winter", 2.0, "maybe"), ("a", "2023", "winter", 3.0, None)]
+    df = spark.createDataFrame(rows, "location_id string, year string, season string, water_area_ha double, pond_presence string")
+    summary = summaries.seasonal_summary(df).first()
+    assert (summary.year_min, summary.year_max, summary.year_nunique) == (2019, 2023, 5)
+    series = charts.comparison_series(df).collect()
+    assert sorted((r.year.strip(), r.pond_presence) for r in series if r.pond_presence) == [
+        ("2019", "With Intervention"), ("2020", "With Intervention"), ("2021", "Without Intervention")]
+    compared = {r.pond_presence: r.water_area_ha_count for r in summaries.intervention_summary(df).collect()}
+    assert compared == {0: 3, 1: 2}
+    slopes = {r.pond_presence: r.mean_slope_ha_per_year for r in trends.trend_by_intervention(df).collect()}
+    assert slopes == {1: 2.0, 0: 0.0}
