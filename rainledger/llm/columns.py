@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sinks.shared import stored
+
 #: White space that separates words: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = r"\x20\x09-\x0D"
 
@@ -47,10 +49,10 @@ def squeeze(text: Column) -> Column:
 def with_row_key(df: DataFrame, id_column: str) -> tuple[DataFrame, str]:
     """``df`` with a key that tells all rows apart and orders them by id, NULL last; the key's name.
 
-    The key ends with the row's place in its file part, so ``df`` is to be a table read from files: it
-    gives the same key whenever it is read.
+    The key ends with the row's place in its scan partition. Partitions follow the session's settings and
+    the cores of the moment, so the rows are written once with their keys: every reader sees the same.
     """
     name = free_name(df, "row_key")
     key = F.struct(col(id_column).isNull().alias("missing"), col(id_column).alias("id"),
                    F.monotonically_increasing_id().alias("row"))
-    return df.withColumn(name, key), name
+    return stored(df.withColumn(name, key)), name

@@ -120,7 +120,7 @@ def exact_duplicates(df: DataFrame, text: str = "text", *, id_column: str = "doc
 
 
 def without_duplicates(df: DataFrame, text: str = "text", *, id_column: str = "doc_id", **options) -> DataFrame:
-    """The rows of the stored table ``df`` that are first of their text by id; repeated rows leave one."""
+    """The rows of ``df`` that are first of their text by id; repeated rows leave one."""
     keyed, key = with_row_key(df, id_column)
     found = exact_duplicates(keyed.select(key, col(text).alias("text")), id_column=key, **options)
     dropped = stored(found.filter("NOT kept").select(col(key)["row"].alias("row")))

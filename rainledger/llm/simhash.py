@@ -254,7 +254,7 @@ def near_duplicates(df: DataFrame, text: str = "text", *, id_column: str = "doc_
 
 
 def without_near_duplicates(df: DataFrame, text: str = "text", *, id_column: str = "doc_id", **options) -> DataFrame:
-    """The rows of the stored table ``df`` that have the smallest id of their component."""
+    """The rows of ``df`` that have the smallest id of their component."""
     keyed, key = with_row_key(df, id_column)
     found = near_duplicates(keyed.select(key, col(text).alias("text")), id_column=key, **options)
     row = col(key)["row"]

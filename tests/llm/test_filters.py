@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from rainledger.llm import exact_dedup, language_id, quality_rules, sharding, site_quality, url_rules
 from rainledger.llm.columns import table
+from rainledger.llm.overlap import without_near_copies
 from rainledger.llm.queries import op1_language_id, op5_sharding, op10_site_quality
+from rainledger.llm.simhash import without_near_duplicates
 
 SMALL, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 SPACE = "[\x20\x09-\x0D]+"
@@ -60,6 +62,21 @@ def test_without_duplicates_leaves_one_row_of_repeated_ones(spark, tmp_path):
     assert exact_dedup.exact_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_row_keys_stay_when_the_table_is_cut_differently(spark, tmp_path):
+    rows = [(i, f"text {i // 2}") for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(str(tmp_path / "t"))
+    size = "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(size)
+    try:
+        for f in (exact_dedup.without_duplicates, without_near_duplicates, without_near_copies):
+            kept = f(spark.read.parquet(str(tmp_path / "t")))
+            spark.conf.set(size, "300")
+            assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 400, 2))
+            spark.conf.set(size, old)
+    finally:
+        spark.conf.set(size, old)
+
+
 # Language
 
 def test_language_of_rows_that_were_not_learned(spark):
