@@ -169,7 +169,7 @@ class Views:
 
     @cached_property
     def unit_documents(self) -> DataFrame:
-        """One listing per supplier: a village, its district, and entries that are not units."""
+        """One listing per supplier: a village, its district, and entries that are not units; not all strict JSON."""
         def item(*pairs: tuple[str, Column]) -> Column:
             return F.to_json(F.struct(*[c.alias(n) for n, c in pairs]))
 
@@ -179,18 +179,22 @@ class Views:
         district = item(("id", F.concat(F.lit("D"), F.col("s_suppkey").cast("string"))),
                         ("name", F.col("s_name")), ("type", F.lit("district")), ("state", nation))
         nameless = item(("id", _place("s_suppkey")), ("type", F.lit("village")), ("state", nation))
+        # Some listings hold a bare NaN, a repeated key, or both.
+        k = F.col("s_suppkey")
+        other = F.when(k % 3 == 0, "NaN").when(k % 3 == 1, '{"id":1,"id":2}').otherwise('{"id":NaN,"id":2}')
+        village = F.when(k % 2 == 0, F.concat(F.lit('{"name":"old",'), F.substring(village, F.lit(2), F.length(village)))).otherwise(village)
         return self.table("supplier").select(
-            F.concat(F.lit('{"data":['), F.concat_ws(",", village, district, nameless, F.lit("7")),
+            F.concat(F.lit('{"data":['), F.concat_ws(",", village, district, nameless, F.lit("7"), other),
                      F.lit("]}")).alias("document"))
 
     @cached_property
     def elevation_documents(self) -> DataFrame:
-        """A two-by-three grid per part; every third part has none."""
+        """A two-by-three grid per part, some with a bare NaN or a repeated key; every third part has none."""
         k = F.col("p_partkey")
         price, size = F.col("p_retailprice").cast("string"), F.col("p_size").cast("string")
         grid = F.concat(F.lit("[["), F.concat_ws(",", price, size, F.lit("0")), F.lit("],["),
-                        F.concat_ws(",", size, F.lit('"x"'), price), F.lit("]]"))
+                        F.concat_ws(",", size, F.when(k % 3 == 1, "NaN").otherwise('"x"'), price), F.lit("]]"))
         return self.table("part").select(
             F.concat(F.lit("P"), k.cast("string")).alias("location_id"),
             F.concat(F.lit('{"data":{"elevation_grid":'), F.when(k % 3 == 0, F.lit("5")).otherwise(grid),
-                     F.lit(',"resolution":30}}')).alias("document"))
+                     F.when(k % 2 == 0, ',"resolution":30}}').otherwise(',"resolution":10,"resolution":30}}')).alias("document"))

@@ -215,24 +215,29 @@ def spatial_units(df: DataFrame, unit_type: str = "village", state: str | None =
     if state is not None and not state.strip():
         raise ValueError("state must be a non-empty string if given")
     require_columns(df, json_col)
-    doc = F.try_parse_json(F.col(json_col))
-    units = df.select(F.explode(_get(doc, "$.data", LIST)).alias("u"))
+    parsed = _parsed(df, json_col, json_col)
+    # explode() would copy its argument into a filter and so parse every document twice.
+    units = parsed.select(F.explode_outer(_get(F.col("__doc"), "$.data", LIST)).alias("u"))
     u = F.col("u")
     fields = _get(u, "$", OBJECT)
     known = units.filter(F.map_contains_key(fields, F.lit("id")) & F.map_contains_key(fields, F.lit("name")))
     names = ("id", "name", "type", "state")
     extra = F.map_filter(fields, lambda k, _: ~k.isin(*names))
     out = known.select(*[_get(u, f"$.{n}", "string").alias(n) for n in names],
-                       F.transform_values(extra, lambda _, v: v.try_cast("string")).alias("extras"))
+                       F.transform_values(extra, lambda _, v: F.nullif(v.try_cast("string"), F.lit("NaN"))).alias("extras"))
     out = out.filter(F.col("type") == wanted)
     return out if state is None else out.filter(F.col("state") == state.strip())
 
 
 def elevation_cells(df: DataFrame, json_col: str = "document", id_col: str = "location_id") -> DataFrame:
-    """Cells of an elevation grid as (location_id, row, col, elevation); no cells without a grid."""
+    """Cells of an elevation grid as (location_id, row, col, elevation); no cells without a grid.
+
+    A cell that is NaN or no number has a NULL elevation.
+    """
     require_columns(df, json_col, id_col)
-    doc = F.try_parse_json(F.col(json_col))
-    rows = df.select(F.col(id_col).alias("location_id"),
-                     F.posexplode(_get(doc, "$.data.elevation_grid", LIST)).alias("row", "__row"))
+    parsed = _parsed(df, id_col, json_col)
+    rows = parsed.select(F.col("__id").alias("location_id"),
+                         F.posexplode_outer(_get(F.col("__doc"), "$.data.elevation_grid", LIST)).alias("row", "__row"))
     cells = rows.select("location_id", "row", F.posexplode(_get(F.col("__row"), "$", LIST)).alias("col", "__cell"))
-    return cells.select("location_id", "row", "col", _get(F.col("__cell"), "$", "double").alias("elevation"))
+    elevation = _get(F.col("__cell"), "$", "double")
+    return cells.select("location_id", "row", "col", F.when(~F.isnan(elevation), elevation).alias("elevation"))

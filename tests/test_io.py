@@ -95,6 +95,18 @@ def test_elevation(spark):
     assert got == [(0, 0, 1.0), (0, 1, 2.5), (1, 0, None)]
 
 
+def test_units_and_elevation_that_are_not_strict_json(spark):
+    unit = '{"id":"%s","name":"old","name":"N","type":"village","height":%s}'
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "false")
+    df = docs(spark, '{"data":[%s,%s]}' % (unit % (1, "NaN"), unit % (2, "5")), '{"data":[%s]}' % (unit % (3, "6")))
+    got = documents.spatial_units(df).collect()
+    assert sorted((r.id, r.name, r.extras["height"]) for r in got) == [("1", "N", None), ("2", "N", "5"), ("3", "N", "6")]
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "false")
+    df = docs(spark, '{"data":{"elevation_grid":[[1,NaN],["NaN",4]]}}', '{"data":{"a":1,"a":2,"elevation_grid":[[],[9]]}}')
+    got = [(r.row, r.col, r.elevation) for r in documents.elevation_cells(df).collect()]
+    assert sorted(got, key=str) == [(0, 0, 1.0), (0, 1, None), (1, 0, 9.0), (1, 0, None), (1, 1, 4.0)]
+
+
 def test_csv_null_tokens_and_quotes(spark, tmp_path):
     f = tmp_path / "nrm.csv"
     f.write_text('Location ID,Year,Pond Presence,Intervention-Type,note\n'
