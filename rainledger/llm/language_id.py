@@ -36,12 +36,16 @@ def held_out(id_column: str = "doc_id") -> Column:
 def training_sample(df: DataFrame, text: str, label: str, id_column: str) -> list[tuple[str, str]]:
     """(language, text) of at most ``SAMPLE_TEXTS`` rows per language, cut to ``SAMPLE_CHARS`` characters.
 
+    A hash of the id chooses where in the text they begin, so all parts of texts are learned from.
     Rows are dealt by a hash of the id, and each hand gives its first: all rows take part, and equal
     tables give equal samples. Only ids are grouped; the chosen texts are fetched by a join.
     """
-    rows = df.select(col(label).alias("label"), F.xxhash64(col(id_column).cast("string")).alias("h"),
-                     F.substring(col(text), 1, SAMPLE_CHARS).alias("text"),
-                     (F.crc32(col(id_column).cast("string")) % 3 != 1).alias("use")) \
+    name = col(id_column).cast("string")
+    places = F.greatest(F.length(col(text)) - SAMPLE_CHARS + 1, F.lit(1))
+    start = (F.pmod(F.xxhash64(F.lit(1), name), places) + 1).cast("int")
+    rows = df.select(col(label).alias("label"), F.xxhash64(name).alias("h"),
+                     F.substring(col(text), start, F.lit(SAMPLE_CHARS)).alias("text"),
+                     (F.crc32(name) % 3 != 1).alias("use")) \
         .filter("use AND label IS NOT NULL AND text <> ''")
     chosen = rows.groupBy("label", F.pmod("h", F.lit(SAMPLE_TEXTS)).alias("hand")).agg(F.min("h").alias("h"))
     picked = rows.join(chosen.select("label", "h"), ["label", "h"])

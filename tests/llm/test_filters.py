@@ -107,6 +107,15 @@ def test_training_sample_is_bounded(spark):
     assert 400 < len(sample) <= language_id.SAMPLE_TEXTS and all(len(t) <= language_id.SAMPLE_CHARS for _, t in sample)
 
 
+def test_training_sample_is_not_only_openings(spark):
+    header = "h" * 600
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit(header), F.repeat(F.lit("word "), 1000)).alias("text"), F.lit("en").alias("lang"))
+    sample = [t for _, t in language_id.training_sample(docs, "text", "lang", "doc_id")]
+    assert sum("h" in t for t in sample) < 0.25 * len(sample) and all(len(t) == language_id.SAMPLE_CHARS for t in sample)
+    short = docs.select("doc_id", F.lit("all of it").alias("text"), "lang")
+    assert {t for _, t in language_id.training_sample(short, "text", "lang", "doc_id")} == {"all of it"}
+
+
 # URL rules
 
 def plain_url(url, rules):
