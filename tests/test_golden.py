@@ -3,7 +3,7 @@
 from collections import defaultdict
 from statistics import correlation, linear_regression, mean, median, stdev
 
-from conftest import invented_panel
+from panel import invented_panel
 from pytest import approx
 
 from rainledger.operators import charts, cleaning, merging, summaries, trends
