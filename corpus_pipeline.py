@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from rainledger.llm.columns import table
 from rainledger.llm.exact_dedup import without_duplicates
 from rainledger.llm.language_id import identify
-from rainledger.llm.overlap import without_near_copies
 from rainledger.llm.packing import pack
 from rainledger.llm.quality_rules import kept
 from rainledger.llm.queries import vocabulary
+from rainledger.llm.simhash import DISTANCE, WIDTH, without_near_duplicates
 from rainledger.sinks.shared import stored
 
 
@@ -34,12 +34,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8 or more.
-
-    A bit distance that holds such pairs (up to 10 and more of 64) leaves the filter of op6 no key, so
-    candidates come from the shingles themselves.
-    """
-    return without_near_copies(docs)
+    """One document of each group of fingerprints linked at 4 differing bits or fewer, of four-word shingles."""
+    return without_near_duplicates(docs, width=WIDTH, distance=DISTANCE)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-from .shared import shared_folder, stored
+from .shared import shared_folder, stored, working_tables
 from .table import clean_filename, ordered, write_table
 
-__all__ = ["clean_filename", "ordered", "shared_folder", "stored", "write_table"]
+__all__ = ["clean_filename", "ordered", "shared_folder", "stored", "working_tables", "write_table"]

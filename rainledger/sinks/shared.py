@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 LOCAL_FALLBACK = "/tmp/checkpoints"
 
+#: The folder that the innermost :func:`working_tables` block deletes at its end.
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, deleted when the application ends.
@@ -35,6 +41,33 @@ def stored(df: DataFrame) -> DataFrame:
     What reads the result does not compute ``df`` again, also after an executor was lost.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table"
+    scratch = _scratch.get()
+    path = f"{scratch}/{uuid.uuid4()}" if scratch else f"{shared_folder(spark)}/table"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def working_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A block whose stored tables are deleted at its end, and a function that stores what is to stay.
+
+    What the block hands out must be stored by that function, as a plan of its own would still read the
+    deleted tables. Blocks may be nested: what an inner one keeps belongs to the outer one.
+    """
+    folder = shared_folder(spark)
+    outer = _scratch.get()
+
+    def keep(df: DataFrame) -> DataFrame:
+        within = _scratch.set(outer)
+        try:
+            return stored(df)
+        finally:
+            _scratch.reset(within)
+
+    token = _scratch.set(folder)
+    try:
+        yield keep
+    finally:
+        _scratch.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

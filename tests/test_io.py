@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rainledger import sources
 from rainledger.operators import cleaning
 from rainledger.plans import workflow
-from rainledger.sinks import clean_filename, ordered, write_table
+from rainledger.sinks import clean_filename, ordered, stored, working_tables, write_table
 from rainledger.sources import documents
 from rainledger.streaming import landing
 
@@ -267,3 +267,16 @@ def test_intake_continues_where_it_stopped(spark, tmp_path):
     got = spark.read.parquet(target)
     assert got.count() == 4 and cleaning.clean_observations(got).count() == 3
     assert got.filter(F.col("year") == 2021).count() == 2
+
+
+def test_working_tables_are_deleted_and_kept_ones_stay(spark):
+    with working_tables(spark) as keep:
+        inner = stored(spark.range(5))
+        with working_tables(spark) as keep_inner:
+            deepest = stored(spark.range(3))
+            middle = keep_inner(deepest.union(inner))
+        result = keep(middle.filter("id < 2"))
+    assert sorted(r.id for r in result.collect()) == [0, 0, 1, 1]
+    for gone in (inner, deepest, middle):
+        with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
+            gone.count()
