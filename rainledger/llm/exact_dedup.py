@@ -24,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sinks.shared import stored
+from ..sinks.shared import stored, working_tables
 from .columns import col, let, squeeze, with_row_key
 
 #: Bytes in a block.
@@ -122,6 +122,7 @@ def exact_duplicates(df: DataFrame, text: str = "text", *, id_column: str = "doc
 def without_duplicates(df: DataFrame, text: str = "text", *, id_column: str = "doc_id", **options) -> DataFrame:
     """The rows of ``df`` that are first of their text by id; repeated rows leave one."""
     keyed, key = with_row_key(df, id_column)
-    found = exact_duplicates(keyed.select(key, col(text).alias("text")), id_column=key, **options)
-    dropped = stored(found.filter("NOT kept").select(col(key)["row"].alias("row")))
+    with working_tables(df.sparkSession) as keep:
+        found = exact_duplicates(keyed.select(key, col(text).alias("text")), id_column=key, **options)
+        dropped = keep(found.filter("NOT kept").select(col(key)["row"].alias("row")))
     return keyed.join(dropped, col(key)["row"] == dropped["row"], "left_anti").select(*[col(c) for c in df.columns])

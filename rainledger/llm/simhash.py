@@ -9,7 +9,7 @@ bits, there is a segment from which every chain of l consecutive segments differ
 ``l * t / m`` bits, for all l up to m (the pigeonring principle). With m = t + 1 the first segment of
 that chain is equal, two segments differ in at most one bit, three in two, and so on. The join key is
 the first two segments of the chain: equal in the first, and in the second equal but for one bit that
-is masked out. The longer chains are checked by bit counts inside the join, before the full distance.
+is masked out. Rows are dealt by the first segment alone and get their keys after that. The longer chains are checked by bit counts inside the join, before the full distance.
 
 **Links.** Two rounds:
 
@@ -28,10 +28,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sinks.shared import stored
+from ..sinks.shared import stored, working_tables
 from .columns import col, with_row_key
 
 #: Bits that may differ between linked fingerprints.
@@ -124,19 +124,60 @@ def _chains_fit(other: Column, start: Column, distance: int) -> Column:
     return cases
 
 
-def _keys(nodes: DataFrame, distance: int) -> DataFrame:
-    """``nodes`` with a row per key: ``start`` is 64 times the chain's first segment plus the masked bit's place."""
+#: A first segment with more rows than this, and than ``HOT_TIMES`` the mean, is dealt by the whole key.
+HOT_ROWS, HOT_TIMES = 2_000, 8
+#: Bits below the chain's place in a key.
+PLACE = 48
+
+
+def _starts(nodes: DataFrame, distance: int) -> DataFrame:
+    """``nodes`` with a row per segment: the segment's number ``i`` and its bits ``first``."""
+    ring = _segments(distance + 1)
+    return nodes.select("*", F.posexplode(F.array(*[_part(F.col("fp"), s) for s in ring])).alias("i", "first"))
+
+
+def _keys(starts: DataFrame, distance: int) -> DataFrame:
+    """(fp, comp, i, first, key): a row per bit of the second segment, with this bit masked out.
+
+    The key is one integer: the first segment's number and the masked bit's place, and below them the bits
+    of the two segments.
+    """
     ring = _segments(distance + 1)
     m = len(ring)
-    keys = []
+    keys = None
     for i in range(m):
-        first, second = ring[i], ring[(i + 1) % m]
-        for bit in range(second[1]):
-            mask = ((1 << second[1]) - 1) & ~(1 << bit)
-            values = F.shiftleft(_part(F.col("fp"), first), second[1]).bitwiseOR(
-                _part(F.col("fp"), second).bitwiseAND(F.lit(mask)))
-            keys.append(F.struct(F.lit(i * 64 + second[0] + bit).cast("smallint").alias("start"), values.alias("value")))
-    return nodes.select("*", F.inline(F.array(*keys)))
+        first_bit, bits = ring[(i + 1) % m]
+        second = _part(F.col("fp"), ring[(i + 1) % m])
+        whole = F.shiftleft(F.col("first"), bits).bitwiseOR(second)
+        rows = F.array(*[F.lit((i * 64 + first_bit + b) << PLACE).bitwiseOR(whole.bitwiseAND(F.lit(~(1 << b))))
+                         for b in range(bits)])
+        keys = F.when(F.col("i") == i, rows) if keys is None else keys.when(F.col("i") == i, rows)
+    return starts.select("fp", "comp", "i", "first", F.explode(keys).alias("key"))
+
+
+def _mixed_members(nodes: DataFrame, distance: int) -> DataFrame:
+    """The (key, fp, comp) of all keys that two components or more have.
+
+    Rows are shuffled once per segment, by its bits, and get their keys afterwards: a window over the key
+    needs no further shuffle, and nearly all keys end there. The few segments whose bits very many
+    fingerprints share are found by a count and dealt by the whole key, with minima and maxima combined
+    before the shuffle.
+    """
+    starts = _starts(nodes, distance)
+    counts = stored(starts.groupBy("i", "first").count())
+    mean = counts.agg(F.avg("count")).first()[0] or 0
+    hot = counts.filter(F.col("count") > max(HOT_ROWS, HOT_TIMES * mean)).select("i", "first")
+    some_hot = not hot.isEmpty()
+    alike = Window.partitionBy("i", "first", "key")
+    cold = _keys((starts.join(hot, ["i", "first"], "left_anti") if some_hot else starts).repartition("i", "first"), distance)
+    found = (cold.withColumn("low", F.min("comp").over(alike)).withColumn("high", F.max("comp").over(alike))
+             .filter("low < high").select("key", "fp", "comp"))
+    if some_hot:
+        keyed = _keys(starts.join(hot, ["i", "first"]), distance)
+        mixed = stored(keyed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+                       .filter("low < high").select("key"))
+        found = found.unionByName(keyed.join(mixed, "key").select("key", "fp", "comp"))
+    return stored(found)
 
 
 def near_links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
@@ -146,15 +187,12 @@ def near_links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     two fingerprints within the distance, either both have one component already or their components
     are linked here. ``distance`` is at least 2.
     """
-    keyed, key = _keys(nodes, distance), ["start", "value"]
     # Only groups with two components or more can give a link.
-    mixed = (keyed.groupBy(*key).agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-             .filter("low < high").select(*key))
-    members = stored(keyed.join(stored(mixed), key))
+    members = _mixed_members(nodes, distance)
     largest = (
-        members.groupBy(*key, "comp").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy(*key).agg(F.max(F.struct("n", "comp")).alias("top")).select(*key, F.col("top.comp").alias("major")))
-    marked = stored(members.join(stored(largest), key))
+        members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top")).select("key", F.col("top.comp").alias("major")))
+    marked = stored(members.join(stored(largest), "key"))
     a, b = marked.filter("comp <> major").alias("a"), marked.alias("b")
     differ = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
     # Two members outside the largest component meet twice; one of the two meetings is enough.
@@ -162,12 +200,13 @@ def near_links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     # Two that are equal in the second segment share all of its keys; the one of its first bit is enough.
     ring = _segments(distance + 1)
     first_bits = [i * 64 + ring[(i + 1) % len(ring)][0] for i in range(len(ring))]
-    once = once & (F.col("a.start").isin(first_bits)
-                   | (F.expr("shiftrightunsigned(a.fp ^ b.fp, a.start % 64) & 1") == 1))
+    place = F.shiftrightunsigned("a.key", PLACE)
+    once = once & (place.isin(first_bits)
+                   | (F.expr(f"shiftrightunsigned(a.fp ^ b.fp, cast(shiftrightunsigned(a.key, {PLACE}) % 64 as int)) & 1") == 1))
     return (
-        a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in key] + [
-            F.col("a.comp") != F.col("b.comp"), once, F.bit_count(differ) <= distance,
-            _chains_fit(differ, (F.col("a.start") / 64).cast("int"), distance)])
+        a.join(b, [F.col("a.key") == F.col("b.key"),
+                   F.col("a.comp") != F.col("b.comp"), once, F.bit_count(differ) <= distance,
+                   _chains_fit(differ, (place / 64).cast("int"), distance)])
         .select(F.least("a.comp", "b.comp").alias("a"), F.greatest("a.comp", "b.comp").alias("b")).distinct()
     )
 
@@ -237,6 +276,14 @@ def near_duplicates(df: DataFrame, text: str = "text", *, id_column: str = "doc_
     table gives an empty result.
     """
     prints = stored(fingerprints(df, text, id_column=id_column, width=width))
+    with working_tables(df.sparkSession) as keep:
+        known = keep(_known(prints, distance))
+    return prints.join(known, "fp").select(
+        F.col("id").alias(id_column), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _known(prints: DataFrame, distance: int) -> DataFrame:
+    """(fp, component_id) of the distinct fingerprints of (id, fp)."""
     nodes = stored(prints.groupBy("fp").agg(F.min("id").alias("first_id")))
     close = components(one_bit_links(nodes)) if distance else None
     seen = nodes.select("fp").withColumn("comp", F.col("fp"))
@@ -247,16 +294,16 @@ def near_duplicates(df: DataFrame, text: str = "text", *, id_column: str = "doc_
         wider = components(near_links(seen, distance))
         seen = stored(seen.join(wider.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left")
                       .select("fp", F.coalesce("to", "comp").alias("comp")))
-    smallest = nodes.join(seen, "fp").groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    known = stored(seen.join(smallest, "comp").select("fp", "component_id"))
-    return prints.join(known, "fp").select(
-        F.col("id").alias(id_column), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # Stored, so that the join has a plain shuffle on both sides and a large component can be split.
+    smallest = stored(nodes.join(seen, "fp").groupBy("comp").agg(F.min("first_id").alias("component_id")))
+    return seen.join(smallest, "comp").select("fp", "component_id")
 
 
 def without_near_duplicates(df: DataFrame, text: str = "text", *, id_column: str = "doc_id", **options) -> DataFrame:
     """The rows of ``df`` that have the smallest id of their component."""
     keyed, key = with_row_key(df, id_column)
-    found = near_duplicates(keyed.select(key, col(text).alias("text")), id_column=key, **options)
     row = col(key)["row"]
-    dropped = stored(found.filter(row != F.col("component_id.row")).select(row.alias("row")))
+    with working_tables(df.sparkSession) as keep:
+        found = near_duplicates(keyed.select(key, col(text).alias("text")), id_column=key, **options)
+        dropped = keep(found.filter(row != F.col("component_id.row")).select(row.alias("row")))
     return keyed.join(dropped, row == dropped["row"], "left_anti").select(*[col(c) for c in df.columns])

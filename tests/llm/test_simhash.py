@@ -49,8 +49,11 @@ def test_whole_table_against_brute_force(spark):
     assert len(set(comps.values())) < len(set(prints.values()))
 
 
-@pytest.mark.parametrize("distance", [2, 3, 4])
-def test_links_of_clouds_and_chains(spark, distance):
+@pytest.mark.parametrize("distance, hot", [(2, False), (3, False), (4, False), (4, True)])
+def test_links_of_clouds_and_chains(spark, monkeypatch, distance, hot):
+    if hot:  # segments shared by more rows than usual are dealt by whole keys
+        monkeypatch.setattr(simhash, "HOT_ROWS", 2)
+        monkeypatch.setattr(simhash, "HOT_TIMES", 1)
     rng = random.Random(distance)
     prints = set()
     for _ in range(12):
