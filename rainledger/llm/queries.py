@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle
+from .collocations import collocations
 from .columns import table
 from .exact_dedup import exact_duplicates
 from .language_id import held_out, identify
+from .line_dedup import line_digests
 from .packing import pack
 from .pieces import piece_digests
+from .prefix_trie import branched_trie
 from .quality_rules import judge
 from .sharding import place
 from .simhash import near_duplicates
@@ -80,6 +83,18 @@ def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, table(spark, sf_dir, "labels"), ["source"], sites=sites, site_columns=["host", "folder"])
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return branched_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
