@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.coerce import aggregate_flag, label, not_negative, to_number, to_year
-from ..functions.quantiles import GROUP_ROWS, aggregate_with_quantiles
+from ..functions.quantiles import GROUP_ROWS, aggregate_columns, aggregate_with_quantiles
 from ..schema import AGGREGATE_LABELS, require_columns, require_rows
 
 AREA, COUNT, FLAG = "water_area_ha", "water_body_count", "pond_presence"
@@ -309,10 +309,14 @@ def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None, *,
     if not columns:
         raise ValueError("no numeric columns to describe")
     require_columns(df, *columns)
-    rows = df.select(*[to_number(df, c).alias(c) for c in columns]).unpivot([], list(columns), "column", "v")
-    stats = aggregate_with_quantiles(
-        rows, ["column"],
-        [F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
-         F.min("v").alias("min"), F.max("v").alias("max")],
-        "v", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, group_rows=group_rows)
-    return stats.select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
+    rows = df.select(*[to_number(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
+    figures = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    quartiles = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+    # One row with all figures of all columns; each column becomes a row of it at the end.
+    one = aggregate_columns(
+        rows, [], [f(f"v{i}").alias(f"{name}{i}") for i in range(len(columns)) for name, f in figures.items()],
+        {f"v{i}": {f"{name}_{i}": p for name, p in quartiles.items()} for i in range(len(columns))}, group_rows=group_rows)
+    described = [F.struct(F.lit(c).alias("column"), F.col(f"count{i}").alias("count"), *[
+        F.col(f"{n}{i}").cast("double").alias(n) for n in ("mean", "std", "min")], *[
+        F.col(f"{n}_{i}").alias(n) for n in quartiles], F.col(f"max{i}").alias("max")) for i, c in enumerate(columns)]
+    return one.select(F.inline(F.array(*described)))

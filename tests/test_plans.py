@@ -63,10 +63,10 @@ def test_one_scan_and_no_needless_shuffle(stored, build, exchanges):
 
 
 @pytest.mark.parametrize("build", [summaries.intervention_summary, summaries.seasonal_summary])
-def test_quantiles_read_the_rows_once_more_than_their_stored_aggregates(stored, build):
+def test_quantiles_are_read_from_stored_aggregates(stored, build):
     text = plan(build(stored), "simple")
-    assert text.count("FileScan") == 2 and "CartesianProduct" not in text
-    assert len(re.findall(r"\bExchange\b", text)) <= 4, text
+    assert text.count("FileScan") <= 2 and "CartesianProduct" not in text
+    assert "lineitem" not in text and len(re.findall(r"\bExchange\b", text)) <= 2, text
 
 
 def test_small_side_is_broadcast_and_the_large_side_stays(spark, stored):

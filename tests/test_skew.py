@@ -49,13 +49,54 @@ def test_quantiles(table, group_rows):
             assert got[k][name] == pytest.approx(plain_quantile(values, p), rel=1e-9, abs=1e-12), (k, name)
 
 
-def test_large_groups_need_few_rounds(table, monkeypatch):
-    rounds = []
-    real = quantiles._one_round
-    monkeypatch.setattr(quantiles, "_one_round", lambda *a: rounds.append(1) or real(*a))
-    uniform = table.filter("k = 'uniform'")
-    quantiles.aggregate_with_quantiles(uniform, ["k"], [F.count("v").alias("n")], "v", PROBS, group_rows=100).collect()
-    assert len(rounds) == 1
+def passes(monkeypatch):
+    seen = []
+    real = quantiles._second_pass
+    monkeypatch.setattr(quantiles, "_second_pass", lambda *a: seen.append(a[-1]) or real(*a))
+    return seen
+
+
+@pytest.mark.parametrize("probs, group_rows, want", [
+    (PROBS, 100, [0]), ({"med": 0.5}, 100, [0]), ({"med": 0.5}, 10**9, [0]), ({"q": 0.3}, 10**9, [0])])
+def test_one_second_pass_for_all_groups(table, monkeypatch, probs, group_rows, want):
+    seen = passes(monkeypatch)
+    quantiles.aggregate_with_quantiles(table, ["k"], [], "v", probs, group_rows=group_rows).collect()
+    assert seen == want
+
+
+def test_medians_of_small_groups_need_no_second_pass(table, monkeypatch):
+    seen = passes(monkeypatch)
+    small = table.filter("k IN ('constant', 'infinite', 'small', 'one', 'mostly infinite', 'nulls', 'negative')")
+    got = {r.k: r.med for r in quantiles.aggregate_with_quantiles(small, ["k"], [], "v", {"med": 0.5}).collect()}
+    assert not seen and got["nulls"] is None and len(got) == 7
+    for k in got.keys() - {"nulls"}:
+        assert got[k] == pytest.approx(plain_quantile(groups()[k], 0.5), rel=1e-9), k
+
+
+def test_missed_brackets_are_widened(table, monkeypatch):
+    """Brackets without width miss their rank; in the end a bracket holds all values."""
+    monkeypatch.setattr(quantiles, "WIDTHS", (-0.2, -0.1))
+    seen = passes(monkeypatch)
+    got = quantiles.aggregate_with_quantiles(table, ["k"], [F.count("v").alias("n")], "v", PROBS, group_rows=100)
+    got = {r.k: r for r in got.collect()}
+    assert seen == [0, 1, 2]
+    for k, values in groups().items():
+        for name, p in PROBS.items():
+            assert got[k][name] == pytest.approx(plain_quantile(values, p), rel=1e-9, abs=1e-12), (k, name)
+
+
+@pytest.mark.parametrize("group_rows", [10**9, 1])
+def test_columns_of_a_whole_table(spark, monkeypatch, group_rows):
+    rng = np.random.default_rng(8)
+    a, b = rng.normal(0, 1, 4000), np.round(rng.uniform(0, 30, 4000))
+    df = spark.createDataFrame([(float(x), int(y), None) for x, y in zip(a, b)], "a double, b int, c double")
+    seen = passes(monkeypatch)
+    row = quantiles.aggregate_columns(df, [], [F.count(F.lit(1)).alias("n")], {
+        "a": {"a1": 0.1, "a9": 0.9}, "b": {"b3": 0.3}, "c": {"c5": 0.5}}, group_rows=group_rows).first()
+    assert seen == [0] and (row.n, row.c5) == (4000, None)
+    assert (row.a1, row.a9, row.b3) == pytest.approx((plain_quantile(a, 0.1), plain_quantile(a, 0.9), plain_quantile(b, 0.3)))
+    empty = quantiles.aggregate_columns(df.limit(0), [], [], {"a": {"a1": 0.1}}).collect()
+    assert [r.a1 for r in empty] == [None]
 
 
 def canon(df):
