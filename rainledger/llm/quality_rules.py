@@ -2,16 +2,20 @@
 
 Sequential covering. A rule is a conjunction of thresholds that describes bad documents. It grows by the
 condition with the largest gain on two thirds of the labelled rows, is cut back to the conjunction that
-does best on the other third, and the rows that it covers leave. The list ends when no rule is precise
-enough. It becomes one ordered conditional Spark expression.
+does best on the other third, and the rows that it covers leave. If no part of a rule is precise enough, the
+bad rows that it covers are set aside and covering goes on. The list ends when no condition covers enough of
+the bad rows that are left. It becomes one ordered conditional Spark expression.
 
-Learning is grouped aggregation: each step counts labelled rows per statistic and bin, and the driver
-sees only these counts (statistics * bins). All labelled rows take part.
+Statistics are Spark expressions over whole texts. The list is learned on the driver from the statistics of
+at most about ``LEARN_ROWS`` labelled rows, all of them if there are no more; the same rows give the same
+list, whatever the order of tasks.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -22,9 +26,9 @@ from .columns import col, free_name
 from .text_statistics import text_counts
 
 #: Cut points per statistic.
-BINS = 64
-MAX_RULES = 8
-MAX_CONDITIONS = 4
+BINS = 1024
+#: Bound of the labelled rows that are learned from.
+LEARN_ROWS = 50_000
 #: A rule must be right on this part of the held-out rows that it covers, and cover so many of the others.
 MIN_PRECISION = 0.9
 MIN_COVER = 5
@@ -84,71 +88,78 @@ def _gain(p: int, n: int, p0: int, n0: int) -> float:
     return p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0)))
 
 
-def learn(labelled: DataFrame, bad: str, fold: str, names: list[str]) -> list[Rule]:
+def learn(labelled: DataFrame, bad: str, fold: str, names: list[str], *, max_rows: int = LEARN_ROWS) -> list[Rule]:
     """The ordered rules for rows whose column ``bad`` is 1.
 
     ``labelled`` is a stored table with the statistics ``names``, ``bad`` (0 or 1) and ``fold`` (0 and 1
-    grow rules, 2 prunes them). Without a bad or a good row the list is empty.
+    grow rules, 2 prunes them). Of more than about ``max_rows`` rows a part is learned from, chosen by a hash
+    of the row. Without a bad or a good row the list is empty.
     """
-    values = {n: F.col(n) for n in names}
-    levels = [i / BINS for i in range(1, BINS)]
-    cuts_row = labelled.agg(*[F.percentile_approx(n, levels, 10_000).alias(n) for n in names]).first()
-    cuts = {n: sorted(set(cuts_row[n] or [])) for n in names}
-    bins = F.array(*[F.struct(F.lit(n).alias("s"), _bin(F.col(n), cuts[n]).alias("b")) for n in names])
-    binned = stored(labelled.select("*", bins.alias("bins")))
+    total = labelled.count()
+    rows = labelled.select(F.col(bad).cast("int").alias("bad"), F.col(fold).cast("int").alias("fold"),
+                           *[F.col(n).cast("double").alias(f"v{i}") for i, n in enumerate(names)])
+    if total > max_rows:
+        parts = 1 << 40
+        rows = rows.filter(F.pmod(F.xxhash64(*rows.columns), F.lit(parts)) < parts * max_rows // total)
+    found = sorted(map(tuple, rows.collect()))  # so that nothing depends on the order of tasks
+    is_bad, grows = [r[0] == 1 for r in found], [r[1] < 2 for r in found]
+    values = {n: [r[i + 2] for r in found] for i, n in enumerate(names)}
+    cuts = {n: _cuts(v) for n, v in values.items()}
+    bins = {n: [bisect_left(cuts[n], x) for x in v] for n, v in values.items()}
     rules: list[Rule] = []
-    left = binned
-    while len(rules) < MAX_RULES:
-        rule = _grow(left.filter(F.col(fold) < 2), bad, values, cuts)
-        rule = _prune(left.filter(F.col(fold) == 2), bad, values, rule) if rule else ()
-        if not rule:
-            break
-        rules.append(rule)
-        left = left.filter(~_matches(rule, values))
+    left = list(range(len(found)))
+    while grown := _grow([i for i in left if grows[i]], is_bad, bins, cuts):
+        rule = _prune([i for i in left if not grows[i]], is_bad, values, grown)
+        if rule:
+            rules.append(rule)
+            left = [i for i in left if not _holds(rule, values, i)]
+        else:
+            # Its bad rows lead nowhere; the good ones still show what other rules would cost.
+            left = [i for i in left if not (is_bad[i] and _holds(grown, values, i))]
     return rules
 
 
-def _bin(value: Column, cuts: list[float]) -> Column:
-    """The number of cut points below the value, so that the bin is <= k when the value is <= cuts[k]."""
-    if not cuts:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < value))
+def _cuts(values: list[float]) -> list[float]:
+    """The values at the ranks that cut the sorted values into ``BINS`` parts, without repetition."""
+    ordered = sorted(values)
+    return sorted({ordered[len(ordered) * i // BINS] for i in range(1, BINS)}) if ordered else []
 
 
-def _grow(rows: DataFrame, bad: str, values: dict[str, Column], cuts: dict[str, list[float]]) -> Rule:
+def _holds(rule: Rule, values: dict[str, list[float]], i: int) -> bool:
+    return all((values[c.statistic][i] > c.threshold) == c.above for c in rule)
+
+
+def _grow(rows: list[int], is_bad: list[bool], bins: dict[str, list[int]], cuts: dict[str, list[float]]) -> Rule:
+    """The conjunction that the largest gains lead to; each condition makes it more precise, so this ends."""
     rule: Rule = ()
-    while len(rule) < MAX_CONDITIONS:
-        counted = (
-            rows.filter(_matches(rule, values)).select(bad, F.inline("bins")).groupBy("s", "b")
-            .agg(F.sum(bad).alias("p"), F.sum(1 - F.col(bad)).alias("n")).collect())
-        best, chosen = 0.0, None
-        for name in values:
-            table = {r.b: (r.p, r.n) for r in counted if r.s == name}
-            p0, n0 = sum(p for p, _ in table.values()), sum(n for _, n in table.values())
-            if not n0:  # nothing good is left to keep out
-                return rule
+    while True:
+        p0 = sum(is_bad[i] for i in rows)
+        n0 = len(rows) - p0
+        if not n0:  # nothing good is left to keep out
+            return rule
+        best, chosen, at = 0.0, None, 0
+        for name, own in bins.items():
+            table = Counter((own[i], is_bad[i]) for i in rows)
             p = n = 0
             for k, cut in enumerate(cuts[name]):
-                p, n = p + table.get(k, (0, 0))[0], n + table.get(k, (0, 0))[1]
+                p, n = p + table[k, True], n + table[k, False]
                 for above, a, b in ((False, p, n), (True, p0 - p, n0 - n)):
                     gain = _gain(a, b, p0, n0)
                     if a >= MIN_COVER and gain > best:
-                        best, chosen = gain, Condition(name, above, cut)
+                        best, chosen, at = gain, Condition(name, above, cut), k
         if chosen is None:
             return rule
         rule += (chosen,)
-    return rule
+        rows = [i for i in rows if (bins[chosen.statistic][i] > at) == chosen.above]
 
 
-def _prune(rows: DataFrame, bad: str, values: dict[str, Column], rule: Rule) -> Rule:
+def _prune(rows: list[int], is_bad: list[bool], values: dict[str, list[float]], rule: Rule) -> Rule:
     """The beginning of the rule that is best on the rows; empty if none is precise enough."""
-    wanted = []
-    for k in range(1, len(rule) + 1):
-        hit = _matches(rule[:k], values).cast("int")
-        wanted += [F.sum(hit * F.col(bad)).alias(f"p{k}"), F.sum(hit * (1 - F.col(bad))).alias(f"n{k}")]
-    found, best, chosen = rows.agg(*wanted).first(), 0.0, ()
+    best, chosen = 0.0, ()
     for k in range(1, len(rule) + 1):
-        p, n = found[f"p{k}"] or 0, found[f"n{k}"] or 0
+        rows = [i for i in rows if _holds(rule[k - 1:k], values, i)]
+        p = sum(is_bad[i] for i in rows)
+        n = len(rows) - p
         if p and p / (p + n) >= MIN_PRECISION and (worth := (p - n) / (p + n) * math.log1p(p)) > best:
             best, chosen = worth, rule[:k]
     return chosen
@@ -198,11 +209,9 @@ def judge(df: DataFrame, labels: DataFrame, text: str = "text", *, id_column: st
 
 def kept(df: DataFrame, labels: DataFrame, text: str = "text", *, id_column: str = "doc_id") -> DataFrame:
     """The rows of ``df`` that :func:`judge` keeps, with their columns as they are."""
-    # Counts are taken of every text, labelled or not: this moves no text, as a join with the labels would.
-    counted = df.select(col(id_column).alias("id"), text_counts(col(text)).alias("counts"))
-    rules = learn_from(stored(counted), labels, id_column=id_column)
+    # Every text is counted once. The labels meet the counts, so no text is moved.
     name = free_name(df, "counts")
-    # One element is made per row, and its generator keeps the counts from being computed per mention.
-    counted_once = df.select("*", F.inline(F.array(F.struct(text_counts(col(text)).alias(name)))))
+    counted = stored(df.select("*", text_counts(col(text)).alias(name)))
+    rules = learn_from(counted.select(col(id_column).alias("id"), F.col(name).alias("counts")), labels, id_column=id_column)
     c = F.col(name)
-    return counted_once.filter(~base_failed(c) & verdict(rules, c).isNull()).drop(name)
+    return counted.filter(~base_failed(c) & verdict(rules, c).isNull()).drop(name)

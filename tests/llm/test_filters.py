@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from rainledger.llm import exact_dedup, language_id, quality_rules, sharding, site_quality, url_rules
 from rainledger.llm.columns import table
-from rainledger.llm.overlap import without_near_copies
 from rainledger.llm.queries import op1_language_id, op5_sharding, op10_site_quality
 from rainledger.llm.simhash import without_near_duplicates
 
@@ -68,7 +67,7 @@ def test_row_keys_stay_when_the_table_is_cut_differently(spark, tmp_path):
     size = "spark.sql.files.maxPartitionBytes"
     old = spark.conf.get(size)
     try:
-        for f in (exact_dedup.without_duplicates, without_near_duplicates, without_near_copies):
+        for f in (exact_dedup.without_duplicates, without_near_duplicates):
             kept = f(spark.read.parquet(str(tmp_path / "t")))
             spark.conf.set(size, "300")
             assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 400, 2))
@@ -102,18 +101,76 @@ def test_language_of_odd_rows(spark):
 
 
 def test_training_sample_is_bounded(spark):
-    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 500).alias("text"), F.lit("en").alias("lang"))
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("Text"), "id", F.repeat(F.lit("word "), 500)).alias("text"),
+                                    F.lit("en").alias("lang"))
     sample = language_id.training_sample(docs, "text", "lang", "doc_id")
-    assert 400 < len(sample) <= language_id.SAMPLE_TEXTS and all(len(t) <= language_id.SAMPLE_CHARS for _, t in sample)
+    whole = [t for _, t in sample if len(t) > 2500]
+    assert len(whole) >= len(sample) - 1 and sum(len(t) for _, t in sample) == language_id.SAMPLE_CHARS
+    same = docs.withColumn("text", F.lit("all of it"))
+    assert language_id.training_sample(same, "text", "lang", "doc_id") == [("en", "all of it")]
 
 
 def test_training_sample_is_not_only_openings(spark):
-    header = "h" * 600
-    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit(header), F.repeat(F.lit("word "), 1000)).alias("text"), F.lit("en").alias("lang"))
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("h"), 600), F.lit(" "), "id", F.repeat(F.lit(" word"), 1000)).alias("text"),
+                                   F.lit("en").alias("lang"))
     sample = [t for _, t in language_id.training_sample(docs, "text", "lang", "doc_id")]
-    assert sum("h" in t for t in sample) < 0.25 * len(sample) and all(len(t) == language_id.SAMPLE_CHARS for t in sample)
-    short = docs.select("doc_id", F.lit("all of it").alias("text"), "lang")
-    assert {t for _, t in language_id.training_sample(short, "text", "lang", "doc_id")} == {"all of it"}
+    assert sum(t.count("h") for t in sample) < 0.15 * sum(map(len, sample))
+
+
+def test_more_languages_than_the_bound(spark):
+    words = {k: (chr(97 + k // 26) + chr(97 + k % 26)) * 6 for k in range(300)}
+    rows = [(3 * k + i, f"{w} and {w}{w[::-1]}", f"l{k:03d}") for k, w in words.items() for i in range(3)]
+    rows += [(2000 + i, f"more words of the common language {i}", "common") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    with pytest.warns(UserWarning, match="not learned: l"):
+        sample = language_id.training_sample(docs, "text", "lang", "doc_id", max_languages=9)
+    assert len({label for label, _ in sample}) == 9 and any(label == "common" for label, _ in sample)
+    found = language_id.identify(docs, max_languages=301)
+    assert found.filter("lang_pred = lang").count() > 0.5 * len(rows)
+
+
+def plain_sizes(text, known):
+    """The language with the smallest size, by compressing afresh."""
+    import zstandard
+
+    data = b" ".join("".join(c if ord(c) >= 128 or c.isalpha() else " " for c in text.lower()).encode().split())
+    sizes = []
+    for label, content in known.items():
+        packer = zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT),
+                                          write_checksum=False, write_content_size=False, write_dict_id=False)
+        sizes.append((sum(len(packer.compress(data[i:i + 4096])) for i in range(0, len(data), 4096)), label))
+    best, second = sorted(sizes)[:2]
+    return best[1], 1 - best[0] / second[0]
+
+
+def test_language_against_plain_sizes(spark):
+    docs = table(spark, SMALL, "documents")
+    known = language_id.dictionaries(language_id.training_sample(docs, "text", "lang", "doc_id"))
+    for r in language_id.identify(docs).collect():
+        if r.text and any(map(str.isalpha, r.text)):
+            label, score = plain_sizes(r.text, known)
+            assert r.lang_pred == label and r.score == pytest.approx(score, abs=2e-3), r.doc_id
+
+
+def test_every_kind_of_bad_row_gets_a_rule(spark):
+    """Twelve kinds of bad rows that no two have a rule in common, and noise that no precise rule covers."""
+    rng = random.Random(11)
+    names = [f"s{i}" for i in range(12)]
+    rows = []
+    for i in range(7200):
+        values = [rng.random() for _ in names]
+        kind = rng.randrange(24)
+        if kind < 12:
+            values[kind] = 2 + rng.random()
+        rows.append((*values, int(kind < 12 or rng.random() < 0.02), rng.randrange(3), kind))
+    fields = ", ".join(f"{n} double" for n in names)
+    labelled = quality_rules.stored(spark.createDataFrame(rows, f"{fields}, bad int, fold int, kind int"))
+    rules = quality_rules.learn(labelled, "bad", "fold", names)
+    hit = F.lit(False)
+    for rule in rules:
+        hit = hit | quality_rules._matches(rule, {n: F.col(n) for n in names})
+    kinds = {r.kind: r.part for r in labelled.groupBy("kind").agg(F.avg(hit.cast("int")).alias("part")).collect()}
+    assert all(kinds[k] > 0.95 for k in range(12)) and all(kinds[k] < 0.1 for k in range(12, 24))
 
 
 # URL rules
