@@ -8,17 +8,19 @@ prediction is rejected.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sinks.shared import stored
 from .columns import col, free_name
 
-#: Bound of the training sample: texts per language, and characters of each.
+#: Bounds of the training sample per language: texts, and characters of all of them together.
 SAMPLE_TEXTS = 512
-SAMPLE_CHARS = 512
-#: More languages than this are an error: each task holds all dictionaries.
+SAMPLE_CHARS = 1 << 18
+#: Languages that are learned, those with most rows; each task holds all dictionaries.
 MAX_LANGUAGES = 256
 #: Bytes compressed at once.
 CHUNK = 4096
@@ -26,6 +28,8 @@ LEVEL = 6
 #: Predictions are accepted if the second best size exceeds the best by this part of itself.
 MIN_MARGIN = 0.01
 UNKNOWN = "und"
+#: Languages that a warning names at most.
+NAMED = 20
 
 
 def held_out(id_column: str = "doc_id") -> Column:
@@ -33,27 +37,32 @@ def held_out(id_column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(col(id_column).cast("string")) % 3 == 1, F.lit(False))
 
 
-def training_sample(df: DataFrame, text: str, label: str, id_column: str) -> list[tuple[str, str]]:
-    """(language, text) of at most ``SAMPLE_TEXTS`` rows per language, cut to ``SAMPLE_CHARS`` characters.
+def training_sample(df: DataFrame, text: str, label: str, id_column: str, *,
+                    max_languages: int = MAX_LANGUAGES) -> list[tuple[str, str]]:
+    """(language, text) of at most ``SAMPLE_TEXTS`` whole texts and ``SAMPLE_CHARS`` characters a language.
 
-    A hash of the id chooses where in the text they begin, so all parts of texts are learned from.
-    Rows are dealt by a hash of the id, and each hand gives its first: all rows take part, and equal
-    tables give equal samples. Only ids are grouped; the chosen texts are fetched by a join.
+    Texts are dealt by a hash, and each hand gives its first: all rows take part, equal texts fill one hand,
+    and equal tables give equal samples. Whole texts are taken until the characters are used up; only the
+    last one is cut. Hashes are grouped; the chosen texts are fetched by a join. With more languages than
+    ``max_languages`` those with the fewest rows are not learned, and a warning names them.
     """
-    name = col(id_column).cast("string")
-    places = F.greatest(F.length(col(text)) - SAMPLE_CHARS + 1, F.lit(1))
-    start = (F.pmod(F.xxhash64(F.lit(1), name), places) + 1).cast("int")
-    rows = df.select(col(label).alias("label"), F.xxhash64(name).alias("h"),
-                     F.substring(col(text), start, F.lit(SAMPLE_CHARS)).alias("text"),
-                     (F.crc32(name) % 3 != 1).alias("use")) \
+    rows = df.select(col(label).cast("string").alias("label"), F.xxhash64(col(text)).alias("h"), F.length(col(text)).alias("chars"),
+                     col(text).alias("text"), (F.crc32(col(id_column).cast("string")) % 3 != 1).alias("use")) \
         .filter("use AND label IS NOT NULL AND text <> ''")
-    chosen = rows.groupBy("label", F.pmod("h", F.lit(SAMPLE_TEXTS)).alias("hand")).agg(F.min("h").alias("h"))
-    picked = rows.join(chosen.select("label", "h"), ["label", "h"])
-    one_each = picked.groupBy("label", "h").agg(F.min("text").alias("text"))
-    found = one_each.orderBy("label", "h").limit(SAMPLE_TEXTS * MAX_LANGUAGES + 1).collect()
-    if len({r.label for r in found}) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages; raise MAX_LANGUAGES")
-    return [(r.label, r.text) for r in found]
+    hands = stored(rows.groupBy("label", F.pmod("h", F.lit(SAMPLE_TEXTS)).alias("hand")).agg(
+        F.min(F.struct("h", "chars")).alias("first"), F.count(F.lit(1)).alias("n")))
+    sizes = hands.groupBy("label").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "label")
+    known = [r.label for r in sizes.limit(max_languages + NAMED).collect()]
+    if len(known) > max_languages:
+        warnings.warn(f"languages with fewer rows than the first {max_languages} are not learned: "
+                      + ", ".join(known[max_languages:]) + " ...", stacklevel=3)
+    order = Window.partitionBy("label").orderBy("first.h")  # at most SAMPLE_TEXTS rows each
+    taken = (hands.filter(F.col("label").isin(known[:max_languages]))
+             .withColumn("before", F.sum("first.chars").over(order) - F.col("first.chars")).filter(F.col("before") < SAMPLE_CHARS)
+             .select("label", "first.h", "before"))
+    cut = F.substring("text", F.lit(1), (F.lit(SAMPLE_CHARS) - F.col("before")).cast("int"))
+    picked = rows.join(stored(taken), ["label", "h"]).groupBy("label", "h").agg(F.min(cut).alias("text"))
+    return [(r.label, r.text) for r in picked.orderBy("label", "h").collect()]
 
 
 def _plain(text: str) -> bytes:
@@ -97,16 +106,18 @@ class Classifier:
 
 
 def identify(df: DataFrame, text: str = "text", *, label: str = "lang", id_column: str = "doc_id",
-             train: DataFrame | None = None, min_margin: float = MIN_MARGIN) -> DataFrame:
+             train: DataFrame | None = None, min_margin: float = MIN_MARGIN,
+             max_languages: int = MAX_LANGUAGES) -> DataFrame:
     """``df`` with ``lang_pred``, ``score`` (0 to 1) and ``accepted``.
 
     Learns from text and label of rows of ``train`` (else ``df``) whose label is known and whose
     ``crc32(id as text) mod 3`` is not 1. A NULL text, one without a letter, or no training data at all
-    gives ``und``, score 0, not accepted. Of equal sizes the alphabetically first language wins. A column
+    gives ``und``, score 0, not accepted. Of more than ``max_languages`` languages those with most rows are
+    learned. Of equal sizes the alphabetically first language wins. A column
     of ``df`` that has one of these names is kept, and the new one gets underscores before its name.
     """
-    known = dictionaries(training_sample(df if train is None else train, text, label, id_column))
-    shared = df.sparkSession.sparkContext.broadcast(known)  # MAX_LANGUAGES * SAMPLE_TEXTS * SAMPLE_CHARS at most
+    known = dictionaries(training_sample(df if train is None else train, text, label, id_column, max_languages=max_languages))
+    shared = df.sparkSession.sparkContext.broadcast(known)  # max_languages * SAMPLE_CHARS characters at most
     names = [free_name(df, n) for n in ("lang_pred", "score", "accepted")]
     at = df.columns.index(text)
 
