@@ -33,7 +33,7 @@ INSIDE = 100
 #: Bits of the bitmap of frequent pairs: 16 MB, however many pairs there are.
 BITS = 1 << 27
 #: Bytes of text that a task works on at once, but for the rest of the last text; distinct words that it remembers.
-CHUNK, REMEMBERED = 1 << 22, 1 << 19
+CHUNK, REMEMBERED = 1 << 21, 1 << 18
 #: What the top is taken from in a first step, so that a language with most candidates isn't sorted in one task.
 SALTS = 64
 
@@ -87,26 +87,27 @@ class _Words:
 
 
 def _chunks(batches: Iterator) -> Iterator:
-    """(language, words, numbers) of parts of the batches' texts; a text's pieces stay together."""
+    """(language, words, numbers) of parts of the texts, a language at a time; a text's pieces stay together.
+
+    Each language holds less than ``CHUNK`` bytes and a text back.
+    """
     import pyarrow as pa
 
-    words = _Words()
+    words, texts, sizes = _Words(), {}, {}
     for batch in batches:
-        by_lang: dict[str, list[bytes]] = {}
-        sizes: dict[str, int] = {}
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-            if text:
-                by_lang.setdefault(lang, []).append(text)
-                sizes[lang] = sizes.get(lang, 0) + len(text)
-                if sizes[lang] > CHUNK:
-                    yield lang, words, words.numbers(by_lang.pop(lang))
-                    sizes[lang] = 0
-                    if len(words.texts) > REMEMBERED:
-                        words = _Words()
-        for lang, texts in by_lang.items():
-            yield lang, words, words.numbers(texts)
-        if len(words.texts) > REMEMBERED:
-            words = _Words()
+        for start in range(0, batch.num_rows, 256):
+            part = batch.slice(start, 256)
+            for lang, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist()):
+                if text:
+                    texts.setdefault(lang, []).append(text)
+                    sizes[lang] = sizes.get(lang, 0) + len(text)
+                    if sizes[lang] > CHUNK:
+                        sizes[lang] = 0
+                        yield lang, words, words.numbers(texts.pop(lang))
+                        if len(words.texts) > REMEMBERED:
+                            words = _Words()
+    for lang, rest in texts.items():
+        yield lang, words, words.numbers(rest)
 
 
 def _pairs(batches: Iterator) -> Iterator:
@@ -167,8 +168,9 @@ def _frequent_pairs(rows: DataFrame, least: int) -> bytes:
     hashes = rows.mapInArrow(_pairs, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     # Spark's bucket n holds the values from (n - 1) * 32768 + 1 to n * 32768, the lowest at its first bit.
     place = F.col("hash").bitwiseAND(F.lit(BITS - 1)) + 1
-    parts = hashes.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()  # BITS / 32768 rows of 4 KB at most
+    # Places are dealt by their bucket before the buckets are built: a bucket of 4 KB is made once, not per task.
+    dealt = hashes.select(F.bitmap_bucket_number(place).alias("part"), F.bitmap_bit_position(place).alias("bit")).repartition("part")
+    parts = dealt.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()  # BITS / 32768 rows of 4 KB at most
     found = bytearray(BITS // 8)
     for r in parts:
         found[(r.part - 1) * 4096:r.part * 4096] = r.bits
