@@ -15,6 +15,13 @@ from ..operators.cleaning import clean_observations
 from ..schema import SEASONS, UNIT_TYPES, Rules, require_columns
 
 LIST, OBJECT = "array<variant>", "map<string,variant>"
+_INFO = "struct<area_ha: double, count: bigint, quality: string>"
+_YEARS = f"array<struct<year: int, seasons: struct<{', '.join(f'{s}: {_INFO}' for s in SEASONS)}>>>"
+#: The usual shape of a series, and where the reader notes a document that has another one.
+TYPED = f"timeseries {_YEARS}, data struct<timeseries: {_YEARS}>, __other string"
+#: What the typed reader would take for something else: JSON null (absent), numbers that JSON does not have,
+#: escapes, and a quality that is no text.
+UNUSUAL = r'null|NaN|Infinity|\\|"quality"\s*:\s*[^"\s]'
 
 
 def documents_from(text: DataFrame) -> DataFrame:
@@ -29,7 +36,12 @@ def read_documents(spark: SparkSession, path: str, *, one_per_line: bool = False
 
 
 def _parsed(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
-    """(__id, __doc) with the document as VARIANT, NULL if it is no JSON at all.
+    """(__id, __doc) with the document as VARIANT, NULL if it is no JSON at all."""
+    return df.select(F.col(id_col).alias("__id"), _parse(df, F.col(json_col)).alias("__doc"))
+
+
+def _parse(df: DataFrame, text: Column) -> Column:
+    """A document as VARIANT, NULL if it is no JSON at all.
 
     Of a key that is repeated in an object the last value counts, as in most JSON readers. Spark has a
     session setting for it, which is switched on here and stays on: plans read it when they are run. A
@@ -37,9 +49,7 @@ def _parsed(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
     as text.
     """
     df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    text = F.col(json_col)
-    return df.select(F.col(id_col).alias("__id"),
-                     F.coalesce(F.try_parse_json(text), F.from_json(text, "variant")).alias("__doc"))
+    return F.coalesce(F.try_parse_json(text), F.from_json(text, "variant"))
 
 
 def _get(v: Column, path: str, kind: str) -> Column:
@@ -115,25 +125,74 @@ def _years(df: DataFrame, json_col: str, id_col: str) -> DataFrame:
     return years.filter(F.col("year").isNotNull() & (strip(F.col("__id")) != ""))
 
 
+def _typed(text: Column) -> Column:
+    """The document by the usual schema; ``__other`` is NULL if every value in it had its type."""
+    return F.from_json(text, TYPED, {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__other", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"})
+
+
+def _usual(text: Column, typed: Column) -> Column:
+    """Whether the typed reader has read the document as the general one would."""
+    found = typed["timeseries"].isNotNull() | typed["data"]["timeseries"].isNotNull()
+    plain = F.ltrim(text).startswith("{") & F.rtrim(text).endswith("}") & ~text.rlike(UNUSUAL)
+    return F.coalesce(typed["__other"].isNull() & found & plain, F.lit(False))
+
+
+def _cell(year: Column, season: Column, area: Column, count: Column, quality: Column) -> Column:
+    return F.struct(year.alias("year"), season.alias("season"), area.alias("__area"), count.alias("__n"), quality.alias("__q"))
+
+
+def _typed_cells(typed: Column) -> Column:
+    """The cells of a document of the usual shape."""
+    def cells(entry: Column) -> Column:
+        infos = F.array(*[F.struct(F.lit(s).alias("season"), entry["seasons"][s].alias("info")) for s in SEASONS])
+        present = F.filter(infos, lambda x: x["info"].isNotNull() & entry["year"].between(1900, 2100))
+        return F.transform(present, lambda x: _cell(
+            entry["year"], x["season"], F.coalesce(x["info"]["area_ha"], F.lit(0.0)),
+            F.greatest(F.coalesce(x["info"]["count"], F.lit(0)), F.lit(0)), F.coalesce(x["info"]["quality"], F.lit("good"))))
+
+    return F.flatten(F.transform(F.coalesce(typed["timeseries"], typed["data"]["timeseries"]), cells))
+
+
+def _general_cells(doc: Column) -> Column:
+    """The cells of a document of any shape."""
+    def once(value: Column, use) -> Column:
+        return F.get(F.transform(F.array(value), use), 0)
+
+    def cell(year: Column, season: Column, info: Column) -> Column:
+        quality = _field(info, "quality")
+        return _cell(year, season, _number(_field(info, "area_ha")), _count(_field(info, "count")),
+                     F.when(quality.isNotNull(), _text(quality)).otherwise(F.lit("good")))
+
+    def cells(entry: Column) -> Column:
+        found = F.filter(F.map_entries(_get(entry, "$.seasons", OBJECT)),
+                         lambda x: x["key"].isin(*SEASONS) & _kind(x["value"]).startswith("OBJECT"))
+        return once(_year(_field(entry, "year")), lambda year: F.filter(
+            F.transform(found, lambda x: cell(year, x["key"], x["value"])), lambda x: x["year"].isNotNull()))
+
+    # An entry of another shape has no cells, and flatten() gives NULL for a list with a NULL in it.
+    return F.flatten(F.filter(F.transform(_series(doc), cells), lambda x: x.isNotNull()))
+
+
 def flatten_timeseries(df: DataFrame, json_col: str = "document", id_col: str = "location_id") -> DataFrame:
     """One observation per year and season of each document.
 
     Entries without a usable year, unknown seasons and values of the wrong shape are skipped. An
     unusable area or count becomes 0. Areas that are NaN (here NULL) or out of range are kept: cleaning
     removes them.
+
+    A document of the usual shape is read once by its schema. Only one that the schema does not fit exactly
+    is read to VARIANT and taken apart value by value.
     """
-    cells = (_years(df, json_col, id_col)
-             .select("__id", "year", F.explode_outer("__seasons").alias("season", "__info"))
-             .filter(F.col("season").isin(*SEASONS) & _kind(F.col("__info")).startswith("OBJECT")))
-    info = F.col("__info")
-    fields = computed_once(cells, {f"__{n}": _field(info, n) for n in ("area_ha", "count", "quality")})
-    quality = F.when(F.col("__quality").isNotNull(), _text(F.col("__quality"))).otherwise(F.lit("good"))
-    # Cleaning asks for the values several times; they are computed before it can copy them.
-    values = computed_once(fields, {"__area": _number(F.col("__area_ha")), "__n": _count(F.col("__count")), "__q": quality})
-    return values.select(
-        strip(F.col("__id")).alias("location_id"), "year", "season",
-        F.col("__area").alias("water_area_ha"), F.col("__n").alias("water_body_count"), F.col("__q").alias("data_quality"),
-    )
+    require_columns(df, json_col, id_col)
+    text = F.col(json_col)
+    read = computed_once(df.select(F.col(id_col).alias("__id"), text.alias("__text")), {"__typed": _typed(F.col("__text"))})
+    usual = _usual(F.col("__text"), F.col("__typed"))
+    cells = F.when(usual, _typed_cells(F.col("__typed"))).otherwise(_general_cells(_parse(df, F.col("__text"))))
+    values = read.filter(strip(F.col("__id")) != "").select(strip(F.col("__id")).alias("location_id"), F.inline_outer(cells))
+    return values.filter(F.col("year").isNotNull()).select(
+        "location_id", "year", "season", F.col("__area").alias("water_area_ha"), F.col("__n").alias("water_body_count"),
+        F.col("__q").alias("data_quality"))
 
 
 def load_observations(df: DataFrame, json_col: str = "document", id_col: str = "location_id",

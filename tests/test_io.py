@@ -280,3 +280,29 @@ def test_working_tables_are_deleted_and_kept_ones_stay(spark):
     for gone in (inner, deepest, middle):
         with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
             gone.count()
+
+
+def test_typed_and_general_readers_agree(spark, monkeypatch):
+    """Documents near the usual shape, each with one thing changed, read by either path."""
+    info = '{"area_ha": 10.25, "count": 3, "quality": "fair"}'
+    seasons = ['"winter": ' + info, '"monsoon": {}', '"harvest": ' + info, '"winter": {"count": 1}', '"summer": 5', '"summer": null',
+               '"perennial": {"area_ha": 1e3, "count": -4, "other": [1, {"a": 2}]}', '"summer": {"area_ha": "7", "count": 2.9}',
+               '"winter": {"area_ha": null, "quality": null}', '"winter": {"area_ha": NaN}', '"winter": {"quality": 5}',
+               '"winter": {"quality": "a\\\\nb"}', '"winter": {"area_ha": 12345678901234567890.5, "count": 99999999999999999999}',
+               '"winter": {"quality": {"x": 1}}', '"winter": []', '"winter": {"area_ha": true, "count": "4"}', '"winter": {"quality": ""}',
+               '"winter": {"area_ha": 3}, "winter": {"area_ha": 4}', '"WINTER": ' + info]
+    years = ["2020", "1899", '"2021"', "2020.0", "true", "null", "99999999999", "[2020]"]
+    entries = [f'{{"year": 2020, "seasons": {{{s}}}}}' for s in seasons]
+    entries += [f'{{"year": {y}, "seasons": {{"winter": {info}}}}}' for y in years]
+    entries += ['{"seasons": {}}', '{"year": 2020}', '{"year": 2020, "seasons": []}', "5", "null", '{"year": 2020, "year": 2021, "seasons": {"winter": {}}}']
+    bodies = [root % e for e in entries for root in ('{"timeseries": [%s]}', '{"data": {"timeseries": [%s]}}')]
+    usual = f'{{"year": 2022, "seasons": {{"winter": {info}, "summer": {{}}}}}}'
+    bodies += [f'{{"timeseries": [{e}, {usual}]}}' for e in entries]
+    bodies += [f"[{usual}]", f'{{"data": [{usual}]}}', f'{{"timeseries": null, "data": {{"timeseries": [{usual}]}}}}', f'{{"timeseries": [{usual}]', "{}",
+               f' {{"timeseries": [{usual}]}} ', f'{{"timeseries": [{usual}]}} x', f'{{"data": {{"timeseries": [{usual}]}}, "timeseries": []}}',
+               f"{{'timeseries': [{usual}]}}", f'{{"timeseries": [{usual}], "timeseries": []}}', '{"timeseries": {"a": 1}}']
+    df = spark.createDataFrame([(f"V{i}", b) for i, b in enumerate(bodies)], "location_id string, document string")
+    typed = sorted(map(tuple, documents.flatten_timeseries(df).collect()), key=repr)
+    monkeypatch.setattr(documents, "UNUSUAL", "")
+    general = sorted(map(tuple, documents.flatten_timeseries(df).collect()), key=repr)
+    assert repr(typed) == repr(general) and len(typed) > 60
