@@ -139,3 +139,8 @@ def normalize_columns(df: DataFrame) -> DataFrame:
 def coerce_numeric(df: DataFrame, *names: str) -> DataFrame:
     """Replace the named columns by their lenient DOUBLE form."""
     return df.withColumns({n: to_number(df, n) for n in names})
+
+
+def capitalize(text: Column) -> Column:
+    """The first character in upper case and all others in lower case, as labels of charts have it."""
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, 2, 2**31 - 1)))

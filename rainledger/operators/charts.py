@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.coerce import known_flag, label, not_negative, to_number
@@ -19,6 +19,8 @@ DASHBOARD_SEASONS = ("perennial", "winter", "monsoon")
 BINS = 30
 #: A list of at most so many names is broadcast.
 BROADCAST_ROWS = 10_000
+#: Parts of a group from which its first rows are taken in a first step.
+SALTS = 64
 
 
 def _mean(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
@@ -93,14 +95,59 @@ def histogram(df: DataFrame, value: str, *, by: str | None = None, bins: int = B
                          (low + (F.col("bin") + 1) * width).alias("bin_end"), "records")
 
 
-def body_count_histogram(df: DataFrame, season: str | None = None, *, bins: int = BINS) -> DataFrame:
+#: Steps of round edges are these times a power of ten.
+LADDER = (1, 2, 5)
+
+
+def _round_edges(low: Column, high: Column, whole: Column, bins: int) -> Column:
+    """(start, step): the smallest step on the ladder with which at most ``bins`` bins hold [low, high].
+
+    Edges are multiples of the step. Whole numbers have steps of at least 1 and edges half a unit lower,
+    so that each lies inside a bin.
+    """
+    shift = F.when(whole, 0.5).otherwise(0.0)
+    decade = F.floor(F.log10(F.greatest((high - low) / bins, F.lit(1e-300))))
+    # Rounding may put the logarithm into the decade above; the ladder begins one below.
+    steps = F.array(*[F.lit(float(m)) * F.pow(F.lit(10.0), decade + k) for k in range(-1, 3) for m in LADDER])
+    steps = F.when(high > low, F.transform(steps, lambda s: F.when(whole, F.greatest(s, F.lit(1.0))).otherwise(s))) \
+        .otherwise(F.array(F.lit(1.0)))
+
+    def start(step: Column) -> Column:
+        return F.floor(low / step) * step - shift
+
+    fitting = F.filter(steps, lambda step: F.floor((high - start(step)) / step) < bins)
+    return F.get(F.transform(fitting, lambda step: F.struct(start(step).alias("start"), step.alias("step"))), 0)
+
+
+def round_histogram(df: DataFrame, value: str, *, by: str | None = None, bins: int = BINS,
+                    only: str | None = None) -> DataFrame:
+    """Rows per bin with round edges (steps of 1, 2 or 5 times a power of ten), per value of ``by``.
+
+    At most ``bins`` bins hold all finite values; bins without rows are absent. Whole numbers, whatever the
+    column's type, get edges at halves. ``only`` restricts the rows to one value of ``by`` first. A column of
+    one value has one bin of width 1.
+    """
+    require_columns(df, value, *([by] if by else []))
+    keys = [by] if by else []
+    rows = df.select(*keys, to_number(df, value).cast("double").alias("v")).filter(F.abs("v") < float("inf"))
+    if by:
+        rows = rows.filter(F.col(by) == only) if only is not None else rows.filter(F.col(by).isNotNull())
+    ends = rows.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.bool_and(F.col("v") == F.floor("v")).alias("whole"))
+    edges = ends.select(_round_edges(F.col("low"), F.col("high"), F.col("whole"), bins).alias("edges")).scalar()
+    start, step = edges["start"], edges["step"]
+    counts = rows.groupBy(*keys, F.floor((F.col("v") - start) / step).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("records"))
+    return counts.select(*keys, "bin", (start + F.col("bin") * step).alias("bin_start"),
+                         (start + (F.col("bin") + 1) * step).alias("bin_end"), "records")
+
+
+def body_count_histogram(df: DataFrame, season: str | None = None, *, bins: int = BINS, round_edges: bool = False) -> DataFrame:
     """Distribution of body counts per season on common bins."""
-    return histogram(df, COUNT, by=SEASON, bins=bins, only=season)
+    return (round_histogram if round_edges else histogram)(df, COUNT, by=SEASON, bins=bins, only=season)
 
 
-def area_histogram(df: DataFrame, *, bins: int = BINS) -> DataFrame:
+def area_histogram(df: DataFrame, *, bins: int = BINS, round_edges: bool = False) -> DataFrame:
     """Distribution of the measure over all rows."""
-    return histogram(df, AREA, bins=bins)
+    return (round_histogram if round_edges else histogram)(df, AREA, bins=bins)
 
 
 def heatmap_long(df: DataFrame, metric: str = AREA) -> DataFrame:
@@ -149,10 +196,47 @@ def box_stats(df: DataFrame, by: str = SEASON, value: str = AREA, *, years: tupl
     )
 
 
-def impact_scatter(df: DataFrame, flag: str = FLAG, impact: str = "crop_yield_ton_per_ha") -> DataFrame:
-    """Measure against impact metric, with the intervention status as text."""
+def impact_scatter(df: DataFrame, flag: str = FLAG, impact: str = "crop_yield_ton_per_ha", *, n: int | None = None) -> DataFrame:
+    """Measure against impact metric, with the intervention status as text.
+
+    All rows, or of each status the ``n`` with the smallest hash: the same points on each run, and a sample
+    of the status whatever the number of rows.
+    """
     require_columns(df, flag, impact, AREA, LOCATION, YEAR)
-    return df.select(LOCATION, YEAR, AREA, impact, label(known_flag(df, flag), CHART_LABELS).alias("intervention_status"))
+    status = "intervention_status"
+    points = df.select(LOCATION, YEAR, AREA, impact, label(known_flag(df, flag), CHART_LABELS).alias(status))
+    if n is None:
+        return points
+    # Four decimals of the measures tell rows apart; rows that agree in all of this are interchangeable.
+    digits = [F.floor(to_number(points, c) * 10_000).cast("string") for c in (AREA, impact)]
+    hashed = points.withColumn("__hash", F.md5(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in (
+        F.col(LOCATION), F.col(YEAR), *digits)])))
+    order = ["__hash", LOCATION, YEAR, AREA, impact]
+    # The smallest of a status are among the smallest of each of its parts, so no task sorts a whole status.
+    part = F.pmod(F.xxhash64("__hash"), F.lit(SALTS))
+    few = hashed.withColumn("__at", F.row_number().over(Window.partitionBy(status, part).orderBy(*order))).filter(F.col("__at") <= n)
+    few = few.withColumn("__at", F.row_number().over(Window.partitionBy(status).orderBy(*order))).filter(F.col("__at") <= n)
+    return few.drop("__hash", "__at")
+
+
+def impact_grid(df: DataFrame, flag: str = FLAG, impact: str = "crop_yield_ton_per_ha", *, cells: int = 40) -> DataFrame:
+    """Rows per status and cell of an even grid over measure and impact: the whole scatter at a fixed size.
+
+    Rows without one of the two are in no cell. Cells without rows are absent.
+    """
+    points = impact_scatter(df, flag, impact)
+    rows = points.select("intervention_status", to_number(points, AREA).alias("x"), to_number(points, impact).alias("y")) \
+        .filter((F.abs("x") < float("inf")) & (F.abs("y") < float("inf")))
+    ends = rows.agg(*[F.struct(F.min(c).alias("low"), ((F.max(c) - F.min(c)) / cells).alias("width")).alias(c) for c in ("x", "y")])
+    ends = ends.select(F.struct("x", "y").alias("ends")).scalar()
+
+    def cell(c: str) -> Column:
+        share = F.coalesce(F.try_divide(F.col(c) - ends[c]["low"], ends[c]["width"]), F.lit(0.0))
+        return F.least(F.floor(share), F.lit(cells - 1)).cast("int")
+
+    counts = rows.groupBy("intervention_status", cell("x").alias("x_cell"), cell("y").alias("y_cell")).agg(F.count(F.lit(1)).alias("records"))
+    return counts.select("intervention_status", "x_cell", "y_cell", *[
+        (ends[c]["low"] + F.col(f"{c}_cell") * ends[c]["width"]).alias(f"{c}_start") for c in ("x", "y")], "records")
 
 
 def top_locations(df: DataFrame, k: int = 5) -> DataFrame:

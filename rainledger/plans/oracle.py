@@ -176,6 +176,18 @@ def histogram(value: str, by: str | None, rows: str = "water") -> str:
             count(*) AS records FROM b GROUP BY {key}bin"""
 
 
+def round_histogram(value: str, by: str | None, half: float, least: float) -> str:
+    """``half``: how far edges lie below multiples of the step, which is ``least`` or more."""
+    key = f"{by}, " if by else ""
+    return f"""WITH e AS (SELECT CAST(min({value}) AS DOUBLE) AS low, CAST(max({value}) AS DOUBLE) AS high FROM water),
+        s AS (SELECT step, floor(low / step) * step - {half} AS start FROM e, (SELECT greatest(m * pow(10.0, k), {least}) AS step
+            FROM (VALUES (1), (2), (5)) AS a(m), range(-6, 9) AS b(k)) AS t
+            WHERE floor((high - (floor(low / step) * step - {half})) / step) < 30 ORDER BY step LIMIT 1),
+        b AS (SELECT {key}CAST(floor(({value} - start) / step) AS INT) AS bin, start, step FROM water, s)
+        SELECT {key}bin, {r('any_value(start) + bin * any_value(step)', 'bin_start')},
+            {r('any_value(start) + (bin + 1) * any_value(step)', 'bin_end')}, count(*) AS records FROM b GROUP BY {key}bin"""
+
+
 def box(where: str) -> str:
     return f"""WITH w AS (SELECT * FROM water WHERE {where}),
         q AS (SELECT season, count(*) AS records, quantile_cont(water_area_ha, 0.25) AS q1,
@@ -373,6 +385,21 @@ ORACLE: dict[str, str] = {
         SELECT pond_presence, CASE WHEN min(year) < max(year) THEN regr_slope(water_area_ha, year) ELSE 0.0 END AS s FROM text_flag
         WHERE pond_presence IS NOT NULL GROUP BY pond_presence, location_id, season) GROUP BY pond_presence""",
     "histogram_by_season": histogram("water_body_count", "season"),
+    "histogram_round_by_season": round_histogram("water_body_count", "season", 0.5, 1.0),
+    "area_histogram_round": round_histogram("water_area_ha", None, 0.0, 0.0),
+    "impact_scatter_sample": f"""SELECT location_id, year, {same('water_area_ha', 'crop_yield_ton_per_ha')}, intervention_status FROM (
+        SELECT *, CASE pond_presence WHEN 0 THEN 'Without Intervention' WHEN 1 THEN 'With Intervention' END AS intervention_status
+        FROM merged) QUALIFY row_number() OVER (PARTITION BY intervention_status ORDER BY md5(concat_ws('|', location_id, year,
+            CAST(floor(water_area_ha * 10000) AS BIGINT), coalesce(CAST(CAST(floor(crop_yield_ton_per_ha * 10000) AS BIGINT) AS VARCHAR), ''))),
+            location_id, year, water_area_ha, crop_yield_ton_per_ha) <= 50""",
+    "impact_grid": f"""WITH p AS (SELECT CASE pond_presence WHEN 0 THEN 'Without Intervention' WHEN 1 THEN 'With Intervention' END
+            AS intervention_status, water_area_ha AS x, crop_yield_ton_per_ha AS y FROM merged WHERE crop_yield_ton_per_ha IS NOT NULL),
+        e AS (SELECT min(x) AS lx, (max(x) - min(x)) / 40 AS wx, min(y) AS ly, (max(y) - min(y)) / 40 AS wy FROM p),
+        c AS (SELECT intervention_status, CAST(least(floor((x - lx) / wx), 39) AS INT) AS x_cell,
+            CAST(least(floor((y - ly) / wy), 39) AS INT) AS y_cell, e.* FROM p, e)
+        SELECT intervention_status, x_cell, y_cell, {r('any_value(lx) + x_cell * any_value(wx)', 'x_start')},
+            {r('any_value(ly) + y_cell * any_value(wy)', 'y_start')}, count(*) AS records FROM c GROUP BY intervention_status, x_cell, y_cell""",
+    "capitalize": """SELECT season, upper(season[1]) || lower(season[2:]) AS label, count(*) AS records FROM water GROUP BY season""",
     "heatmap_pivot": "SELECT location_id, " + ", ".join(
         r(f"avg(water_area_ha) FILTER (year = {y})", f'"{y}"') for y in range(1995, 2002))
         + " FROM water GROUP BY location_id",

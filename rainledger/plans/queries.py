@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.coerce import coerce_numeric, normalize_columns, normalize_flag, split_list
+from ..functions.coerce import capitalize, coerce_numeric, normalize_columns, normalize_flag, split_list
 from ..operators import charts, cleaning, merging, summaries, trends
 from ..sinks.shared import shared_folder
 from ..sinks.table import ordered, write_table
@@ -196,12 +196,17 @@ QUERIES: dict[str, Callable[[Views], DataFrame]] = {
     "comparison_text_flag": lambda v: charts.comparison_series(v.merged_text_flag),
     "trend_text_flag": lambda v: trends.trend_by_intervention(v.merged_text_flag),
     "histogram_by_season": lambda v: charts.body_count_histogram(v.water),
+    "histogram_round_by_season": lambda v: charts.body_count_histogram(v.water, round_edges=True),
+    "area_histogram_round": lambda v: charts.area_histogram(v.water, round_edges=True),
     "heatmap_pivot": lambda v: charts.heatmap_pivot(v.water),
     "heatmap_long": lambda v: charts.heatmap_long(v.water, "water_body_count"),
     "box_stats_all_years": lambda v: charts.box_stats(v.stored(v.water, "season", "year", "water_area_ha")),
     "box_stats": lambda v: charts.box_stats(
         v.stored(v.water, "season", "year", "water_area_ha"), years=(1996, 2000)),
     "impact_scatter": lambda v: charts.impact_scatter(v.merged),
+    "impact_scatter_sample": lambda v: charts.impact_scatter(v.merged, n=50),
+    "impact_grid": lambda v: charts.impact_grid(v.merged),
+    "capitalize": lambda v: v.water.groupBy("season", capitalize(F.col("season")).alias("label")).agg(F.count(F.lit(1)).alias("records")),
     "top_locations": lambda v: charts.top_locations(v.water),
     "dashboard_locations": lambda v: charts.dashboard_locations(v.water),
     "dashboard_seasonal": lambda v: charts.dashboard_seasonal(_grain_of_top(v)),

@@ -1,6 +1,7 @@
 """Edge cases of joins, trends, summaries and chart tables."""
 
 import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -211,3 +212,42 @@ def test_years_and_flags_as_text(spark):
     assert compared == {0: 3, 1: 2}
     slopes = {r.pond_presence: r.mean_slope_ha_per_year for r in trends.trend_by_intervention(df).collect()}
     assert slopes == {1: 2.0, 0: 0.0}
+
+
+def plain_round_bins(values, bins):
+    """Start and step by trying every step of the ladder."""
+    low, high, whole = min(values), max(values), all(v == math.floor(v) for v in values)
+    shift = 0.5 if whole else 0.0
+    if low == high:
+        return math.floor(low) - shift, 1.0
+    for step in sorted(m * 10.0 ** k for k in range(-9, 9) for m in (1, 2, 5)):
+        start = math.floor(low / step) * step - shift
+        if (not whole or step >= 1) and math.floor((high - start) / step) < bins:
+            return start, step
+
+
+@pytest.mark.parametrize("values, bins", [
+    ([1, 2, 3, 7], 30), ([0, 59], 30), ([0, 60], 30), ([3, 3, 3], 30), ([-7, 1000], 10), ([0.5, 99.75, 3.25], 30), ([2.5], 30),
+    ([0.001, 0.0019], 7), ([1e3, 1e4], 9), ([0.0, 3e7, 1e-3], 30), ([-0.25, 0.25], 2), ([1.0, 2.0, 30.0], 30), ([10, 20, 30, 40], 3)])
+def test_round_bins(spark, values, bins):
+    start, step = plain_round_bins(values, bins)
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),), (float("inf"),)], "water_area_ha double")
+    got = {r.bin: (r.bin_start, r.bin_end, r.records) for r in charts.area_histogram(df, bins=bins, round_edges=True).collect()}
+    want = Counter(math.floor((v - start) / step) for v in values)
+    assert {b: n for b, (_, _, n) in got.items()} == want and max(want) < bins
+    for b, (low, high, _) in got.items():
+        assert (low, high) == pytest.approx((start + b * step, start + (b + 1) * step))
+
+
+def test_scatter_sample_and_grid(spark):
+    rows = [(f"v{i % 7}", 2000 + i % 5, float(i), float(i * i % 101), i % 3 if i % 3 < 2 else None) for i in range(900)]
+    df = spark.createDataFrame(rows, "location_id string, year int, water_area_ha double, crop_yield_ton_per_ha double, pond_presence int")
+    every, some = charts.impact_scatter(df), charts.impact_scatter(df, n=40)
+    assert every.count() == 900 and some.columns == every.columns
+    points = sorted(map(tuple, some.collect()), key=repr)
+    assert Counter(p[-1] for p in points) == {"With Intervention": 40, "Without Intervention": 40, None: 40}
+    assert points == sorted(map(tuple, charts.impact_scatter(df.repartition(13), n=40).collect()), key=repr)
+    assert set(points) <= set(map(tuple, every.collect()))
+    grid = charts.impact_grid(df, cells=5).collect()
+    assert sum(r.records for r in grid) == 900 and all(0 <= r.x_cell < 5 and 0 <= r.y_cell < 5 for r in grid)
+    assert charts.impact_grid(df.limit(0)).count() == 0 and charts.impact_scatter(df, n=1000).count() == 900
