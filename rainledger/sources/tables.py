@@ -26,9 +26,12 @@ def _file_groups(spark: SparkSession, path: str, encoding: str, fallback: str |
     if len(files) < 2 and fallback is None:
         return [([path], encoding)]
     lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("id"))
-    seen = lines.groupBy("file").agg(F.min("id").alias("id"), F.bool_and(F.is_valid_utf8("value")).alias("valid"))
-    first = lines.join(seen, ["file", "id"]).select("file", "valid", F.hex(F.col("value").cast("binary")).alias("header"))
+        F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("id"),
+        F.col("_metadata.file_block_start").alias("at"))
+    # Only lines of a file's first split can be its header; both answers come from one reading.
+    header = F.min_by(F.when(F.col("at") == 0, F.col("value").cast("binary")), F.when(F.col("at") == 0, F.col("id")))
+    valid = F.bool_and(F.is_valid_utf8("value")) if fallback is not None else F.lit(True)
+    first = lines.groupBy("file").agg(F.hex(header).alias("header"), valid.alias("valid"))
     groups: dict[tuple[str, str], list[str]] = {}
     for r in first.orderBy("file").collect():
         known = encoding if r.valid or fallback is None else fallback
