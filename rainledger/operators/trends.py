@@ -22,7 +22,7 @@ def _present(keys: Sequence[str]) -> Column:
     return out
 
 
-def _valid_rows(df: DataFrame, group_by: Sequence[str], value: str, time: str) -> DataFrame:
+def valid_rows(df: DataFrame, group_by: Sequence[str], value: str, time: str) -> DataFrame:
     """Keys, and value and year where the value is a number >= 0 (both NULL elsewhere)."""
     if not group_by:
         raise ValueError("group_by cannot be empty")
@@ -50,12 +50,16 @@ def _usable() -> Column:
     return (F.col("data_points") > 0) & (F.col("__no_year") == 0)
 
 
-def _quality() -> Column:
-    spread, n = F.col("__first") < F.col("__last"), F.col("data_points")
-    return (F.when(spread & (n >= 3), "good").when(spread & (n == 2), "minimal_data")
+def trend_quality(first: Column, last: Column, n: Column) -> Column:
+    """How far a slope can be trusted, from the first and the last year and the number of values."""
+    return (F.when((first < last) & (n >= 3), "good").when((first < last) & (n == 2), "minimal_data")
             .otherwise("insufficient_data"))
 
 
+def _quality() -> Column:
+    return trend_quality(F.col("__first"), F.col("__last"), F.col("data_points"))
+
+
 def _slope() -> Column:
     return F.when(F.col("__first") < F.col("__last"), F.coalesce("__slope", F.lit(0.0))).otherwise(F.lit(0.0))
 
@@ -69,7 +73,7 @@ def water_trends(df: DataFrame, group_by: Sequence[str] = GROUP_BY, *, value: st
     """
     if strict:
         require_rows(df)
-    rows = _valid_rows(df, group_by, value, time)
+    rows = valid_rows(df, group_by, value, time)
     stats = aggregate_with_quantiles(
         rows, group_by,
         [
@@ -97,7 +101,7 @@ def water_trends(df: DataFrame, group_by: Sequence[str] = GROUP_BY, *, value: st
 def trend_slopes(df: DataFrame, group_by: Sequence[str] = GROUP_BY, *, value: str = "water_area_ha",
                  time: str = "year") -> DataFrame:
     """Slope and quality only: mergeable aggregates, one shuffle of partial sums."""
-    stats = _valid_rows(df, group_by, value, time).groupBy(*group_by).agg(*_slope_aggregates())
+    stats = valid_rows(df, group_by, value, time).groupBy(*group_by).agg(*_slope_aggregates())
     return stats.filter(_usable()).select(
         *group_by, _slope().alias("trend_slope_ha_per_year"), _quality().alias("trend_quality"), "data_points")
 
@@ -105,7 +109,7 @@ def trend_slopes(df: DataFrame, group_by: Sequence[str] = GROUP_BY, *, value: st
 def trend_summary(df: DataFrame, group_by: Sequence[str] = GROUP_BY, *, value: str = "water_area_ha",
                   time: str = "year") -> DataFrame:
     """Groups seen, groups with a usable slope, their share in percent, and the mean slope."""
-    stats = _valid_rows(df, group_by, value, time).groupBy(*group_by).agg(*_slope_aggregates())
+    stats = valid_rows(df, group_by, value, time).groupBy(*group_by).agg(*_slope_aggregates())
     done = _usable() & _quality().isin(*SUCCESS)
     total, ok = F.count(F.lit(1)), F.count_if(done)
     return stats.agg(

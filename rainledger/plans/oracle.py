@@ -321,6 +321,10 @@ ORACLE: dict[str, str] = {
     "duplicate_keys": """SELECT count(*) AS distinct_keys, CAST(sum(n - 1) AS BIGINT) AS duplicate_rows FROM (
         SELECT o_custkey, year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY ALL)""",
     "trend_by_location_season": trend("location_id, season"),
+    "trend_incremental": "SELECT * EXCLUDE (median_water_area_ha) FROM (" + trend("location_id, season") + ")",
+    "coverage_incremental": f"""SELECT location_id, season, count(*) AS records, count(DISTINCT year) AS distinct_years,
+        max(year) - min(year) AS year_span, {r("CASE WHEN max(year) = min(year) THEN 'infinity'::DOUBLE ELSE count(DISTINCT year) / (max(year) - min(year)) END", 'data_completeness')}
+        FROM water GROUP BY location_id, season""",
     "trend_by_season": trend("season"),
     "intervention_summary": intervention("merged"),
     "intervention_summary_matched": intervention("(SELECT * FROM merged WHERE pond_presence IS NOT NULL)"),

@@ -6,11 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from rainledger import sources
-from rainledger.operators import cleaning
+from rainledger.operators import cleaning, trends
 from rainledger.plans import workflow
 from rainledger.sinks import clean_filename, ordered, stored, working_tables, write_table
 from rainledger.sources import documents
-from rainledger.streaming import landing
+from rainledger.streaming import landing, state
 
 
 def docs(spark, *bodies):
@@ -306,3 +306,54 @@ def test_typed_and_general_readers_agree(spark, monkeypatch):
     monkeypatch.setattr(documents, "UNUSUAL", "")
     general = sorted(map(tuple, documents.flatten_timeseries(df).collect()), key=repr)
     assert repr(typed) == repr(general) and len(typed) > 60
+
+
+def rounded(df):
+    return sorted((tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in df.collect()), key=repr)
+
+
+def test_state_of_batches_is_the_state_of_all_rows(spark, tmp_path):
+    rows = [(f"v{i % 5}", 1898 + i % 250 if i % 3 else 2000 + i % 9, ("winter", "summer")[i % 2], i * 1.5 if i % 11 else None) for i in range(600)]
+    rows += [(None, 2000, "winter", 1.0), ("v1", None, "winter", None), ("x", None, "winter", 3.0), ("one", 2001, "summer", 4.0)]
+    df = spark.createDataFrame(rows, "location_id string, year int, season string, water_area_ha double")
+    want = rounded(trends.water_trends(df).drop("median_water_area_ha"))
+    folder = str(tmp_path / "state")
+    with pytest.raises(ValueError):
+        state.read_state(spark, folder)
+    batches = [df.filter(F.pmod(F.hash(*df.columns), F.lit(5)) == k) for k in range(5)]
+    for number, batch in enumerate(batches):
+        state.fold_batch(batch, number, folder)
+        state.fold_batch(batch, number, folder)  # run again
+        if number in (1, 3):
+            state.compact_state(spark, folder)
+            state.fold_batch(batch, number, folder)  # run again after it became part of a sum
+    assert rounded(state.state_trends(state.read_state(spark, folder))) == want
+    assert sorted(p.name for p in (tmp_path / "state").iterdir()) == ["batch-2", "batch-3", "batch-4", "sum-1", "sum-3"]
+    state.compact_state(spark, folder)
+    state.compact_state(spark, folder)
+    assert rounded(state.state_trends(state.read_state(spark, folder))) == want
+    assert sorted(p.name for p in (tmp_path / "state").iterdir()) == ["batch-4", "sum-3", "sum-4"]
+
+
+def test_incomplete_folders_do_not_count(spark, tmp_path):
+    df = spark.createDataFrame([("a", 2000, "winter", 1.0), ("a", 2002, "winter", 3.0)], "location_id string, year int, season string, water_area_ha double")
+    folder = tmp_path / "state"
+    state.fold_batch(df, 0, str(folder))
+    want = rounded(state.state_coverage(state.read_state(spark, str(folder))))
+    assert want == [("a", "winter", 2, 2, 2, 1.0)]
+    for name in ("batch-1", "sum-0"):  # a writer that died left files without the mark of success
+        state.fold_batch(df, 5, str(tmp_path / "other"))
+        (tmp_path / "other" / "batch-5").rename(folder / name)
+        (folder / name / "_SUCCESS").unlink()
+    assert rounded(state.state_coverage(state.read_state(spark, str(folder)))) == want
+
+
+def test_trends_of_a_landing_directory(spark, tmp_path):
+    box, folder, progress = tmp_path / "landing", str(tmp_path / "state"), str(tmp_path / "p")
+    land(box, "V001.json", [entry(2020, winter={"area_ha": 1}), entry(2021, winter={"area_ha": 3})])
+    land(box, "V002.json", [entry(2020, winter={"area_ha": 5})])
+    state.keep_trends(spark, str(box), folder, progress, max_files=1).awaitTermination()
+    land(box, "V001b.json", [entry(2022, winter={"area_ha": 2})])
+    state.keep_trends(spark, str(box), folder, progress).awaitTermination()
+    got = {r.location_id: (r.data_points, r.trend_slope_ha_per_year) for r in state.state_trends(state.read_state(spark, folder)).collect()}
+    assert got == {"V001": (2, 2.0), "V002": (1, 0.0), "V001b": (1, 0.0)}
