@@ -75,11 +75,14 @@ def classify(docs: DataFrame, labels: DataFrame, levels: Sequence[str], text: st
     own = F.coalesce("good", F.lit(0))
     has = F.when(F.col("good").isNotNull(), 1).otherwise(0)
     prior = (F.lit(float(all_good)) - own + 1) / (F.lit(float(all_rows)) - has + 2)
-    out, mean = judged, (all_good + 1) / (all_rows + 2)
+    out = judged
     for n in names:
-        groups = stored(judged.filter(F.col(n).isNotNull()).groupBy(n)
-                        .agg(F.sum("good").alias(f"{n}_g"), F.count("good").alias(f"{n}_n")))
-        weight = _weight(groups, f"{n}_g", f"{n}_n", mean)
+        # The parent's share is what the rows of the group would have without it.
+        groups = stored(out.filter(F.col(n).isNotNull()).groupBy(n).agg(
+            F.sum("good").alias(f"{n}_g"), F.count("good").alias(f"{n}_n"),
+            F.avg(F.when(F.col("good").isNotNull(), prior)).alias(f"{n}_parent")))
+        weight = _weight(groups, f"{n}_g", f"{n}_n", f"{n}_parent")
+        groups = groups.drop(f"{n}_parent")
         out = stored(out.join(groups, n, "left"))
         good, size = F.coalesce(f"{n}_g", F.lit(0)) - own, F.coalesce(f"{n}_n", F.lit(0)) - has
         prior = F.when(F.col(n).isNull(), prior).otherwise((good + weight * prior) / (size + weight))
@@ -89,20 +92,19 @@ def classify(docs: DataFrame, labels: DataFrame, levels: Sequence[str], text: st
                       probability.alias("probability"), (probability >= threshold).alias("kept"))
 
 
-def _weight(groups: DataFrame, good: str, size: str, mean: float) -> float:
-    """Rows that the parent counts for, from how far the groups' shares spread beyond chance.
+def _weight(groups: DataFrame, good: str, size: str, parent: str) -> float:
+    """Rows that the parent counts for, from how far groups' shares spread around their parents' beyond chance.
 
-    For a Beta prior with this mean and weight w, the squared distance of a group's share from the mean
-    is expected to be mean * (1 - mean) * (1 / n + (1 - 1 / n) / (w + 1)).
+    For a Beta prior with mean m and weight w, the squared distance of a group's share from m is expected to
+    be m * (1 - m) * (1 / n + (1 - 1 / n) / (w + 1)). Differences between parents are no spread of the level.
     """
-    share = F.col(good) / F.col(size)
-    found = groups.filter(F.col(size) > 1).agg(
-        F.sum(F.col(size) * (share - mean) * (share - mean)).alias("spread"),
+    share, m = F.col(good) / F.col(size), F.col(parent)
+    found = groups.filter((F.col(size) > 1) & (m > 0) & (m < 1)).agg(
+        F.sum(F.col(size) * (share - m) * (share - m) / (m * (1 - m))).alias("spread"),
         F.sum(F.col(size)).alias("n"), F.count(F.lit(1)).alias("groups")).first()
-    chance = mean * (1 - mean)
-    if not found.groups or found.n <= found.groups or chance <= 0:
+    if not found.groups or found.n <= found.groups:
         return MAX_WEIGHT
-    beyond = (found.spread / chance - found.groups) / (found.n - found.groups)
+    beyond = (found.spread - found.groups) / (found.n - found.groups)
     return MAX_WEIGHT if beyond <= 0 else min(MAX_WEIGHT, max(MIN_WEIGHT, 1 / beyond - 1))
 
 

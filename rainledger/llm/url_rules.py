@@ -61,7 +61,8 @@ def judge_urls(df: DataFrame, rules: DataFrame, url: str = "url", *, id_column:
     ``rules``: (host, path, verdict); ``rule`` is its host and path. Length is that of host and path
     together; of equally long rules that fit, the one with the longer host wins. Of repeated rules with
     different verdicts the larger word (``block``) wins. Rows without a fitting rule, a NULL URL among
-    them, have a NULL rule and the ``default`` verdict. A rule with an empty host fits an empty host only.
+    them, have a NULL rule and the ``default`` verdict. A rule with an empty host fits hosts that are empty
+    or end with a dot.
     NULL and repeated ids are kept.
     """
     host, path = host_and_path(col(url))
@@ -134,6 +135,6 @@ def _cuts(keys: DataFrame, parts: int) -> Column:
 def kept_pages(df: DataFrame, rules: DataFrame, url: str = "url", **options) -> DataFrame:
     """The rows of ``df`` whose URL is allowed, with all their columns."""
     row = free_name(df, "row")
-    marked = df.withColumn(row, F.monotonically_increasing_id())
+    marked = stored(df.withColumn(row, F.monotonically_increasing_id()))  # both readings see the same numbers
     allowed = judge_urls(marked, rules, url, id_column=row, **options).filter("verdict = 'allow'")
     return marked.join(allowed.select(row), row, "left_semi").drop(row)

@@ -328,6 +328,57 @@ def test_sites_shrink_to_their_parents(spark):
     assert {r.prior for r in site_quality.classify(docs, labels.limit(0), ["site"]).collect()} == {0.5}
 
 
+def plain_priors(rows, levels):
+    """The prior of each (id, keys, label) by the formulas, level by level."""
+    known = [r for r in rows if r[2] is not None]
+    prior = {r[0]: (sum(k[2] for k in known) - (r[2] or 0) + 1) / (len(known) - (r[2] is not None) + 2) for r in rows}
+    for n in range(levels):
+        groups = defaultdict(list)
+        for r in rows:
+            if all(k is not None for k in r[1][:n + 1]):
+                groups[r[1][:n + 1]].append(r)
+        spread = size = count = 0
+        for own in groups.values():
+            marks = [r[2] for r in own if r[2] is not None]
+            if len(marks) > 1:
+                m = sum(prior[r[0]] for r in own if r[2] is not None) / len(marks)
+                spread += len(marks) * (sum(marks) / len(marks) - m) ** 2 / (m * (1 - m))
+                size, count = size + len(marks), count + 1
+        weight = 1000.0
+        if count and size > count and (beyond := (spread - count) / (size - count)) > 0:
+            weight = min(1000.0, max(1.0, 1 / beyond - 1))
+        for own in groups.values():
+            good, marks = sum(r[2] or 0 for r in own), sum(r[2] is not None for r in own)
+            for r in own:
+                prior[r[0]] = (good - (r[2] or 0) + weight * prior[r[0]]) / (marks - (r[2] is not None) + weight)
+    return prior
+
+
+def test_priors_against_plain_formulas(spark):
+    """Sources differ much, their hosts hardly: hosts are drawn to their source, not to the mean of all."""
+    rng, rows = random.Random(6), []
+    for i in range(1500):
+        source = rng.choice(["good", "bad", "mixed", None])
+        host = f"{source}{rng.randrange(25)}" if source and rng.random() < 0.9 else None
+        share = {"good": 0.95, "bad": 0.1, "mixed": 0.5, None: 0.5}[source]
+        rows.append((i, (source, host), int(rng.random() < share) if rng.random() < 0.6 else None))
+    docs = spark.createDataFrame([(i, "same text", *keys) for i, keys, _ in rows], "doc_id long, text string, source string, host string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows if q is not None], "doc_id long, quality int")
+    got = {r.doc_id: r.prior for r in site_quality.classify(docs, labels, ["source", "host"]).collect()}
+    want = plain_priors(rows, 2)
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in want)
+    sparse = [got[i] for i, (source, host), _ in rows if source == "bad" and host]
+    assert max(sparse) < 0.35
+
+
+def test_sites_and_texts_without_labels(spark):
+    """Accuracy on rows whose labels were not learned from."""
+    docs, labels = table(spark, MEDIUM, "documents"), table(spark, MEDIUM, "labels")
+    learned = labels.filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
+    rows = site_quality.classify(docs, learned, ["source"]).join(labels.join(learned, "doc_id", "left_anti"), "doc_id").collect()
+    assert len(rows) > 80 and sum((r.quality == 1) == r.kept for r in rows) / len(rows) > 0.93
+
+
 def test_site_classifier_on_labels(spark):
     labels = table(spark, MEDIUM, "labels")
     got = op10_site_quality(spark, MEDIUM)
