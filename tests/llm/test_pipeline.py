@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 import corpus_pipeline
@@ -69,3 +70,38 @@ def test_stages_keep_the_columns(outputs):
 
 def test_run(spark, outputs):
     assert sorted(map(tuple, corpus_pipeline.run(spark, MEDIUM).collect())) == sorted(map(tuple, outputs[-1].collect()))
+
+
+def odd_tables(spark, folder, rows, labels):
+    fields = "doc_id long, text string, lang string, source string, n_chars long, counts string, lang_pred string, score int, row_key int"
+    spark.createDataFrame([(i, t, lang, "s", len(t or ""), "own", "own", 1, 2) for i, t, lang in rows], fields).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_odd_rows_through_all_stages(spark, tmp_path):
+    def words(k, n=40):
+        rng = random.Random(k)
+        return " ".join(("wort" if k % 2 else "parole") + "".join(rng.choices("abcdefghij" if k % 2 else "qrstuvwxyz", k=4)) for _ in range(n))
+
+    rows = [(k, words(k), "de" if k % 2 else "fr") for k in range(40)]
+    rows += [(100, None, "de"), (101, "", "fr"), (None, words(50), "fr"), (7, words(7), "de"), (7, words(7), "de"), (3, words(60), None),
+             (102, words(5).replace(" ", "  "), "de"), (103, words(9, 60_000), None), (104, "too short", "de")]
+    folder = odd_tables(spark, tmp_path / "odd", rows, [(k, 1, 0) for k in range(20)] + [(None, 0, 0), (500, 0, None), (3, None, None)])
+    docs = table(spark, folder, "documents")
+    kept = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, folder))
+        assert docs.columns == table(spark, folder, "documents").columns
+        assert {(r.counts, r.lang_pred, r.score, r.row_key) for r in docs.collect()} == {("own", "own", 1, 2)}
+        kept.append(sorted((str(r.doc_id), re.sub(SPACE, " ", r.text)) for r in docs.collect()))
+    assert not {"100", "101", "104"} & {i for i, _ in kept[0]} and ("7", words(7)) in kept[2]
+    assert kept[2].count(("7", words(7))) == 1 and len({t for _, t in kept[2]}) == len(kept[2])
+    model = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    pieces = corpus_pipeline.run(spark, folder).collect()
+    want = sum(len(model.encode(r.text, add_special_tokens=False).ids) + 1 for r in docs.collect())
+    assert sum(p.length for p in pieces) == want and len({p.doc_id for p in pieces}) == len({r.doc_id for r in docs.collect()})
+
+
+def test_empty_tables(spark, tmp_path):
+    assert corpus_pipeline.run(spark, odd_tables(spark, tmp_path / "none", [], [])).count() == 0
