@@ -1,6 +1,12 @@
 """From raw documents to packed token sequences, in five stages.
 
 Each stage gets the documents that its predecessor kept, as a table of their own, and drops others.
+
+A NULL or empty text has no words and ends at the first stage. Documents without an id are judged like others,
+but neither learned from nor preferred to one with an id. Of repeated rows one is left by the third stage.
+Further columns, also those named like something a stage adds, pass through unchanged until the last stage,
+whose columns are its own. Without labels only the fixed quality rules reject; where no text has a language no
+language is known and nothing is left. Empty tables give an empty result.
 """
 
 from __future__ import annotations
