@@ -288,6 +288,7 @@ ORACLE: dict[str, str] = {
     "select_observations": f"""SELECT {OBS} FROM water WHERE location_id IN ('V000001', 'V000002', 'V000007')
         AND year BETWEEN 1996 AND 1998 AND season IN ('monsoon', 'winter')""",
     "sink_roundtrip": f"SELECT location_id, year, season, {same('water_area_ha')}, water_body_count FROM grain",
+    "sink_versions": f"SELECT location_id, year, season, {same('water_area_ha')}, water_body_count FROM grain",
     "clean_water": CLEAN_TEXT,
     "clean_report": report("(SELECT * FROM water_judged UNION ALL SELECT * FROM water_judged)", REASONS,
                            "location_id, y, season, a, c, data_quality"),
@@ -309,6 +310,7 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT concat('n', s_nationkey) FROM supplier) GROUP BY item""",
     "distinct_rows": "SELECT DISTINCT location_id, year, season FROM water_raw",
     "merge_left": f"SELECT {OBS}, {NRM}, nrm_data_available FROM merged",
+    "merge_prepared": f"SELECT {OBS}, {NRM}, nrm_data_available FROM merged",
     "merge_none": f"SELECT {OBS}, false AS nrm_data_available FROM water",
     "merge_report": f"""SELECT count(*) AS total_records, count(*) FILTER (nrm_data_available) AS matched_records,
         count(*) FILTER (NOT nrm_data_available) AS unmatched_records,
@@ -321,6 +323,8 @@ ORACLE: dict[str, str] = {
     "duplicate_keys": """SELECT count(*) AS distinct_keys, CAST(sum(n - 1) AS BIGINT) AS duplicate_rows FROM (
         SELECT o_custkey, year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY ALL)""",
     "trend_by_location_season": trend("location_id, season"),
+    "distinct_locations_rollup": """SELECT season, year, CAST(2 - grouping(season) - grouping(year) AS INT) AS level,
+        count(DISTINCT location_id) AS locations FROM water GROUP BY ROLLUP (season, year)""",
     "trend_incremental": "SELECT * EXCLUDE (median_water_area_ha) FROM (" + trend("location_id, season") + ")",
     "coverage_incremental": f"""SELECT location_id, season, count(*) AS records, count(DISTINCT year) AS distinct_years,
         max(year) - min(year) AS year_span, {r("CASE WHEN max(year) = min(year) THEN 'infinity'::DOUBLE ELSE count(DISTINCT year) / (max(year) - min(year)) END", 'data_completeness')}

@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.bitmaps import distinct_rollup
 from ..functions.coerce import capitalize, coerce_numeric, normalize_columns, normalize_flag, split_list
-from ..operators import charts, cleaning, merging, summaries, trends
+from ..operators import charts, cleaning, merging, prepared, summaries, trends
+from ..sinks import versions
 from ..sinks.shared import shared_folder
 from ..sinks.table import ordered, write_table
 from ..sources import documents, tables
@@ -63,6 +65,21 @@ def _sink_roundtrip(v: Views) -> DataFrame:
     return v.spark.read.parquet(target)
 
 
+def _sink_versions(v: Views) -> DataFrame:
+    """The newest of three versions, of which the last was made from the one before it."""
+    root = shared_folder(v.spark)
+    versions.write_version(v.grain.filter("year < 1996"), root)
+    versions.write_version(v.grain, root, partition_by=("year",))
+    versions.write_version(versions.read_version(v.spark, root), root)
+    versions.remove_old_versions(v.spark, root, keep=1)
+    return versions.read_version(v.spark, root)
+
+
+def _merge_prepared(v: Views) -> DataFrame:
+    layouts = prepared.prepare_merge(v.stored(v.water), v.stored(v.nrm), shared_folder(v.spark), buckets=16)
+    return prepared.merge_prepared(v.spark, *layouts)
+
+
 def _json_rejects(v: Views) -> DataFrame:
     return documents.document_rejects(v.documents).groupBy("reason", "position").agg(
         F.count(F.lit(1)).alias("records"))
@@ -155,6 +172,7 @@ QUERIES: dict[str, Callable[[Views], DataFrame]] = {
         v.water, [" V000001", "V000002", "V000007"], 1996, 1998, ["Monsoon ", "winter"]),
     # sinks
     "sink_roundtrip": _sink_roundtrip,
+    "sink_versions": _sink_versions,
     # cleaning
     "clean_water": lambda v: cleaning.clean_observations(v.water_text),
     "clean_report": lambda v: cleaning.cleaning_report(v.water_text.unionByName(v.water_text)),
@@ -169,6 +187,7 @@ QUERIES: dict[str, Callable[[Views], DataFrame]] = {
     "distinct_rows": lambda v: cleaning.distinct_rows(v.water_raw.select("location_id", "year", "season")),
     # joins
     "merge_left": lambda v: v.merged,
+    "merge_prepared": _merge_prepared,
     "merge_none": lambda v: merging.without_interventions(v.water),
     "merge_report": lambda v: merging.merge_report(v.merged),
     "merge_fanout": _merge_fanout,
@@ -195,6 +214,8 @@ QUERIES: dict[str, Callable[[Views], DataFrame]] = {
     "trend_quality_sparse": lambda v: summaries.value_distribution(trends.trend_slopes(v.sparse), "trend_quality"),
     "trend_incremental": lambda v: state.state_trends(_folded(v)),
     "coverage_incremental": lambda v: state.state_coverage(_folded(v)),
+    "distinct_locations_rollup": lambda v: distinct_rollup(v.stored(v.water, "season", "year", "location_id"),
+                                                           ["season", "year"], "location_id", "locations"),
     "trend_summary": lambda v: trends.trend_summary(v.water),
     "trend_by_intervention": lambda v: trends.trend_by_intervention(v.merged),
     "correlation": lambda v: summaries.correlation(v.merged),
