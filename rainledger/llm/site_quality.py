@@ -1,20 +1,23 @@
 """Quality classifier: document evidence on hierarchical empirical-Bayes priors of sites.
 
-**Evidence.** The statistics of a text are cut into bins at quantiles of labelled rows. The sum of the
+**Evidence.** The statistics of a text are cut into bins at ranks of labelled rows. The sum of the
 logarithmic ratios of the bin's frequency among good and bad rows, tempered because statistics are not
 independent, is the document's evidence.
 
 **Prior.** Labelled rows are counted per path, host and source, levels of one hierarchy below all rows.
 The share of good rows of a group is drawn to that of the group above it, with the weight of so many
 rows as the spread of the groups of this level suggests (method of moments). A site without labels has
-its parent's share. A labelled row is left out of the counts that judge it.
+its parent's share.
 
-Counts are grouped and mergeable; they return to the rows by joins with stored tables.
+A labelled row is left out of the counts that judge it, of bins and of sites. Counts are grouped and mergeable;
+those of sites return to the rows by joins with stored tables. The cut points come from at most about
+``CUT_ROWS`` labelled rows, all of them if there are no more; the same rows give the same cut points.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +29,8 @@ from .text_statistics import text_counts
 from .url_rules import host_and_path
 
 BINS = 16
+#: Bound of the labelled rows whose ranks give the cut points; of more, a part is chosen by a hash of the row.
+CUT_ROWS = 50_000
 #: Weight of the sum of the statistics' evidence.
 TEMPER = 0.5
 #: A document is kept if its probability to be good is at least this.
@@ -108,12 +113,29 @@ def _weight(groups: DataFrame, good: str, size: str, parent: str) -> float:
     return MAX_WEIGHT if beyond <= 0 else min(MAX_WEIGHT, max(MIN_WEIGHT, 1 / beyond - 1))
 
 
+def _left_out(table: Callable[[int, int], Column]) -> Column:
+    """``table(good, bad)`` for the row's own label: what the counts hold of the row itself."""
+    return F.when(F.col("good") == 1, table(1, 0)).when(F.col("good") == 0, table(0, 1)).otherwise(table(0, 0))
+
+
+def _cut_points(labelled: DataFrame, names: list[str]) -> dict[str, list[float]]:
+    """Values at the ranks that cut the labelled rows into ``BINS`` parts, without repetition."""
+    rows, total = labelled.select("id", *names), labelled.count()
+    if total > CUT_ROWS:
+        parts = 1 << 40
+        rows = rows.filter(F.pmod(F.xxhash64(*rows.columns), F.lit(parts)) < parts * CUT_ROWS // total)
+    found = rows.drop("id").collect()
+    cuts = {}
+    for n in names:
+        ordered = sorted(r[n] for r in found)
+        cuts[n] = sorted({ordered[len(ordered) * i // BINS] for i in range(1, BINS)}) if ordered else []
+    return cuts
+
+
 def _evidence(rows: DataFrame, names: list[str]) -> Column:
-    """The evidence of a row as an expression; the counts of bins are the only thing collected."""
+    """The evidence of a row as an expression; counts of bins and the rows for cut points are collected."""
     labelled = rows.filter("good IS NOT NULL")
-    levels = [i / BINS for i in range(1, BINS)]
-    quantiles = labelled.agg(*[F.percentile_approx(n, levels, 10_000).alias(n) for n in names]).first()
-    cuts = {n: sorted(set(quantiles[n] or [])) for n in names}
+    cuts = _cut_points(labelled, names)
 
     def number(n: str) -> Column:
         if not cuts[n]:
@@ -130,9 +152,15 @@ def _evidence(rows: DataFrame, names: list[str]) -> Column:
         if not all_g or not all_n:
             continue
         bins = len(cuts[name]) + 1
-        ratios = []
-        for b in range(bins):
-            g, n = table.get(b, (0, 0))
-            ratios.append(F.log(F.lit((g + 1) / (all_g + bins) / ((n + 1) / (all_n + bins)))))
-        total = total + F.get(F.array(*ratios), number(name))
+
+        def ratios(own_g: int, own_n: int) -> Column:
+            out = []
+            for b in range(bins):
+                g, n = table.get(b, (0, 0))
+                # A bin without a row of this label is not looked up by one.
+                g, n = max(0, g - own_g), max(0, n - own_n)
+                out.append(F.lit(math.log((g + 1) / (all_g - own_g + bins) / ((n + 1) / (all_n - own_n + bins)))))
+            return F.get(F.array(*out), number(name))
+
+        total = total + _left_out(ratios)
     return F.lit(TEMPER) * total

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -379,6 +380,37 @@ def test_sites_and_texts_without_labels(spark):
     assert len(rows) > 80 and sum((r.quality == 1) == r.kept for r in rows) / len(rows) > 0.93
 
 
+def test_evidence_against_plain_formula(spark):
+    """Bins at exact ranks, and each labelled row left out of the counts that judge it."""
+    rng = random.Random(8)
+    rows = [(i, float(rng.randrange(12)), rng.random(), rng.choice([0, 1, 1, None])) for i in range(300)]
+    known = [r for r in rows if r[3] is not None]
+    want = dict.fromkeys(range(300), 0.0)
+    for at in (1, 2):
+        ordered = sorted(r[at] for r in known)
+        cuts = sorted({ordered[len(ordered) * i // site_quality.BINS] for i in range(1, site_quality.BINS)})
+        place = {r[0]: sum(c < r[at] for c in cuts) for r in rows}
+        for r in rows:
+            others = [k for k in known if k is not r]
+            share = [(sum(k[3] == q and place[k[0]] == place[r[0]] for k in others) + 1)
+                     / (sum(k[3] == q for k in others) + len(cuts) + 1) for q in (1, 0)]
+            want[r[0]] += site_quality.TEMPER * math.log(share[0] / share[1])
+    for parts in (1, 7):
+        df = spark.createDataFrame(rows, "id long, a double, b double, good int").repartition(parts)
+        got = {r.id: r.e for r in df.select("id", site_quality._evidence(df, ["a", "b"]).alias("e")).collect()}
+        assert all(got[i] == pytest.approx(want[i]) for i in want)
+
+
+def test_clashing_names(spark):
+    """Columns named like those that the classifier makes are no trouble, and the levels may be among them."""
+    long = "word " * 200_000
+    docs = spark.createDataFrame([(1, "some words", "a", "b", 3), (2, None, None, "b", 4), (3, long, "a", None, None)],
+                                 "doc_id long, text string, counts string, level0 string, good int")
+    labels = spark.createDataFrame([(1, 1, "x")], "doc_id long, quality int, evidence string")
+    got = site_quality.classify(docs, labels, ["counts", "level0"]).collect()
+    assert sorted(r.doc_id for r in got) == [1, 2, 3] and all(r.kept for r in got)
+
+
 def test_site_classifier_on_labels(spark):
     labels = table(spark, MEDIUM, "labels")
     got = op10_site_quality(spark, MEDIUM)
