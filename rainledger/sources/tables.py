@@ -16,6 +16,23 @@ from ..schema import NULL_TOKENS, SEASONS, Rules, require_columns
 LATIN1 = "ISO-8859-1"
 
 
+def _file_heads(spark: SparkSession, path: str, check: bool) -> DataFrame:
+    """(file, h0, h1, valid): a fingerprint of 128 bits of each file's header, and whether all lines are UTF-8.
+
+    Counters of fixed width are updated in place as lines pass by. A header kept as text would make Spark sort
+    all lines by file first.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("line"),
+        F.monotonically_increasing_id().alias("id"), F.is_valid_utf8("value").alias("valid") if check else F.lit(True).alias("valid"),
+        (F.col("_metadata.file_block_start") == 0).alias("first"))
+    # Only lines of a file's first split can be its header; both answers come from one reading.
+    order = F.when(F.col("first"), F.col("id"))
+    heads = [F.min_by(F.when(F.col("first"), h), order).alias(f"h{i}")
+             for i, h in enumerate((F.xxhash64("line"), F.xxhash64(F.lit(1), "line")))]
+    return lines.groupBy("file").agg(*heads, F.bool_and("valid").alias("valid"))
+
+
 def _file_groups(spark: SparkSession, path: str, encoding: str, fallback: str | None) -> list[tuple[list[str], str]]:
     """(files, encoding) of the files that have the same header and the same encoding.
 
@@ -25,18 +42,11 @@ def _file_groups(spark: SparkSession, path: str, encoding: str, fallback: str |
     files = spark.read.text(path).inputFiles()
     if len(files) < 2 and fallback is None:
         return [([path], encoding)]
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("id"),
-        F.col("_metadata.file_block_start").alias("at"))
-    # Only lines of a file's first split can be its header; both answers come from one reading.
-    header = F.min_by(F.when(F.col("at") == 0, F.col("value").cast("binary")), F.when(F.col("at") == 0, F.col("id")))
-    valid = F.bool_and(F.is_valid_utf8("value")) if fallback is not None else F.lit(True)
-    first = lines.groupBy("file").agg(F.hex(header).alias("header"), valid.alias("valid"))
-    groups: dict[tuple[str, str], list[str]] = {}
-    for r in first.orderBy("file").collect():
+    groups: dict[tuple[int, int, str], list[str]] = {}
+    for r in _file_heads(spark, path, fallback is not None).orderBy("file").collect():
         known = encoding if r.valid or fallback is None else fallback
-        groups.setdefault((r.header, known), []).append(unquote(r.file))
-    return [(names, known) for (_, known), names in groups.items()] or [([path], encoding)]
+        groups.setdefault((r.h0, r.h1, known), []).append(unquote(r.file))
+    return [(names, known) for (*_, known), names in groups.items()] or [([path], encoding)]
 
 
 def read_csv_text(spark: SparkSession, path: str, *, encoding: str = "UTF-8", fallback: str | None = None,

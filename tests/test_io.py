@@ -9,7 +9,7 @@ from rainledger import sources
 from rainledger.operators import cleaning, trends
 from rainledger.plans import workflow
 from rainledger.sinks import clean_filename, ordered, stored, working_tables, write_table
-from rainledger.sources import documents
+from rainledger.sources import documents, tables
 from rainledger.streaming import landing, state
 
 
@@ -153,6 +153,17 @@ def test_directory_of_unlike_files(spark, tmp_path):
     assert {(r.location_id, r.water_area_ha, r.water_body_count) for r in seen} == {("A", 5.0, 1), ("B", 5.0, 1)}
 
 
+def test_headers_are_found_without_a_sort_of_the_lines(spark, tmp_path):
+    for i, (head, row) in enumerate([("a,b", "1,2"), ("b,a", "1,2"), ("a,b", "3,4"), ("a,b", "é,5"), ("b,a", "")]):
+        (tmp_path / f"{i}.csv").write_bytes((head + "\n" + f"{row}\n" * 50).encode("latin-1"))
+    heads = tables._file_heads(spark, str(tmp_path), True)
+    assert "Sort" not in heads._jdf.queryExecution().executedPlan().toString()
+    assert heads.count() == 5 and heads.select("h0", "h1").distinct().count() == 2
+    groups = tables._file_groups(spark, str(tmp_path), "UTF-8", tables.LATIN1)
+    assert sorted(([n[-5] for n in names], known) for names, known in groups) == [
+        (["0", "2"], "UTF-8"), (["1", "4"], "UTF-8"), (["3"], tables.LATIN1)]
+
+
 def test_empty_interventions(spark, tmp_path):
     f = tmp_path / "empty.csv"
     f.write_text("location_id,year\n")
