@@ -7,6 +7,8 @@ lose the whole series around it. Elements are taken apart as ``array<variant>``
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +22,12 @@ _YEARS = f"array<struct<year: int, seasons: struct<{', '.join(f'{s}: {_INFO}' fo
 #: The usual shape of a series, and where the reader notes a document that has another one.
 TYPED = f"timeseries {_YEARS}, data struct<timeseries: {_YEARS}>, __other string"
 #: What the typed reader would take for something else: JSON null (absent), numbers that JSON does not have,
-#: escapes, and a quality that is no text.
-UNUSUAL = r'null|NaN|Infinity|\\|"quality"\s*:\s*[^"\s]'
+#: escapes, and a quality that is no text; and what it would fail at, which costs more than not to try: numbers
+#: that are no numbers, years and counts with a fraction, lists of something other than objects.
+UNUSUAL = (r'null|NaN|Infinity|\\|"quality"\s*:\s*[^"\s]|"(?:year|area_ha|count)"\s*:\s*[^-0-9\s]'
+           r'|"(?:year|count)"\s*:\s*-?[0-9]+[.eE]|\[\s*[^{\s\]]')
+#: No JSON begins like this, but pages with an error message do.
+MARKUP = r"^\s*<"
 
 
 def documents_from(text: DataFrame) -> DataFrame:
@@ -49,7 +55,7 @@ def _parse(df: DataFrame, text: Column) -> Column:
     as text.
     """
     df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    return F.coalesce(F.try_parse_json(text), F.from_json(text, "variant"))
+    return F.when(~text.rlike(MARKUP), F.coalesce(F.try_parse_json(text), F.from_json(text, "variant")))
 
 
 def _get(v: Column, path: str, kind: str) -> Column:
@@ -84,17 +90,22 @@ def _text(field: Column) -> Column:
     return _get(field, "$", "string")
 
 
-def _year(field: Column) -> Column:
-    """A whole number, or text of digits only, within 1900..2100."""
-    text = _text(field)
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, inside other lambdas too."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _year(field: Column, text: Column | None = None) -> Column:
+    """A whole number, or text of digits only, within 1900..2100. ``text`` is that of the field, if it is there."""
+    text = _text(field) if text is None else text
     # 2022.0 also has the text "2022"; only its kind tells it apart.
     whole = _kind(field).isin("BIGINT", "STRING")
     return F.when(text.rlike("^0*(19[0-9]{2}|20[0-9]{2}|2100)$") & whole, text.try_cast("int"))
 
 
-def _number(field: Column) -> Column:
+def _number(field: Column, text: Column | None = None) -> Column:
     """A JSON number or boolean, or text that is a number, as DOUBLE; 0 if it is none, NULL if it is NaN."""
-    text = _text(field)
+    text = _text(field) if text is None else text
     truth = F.when(_kind(field) == "BOOLEAN", _get(field, "$", "boolean"))
     number = F.coalesce(parse_number(text), truth.cast("int").cast("double"), F.lit(0.0))
     return F.when(~F.coalesce(F.lower(strip(text)).rlike("^[+-]?nan$"), F.lit(False)), number)
@@ -126,16 +137,19 @@ def _years(df: DataFrame, json_col: str, id_col: str) -> DataFrame:
 
 
 def _typed(text: Column) -> Column:
-    """The document by the usual schema; ``__other`` is NULL if every value in it had its type."""
-    return F.from_json(text, TYPED, {
-        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__other", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"})
+    """The document by the usual schema; ``__other`` is NULL if every value in it had its type.
 
+    NULL for a document that can be seen to be of another shape.
+    """
+    plain = F.ltrim(text).startswith("{") & F.rtrim(text).endswith("}") & ~text.rlike(UNUSUAL)
+    return F.when(plain, F.from_json(text, TYPED, {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__other", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}))
 
-def _usual(text: Column, typed: Column) -> Column:
+
+def _usual(typed: Column) -> Column:
     """Whether the typed reader has read the document as the general one would."""
     found = typed["timeseries"].isNotNull() | typed["data"]["timeseries"].isNotNull()
-    plain = F.ltrim(text).startswith("{") & F.rtrim(text).endswith("}") & ~text.rlike(UNUSUAL)
-    return F.coalesce(typed["__other"].isNull() & found & plain, F.lit(False))
+    return F.coalesce(typed["__other"].isNull() & found, F.lit(False))
 
 
 def _cell(year: Column, season: Column, area: Column, count: Column, quality: Column) -> Column:
@@ -155,20 +169,20 @@ def _typed_cells(typed: Column) -> Column:
 
 
 def _general_cells(doc: Column) -> Column:
-    """The cells of a document of any shape."""
-    def once(value: Column, use) -> Column:
-        return F.get(F.transform(F.array(value), use), 0)
-
+    """The cells of a document of any shape; a season whose value is no object is a NULL."""
     def cell(year: Column, season: Column, info: Column) -> Column:
-        quality = _field(info, "quality")
-        return _cell(year, season, _number(_field(info, "area_ha")), _count(_field(info, "count")),
-                     F.when(quality.isNotNull(), _text(quality)).otherwise(F.lit("good")))
+        area = _once(info["area_ha"], lambda field: _once(_text(field), lambda text: _number(field, text)))
+        quality = F.when(F.map_contains_key(info, F.lit("quality")), _text(info["quality"])).otherwise(F.lit("good"))
+        return F.when(info.isNotNull(), _cell(year, season, area, _once(info["count"], _count), quality))
+
+    def seasons(entry: Column, year: Column) -> Column:
+        found = F.filter(F.map_entries(_get(entry, "$.seasons", OBJECT)), lambda x: x["key"].isin(*SEASONS))
+        return F.when(year.isNotNull(), F.transform(
+            found, lambda x: _once(_get(x["value"], "$", OBJECT), lambda info: cell(year, x["key"], info))))
 
     def cells(entry: Column) -> Column:
-        found = F.filter(F.map_entries(_get(entry, "$.seasons", OBJECT)),
-                         lambda x: x["key"].isin(*SEASONS) & _kind(x["value"]).startswith("OBJECT"))
-        return once(_year(_field(entry, "year")), lambda year: F.filter(
-            F.transform(found, lambda x: cell(year, x["key"], x["value"])), lambda x: x["year"].isNotNull()))
+        year = _once(_field(entry, "year"), lambda field: _once(_text(field), lambda text: _year(field, text)))
+        return _once(year, lambda y: seasons(entry, y))
 
     # An entry of another shape has no cells, and flatten() gives NULL for a list with a NULL in it.
     return F.flatten(F.filter(F.transform(_series(doc), cells), lambda x: x.isNotNull()))
@@ -182,14 +196,15 @@ def flatten_timeseries(df: DataFrame, json_col: str = "document", id_col: str =
     removes them.
 
     A document of the usual shape is read once by its schema. Only one that the schema does not fit exactly
-    is read to VARIANT and taken apart value by value.
+    is read to VARIANT, also once, and taken apart value by value.
     """
     require_columns(df, json_col, id_col)
-    text = F.col(json_col)
-    read = computed_once(df.select(F.col(id_col).alias("__id"), text.alias("__text")), {"__typed": _typed(F.col("__text"))})
-    usual = _usual(F.col("__text"), F.col("__typed"))
-    cells = F.when(usual, _typed_cells(F.col("__typed"))).otherwise(_general_cells(_parse(df, F.col("__text"))))
-    values = read.filter(strip(F.col("__id")) != "").select(strip(F.col("__id")).alias("location_id"), F.inline_outer(cells))
+    text, typed = F.col("__text"), F.col("__typed")
+    named = df.filter(strip(F.col(id_col)) != "").select(strip(F.col(id_col)).alias("location_id"), F.col(json_col).alias("__text"))
+    read = computed_once(named, {"__typed": _typed(text)})
+    parsed = computed_once(read, {"__doc": F.when(~_usual(typed), _parse(df, text))})
+    cells = F.when(_usual(typed), _typed_cells(typed)).otherwise(_general_cells(F.col("__doc")))
+    values = parsed.select("location_id", F.inline_outer(cells))
     return values.filter(F.col("year").isNotNull()).select(
         "location_id", "year", "season", F.col("__area").alias("water_area_ha"), F.col("__n").alias("water_body_count"),
         F.col("__q").alias("data_quality"))

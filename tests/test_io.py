@@ -323,6 +323,28 @@ def rounded(df):
     return sorted((tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in df.collect()), key=repr)
 
 
+def test_documents_of_other_shapes_are_parsed_once(spark):
+    season = '"winter":{"area_ha":%s,"count":%s}'
+    texts = {
+        "text_year": '{"timeseries":[{"year":"2001","seasons":{%s,"summer":5,"monsoon":null,"perennial":{}}}]}' % (season % (2.5, "7.9")),
+        "fraction": '{"timeseries":[{"year":2001.5,"seasons":{%s}},{"year":2002,"seasons":{%s}}]}' % (season % (1, 1), season % ("true", '" 8 "')),
+        "no_object": '{"timeseries":[5,{"year":2003,"seasons":{%s}}]}' % (season % ('"nan"', "-3")),
+        "nulls": '[{"year":2004,"seasons":{"winter":{"area_ha":null,"count":null,"quality":null}}}]',
+        "page": " \n<html>1</html>", "number": "5", "tag": '{"timeseries":[{"year":2005,"seasons":{%s}}],"note":"<b>"}' % (season % (1.0, 2)),
+        "absent": None}
+    df = spark.createDataFrame(list(texts.items()), "location_id string, document string")
+    found = documents.flatten_timeseries(df)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+    assert sorted(tuple(r) for r in found.collect()) == [
+        ("fraction", 2002, "winter", 1.0, 8, "good"),
+        ("no_object", 2003, "winter", None, 0, "good"),
+        ("nulls", 2004, "winter", 0.0, 0, None),
+        ("tag", 2005, "winter", 1.0, 2, "good"),
+        ("text_year", 2001, "perennial", 0.0, 0, "good"),
+        ("text_year", 2001, "winter", 2.5, 7, "good")]
+    assert sorted(r.location_id for r in documents.document_rejects(df).filter("reason = 'not_json'").collect()) == ["absent", "page"]
+
+
 def test_state_of_batches_is_the_state_of_all_rows(spark, tmp_path):
     rows = [(f"v{i % 5}", 1898 + i % 250 if i % 3 else 2000 + i % 9, ("winter", "summer")[i % 2], i * 1.5 if i % 11 else None) for i in range(600)]
     rows += [(None, 2000, "winter", 1.0), ("v1", None, "winter", None), ("x", None, "winter", 3.0), ("one", 2001, "summer", 4.0)]
