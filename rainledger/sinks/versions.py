@@ -67,18 +67,32 @@ def versions(spark: SparkSession, root: str) -> list[int]:
 def _publish(spark: SparkSession, root: str, folder: str) -> int:
     """Point to the folder by the first number that is free, after all numbers there are."""
     number = max(_numbers(spark, root), default=0) + 1
-    while True:
-        files, path = _files(spark, _pointer(spark, root, number))
+    while not _written(spark, _pointer(spark, root, number), bytearray(f"{folder}\n{END}\n", "utf-8")):
+        number += 1
+    return number
+
+
+def _written(spark: SparkSession, name: str, content: bytearray) -> bool:
+    """Write a new file; False if there is one of this name, also if another writer makes it at the same time."""
+    files, path = _files(spark, name)
+    if path.toUri().getScheme() in (None, "file") and files.getScheme() == "file":
+        # Hadoop's local files are looked for first and made then; the operating system does both at once.
+        files.mkdirs(path.getParent())
         try:
-            stream = files.create(path, False)
-        except Py4JJavaError as error:
-            if "AlreadyExists" not in error.java_exception.getClass().getName():
-                raise
-            number += 1
-            continue
-        stream.write(bytearray(f"{folder}\n{END}\n", "utf-8"))
-        stream.close()
-        return number
+            with open(path.toUri().getPath(), "xb") as out:
+                out.write(content)
+        except FileExistsError:
+            return False
+        return True
+    try:
+        stream = files.create(path, False)
+    except Py4JJavaError as error:
+        if "AlreadyExists" not in error.java_exception.getClass().getName():
+            raise
+        return False
+    stream.write(content)
+    stream.close()
+    return True
 
 
 def write_version(df: DataFrame, root: str, fmt: str = "parquet", *, partition_by: tuple[str, ...] = ()) -> int:
