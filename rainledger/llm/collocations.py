@@ -40,27 +40,30 @@ SALTS = 64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
 
 
-class _Words:
-    """Numbers for words, as they occur, with their texts and hashes."""
+class _Ids(dict):
+    """Word to number; an unknown word gets the next one. Nothing here refers back, so that all of it goes at once."""
 
     def __init__(self) -> None:
-        import numpy as np
+        from array import array
+
         from xxhash import xxh3_64_intdigest
 
-        self.texts: list[bytes] = []
-        hashes: list[int] = []
-        texts = self.texts
+        super().__init__({b"": -2, b"\n": -1})  # between blanks, between pieces
+        self.texts, self.hashes, self.digest = [], array("Q"), xxh3_64_intdigest
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self.texts)
+        self.texts.append(word)
+        self.hashes.append(self.digest(word))
+        return n
 
-        class Ids(dict):
-            def __missing__(self, word: bytes) -> int:
-                self[word] = n = len(texts)
-                texts.append(word)
-                hashes.append(xxh3_64_intdigest(word))
-                return n
 
-        self.ids = Ids()
-        self.ids[b""], self.ids[b"\n"] = -2, -1  # between blanks, between pieces
-        self._hashes = lambda: np.array(hashes, np.uint64)
+class _Words:
+    """Numbers for words, as they occur, with their texts and hashes."""
+
+    def __init__(self) -> None:
+        self.ids = _Ids()
+        self.texts: list[bytes] = self.ids.texts
 
     def numbers(self, texts: list[bytes]):
         """The words of the texts in order, with -1 between pieces."""
@@ -78,7 +81,7 @@ class _Words:
         import numpy as np
         from xxhash import xxh3_64_intdigest
 
-        h = self._hashes()[numbers] if self.texts else np.zeros(len(numbers), np.uint64)
+        h = np.array(self.ids.hashes, np.uint64)[numbers] if self.texts else np.zeros(len(numbers), np.uint64)
         h ^= h >> np.uint64(29)
         mixed = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(xxh3_64_intdigest(lang))
         mixed ^= mixed >> np.uint64(32)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import random
 import re
+import sys
 from collections import Counter, defaultdict
 
 import pytest
@@ -128,6 +130,18 @@ def test_collocations_against_brute_force(spark, monkeypatch, bits, chunk, top):
     assert rows_of(collocations.collocations(df.limit(0))) == []
 
 
+def test_forgotten_words_are_freed_at_once():
+    gc.disable()
+    try:
+        words = collocations._Words()
+        assert words.numbers([b"one two one", b"Two."]).tolist() == [0, 1, 0, -1, 1, -1, -1]
+        texts = words.texts
+        del words
+        assert texts == [b"one", b"two"] and sys.getrefcount(texts) == 2
+    finally:
+        gc.enable()
+
+
 def test_scores_beyond_64_bits(spark):
     big = 10 ** 11
     known = spark.createDataFrame([("en", [], 9 * 10 ** 12), ("en", ["a"], 3 * big), ("en", ["b"], 2 * big), ("en", ["a", "b"], big)],
